@@ -38,20 +38,23 @@ def with_positions(df: DataFrame, order: Sequence[str], by: Sequence[str] = (),
          .withColumn("_pid", F.spark_partition_id())
          .withColumn("_idx", F.monotonically_increasing_id()
                      - F.shiftleft(F.col("_pid").cast("long"), _ROW_BITS)))
-    blocks = x.groupBy("_pid", *by).agg(F.count(F.lit(1)).alias("_cnt"), F.min("_idx").alias("_first"))
-    before = Window.partitionBy(*by).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy(*by)
+    # Per-(task, group) counts, renamed so the join back is not a self-join on shared lineage.
+    bk = [f"_b{i}" for i in range(len(by))]
+    blocks = x.groupBy(F.col("_pid").alias("_bpid"), *[F.col(c).alias(b) for c, b in zip(by, bk)]).agg(
+        F.count(F.lit(1)).alias("_cnt"), F.min("_idx").alias("_first"))
+    before = Window.partitionBy(*bk).orderBy("_bpid").rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy(*bk)
     blocks = (blocks.withColumn("_off", F.coalesce(F.sum("_cnt").over(before), F.lit(0)))
               .withColumn(size_col, F.sum("_cnt").over(whole)))
     if not by:
         # (tasks) rows: bounded by the partition count chosen above.
         blocks = F.broadcast(blocks)
-    cond = [x["_pid"] == blocks["_pid"]] + [x[c].eqNullSafe(blocks[c]) for c in by]
+    cond = [F.col("_pid") == F.col("_bpid")] + [F.col(c).eqNullSafe(F.col(b)) for c, b in zip(by, bk)]
     joined = x.join(blocks, cond, "inner")
     return joined.select(
-        *[x[c] for c in df.columns],
-        (blocks["_off"] + x["_idx"] - blocks["_first"] + 1).alias(pos_col),
-        blocks[size_col],
+        *[F.col(f"`{c}`") for c in df.columns],
+        (F.col("_off") + F.col("_idx") - F.col("_first") + 1).alias(pos_col),
+        F.col(size_col),
     )
 
 

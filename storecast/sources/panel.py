@@ -26,6 +26,9 @@ from storecast.operators import wrangle
 HOLIDAY_WEEKS = (6, 36, 47, 52)
 MARKDOWN_LAUNCH = "1998-01-05"
 MARKDOWN_COLS = ["markdown1", "markdown2", "markdown3", "markdown4", "markdown5"]
+PANEL_COLUMNS = ["store", "dept", "week", "weekly_sales", "is_holiday", "temperature", "fuel_price",
+                 *MARKDOWN_COLS, "cpi", "unemployment", "type", "size", "total_markdown",
+                 "year", "month", "week_of_year", "day"]
 
 
 def _money(c: str, precision: str = "decimal(12,2)"):
@@ -122,4 +125,4 @@ def wrangled_panel(spark: SparkSession, sf_dir: str, validate: bool = False) ->
     df = wrangle.left_join_many_to_one(sales, feats, ["store", "week"], validate=validate)
     df = wrangle.left_join_many_to_one(df, stores, ["store"], validate=validate)
     df = wrangle.row_sum(df, MARKDOWN_COLS, "total_markdown")
-    return wrangle.calendar(df, "week")
+    return wrangle.calendar(df, "week").select(*PANEL_COLUMNS)
