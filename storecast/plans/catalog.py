@@ -5,3 +5,4 @@ from storecast.plans.registry import ORACLE, QUERIES  # noqa: F401
 from storecast.plans import explore_queries  # noqa: F401,E402
 from storecast.plans import stats_queries  # noqa: F401,E402
 from storecast.plans import basket_queries  # noqa: F401,E402
+from storecast.plans import segment_queries  # noqa: F401,E402
