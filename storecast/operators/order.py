@@ -1,61 +1,68 @@
-"""Distributed order statistics: positions, exact quantiles, average ranks.
+"""Distributed exact order statistics: quantiles and average ranks.
 
 Spark's exact ``percentile`` aggregate keeps a value->count map per
 group and merges it in one task, and a window with no partition key
-runs in one task. Both break when one group holds a large share of all
-rows. Here the data is range-partitioned on (group, value), so a hot
-group is split over many tasks; each task counts its rows per group,
-and a tiny (tasks x groups) table of running offsets turns the local
-row index into a global position. Only rows at the wanted positions
-are kept, so the final aggregate touches a handful of rows per group.
+runs in one task; both break when one group holds a large share of the
+rows. Here values are cut into value buckets whose edges come from one
+approximate-quantile pass (edges are plain literals afterwards, so
+every re-execution buckets identically). Per-(group, bucket) counts
+give each bucket's offset; only the buckets that hold a wanted position
+are opened, and inside them only the distinct values are ranked. A hot
+value is one row of its bucket's distinct-value table, so no task ever
+holds a hot group's rows.
 """
 
 from __future__ import annotations
 
+import math
 from typing import Sequence
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from storecast.session import shuffle_partitions
+ROWS_PER_BUCKET = 1_000_000
+MIN_BUCKETS = 64
+MAX_BUCKETS = 65_536
 
-_ROW_BITS = 33  # monotonically_increasing_id = partition index << 33 | row number
 
+def bucket_edges(d: DataFrame, col: str) -> list[float]:
+    """Edges splitting ``col`` into buckets of about ``ROWS_PER_BUCKET`` rows (two one-pass jobs)."""
+    n = d.agg(F.count(F.lit(1)).alias("n")).first()["n"]
+    if not n:
+        return []
+    b = int(min(MAX_BUCKETS, max(MIN_BUCKETS, math.ceil(n / ROWS_PER_BUCKET))))
+    probs = [i / b for i in range(1, b)]
+    qs = d.agg(F.percentile_approx(col, probs, 10 * b).alias("q")).first()["q"] or []
+    return sorted({float(x) for x in qs if x is not None and not math.isnan(x)})
 
-def with_positions(df: DataFrame, order: Sequence[str], by: Sequence[str] = (),
-                   num_partitions: int | None = None, pos_col: str = "_pos",
-                   size_col: str = "_n") -> DataFrame:
-    """Add the 1-based position of each row within its ``by`` group, ascending by ``order``.
 
-    Also adds the group size. Equal order keys get consecutive
-    positions in arbitrary order, which is all quantiles and average
-    ranks need.
-    """
-    by, order = list(by), list(order)
-    n = num_partitions or shuffle_partitions(df.sparkSession)
-    keys = by + order
-    x = (df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
-         .withColumn("_pid", F.spark_partition_id())
-         .withColumn("_idx", F.monotonically_increasing_id()
-                     - F.shiftleft(F.col("_pid").cast("long"), _ROW_BITS)))
-    # Per-(task, group) counts, renamed so the join back is not a self-join on shared lineage.
-    bk = [f"_b{i}" for i in range(len(by))]
-    blocks = x.groupBy(F.col("_pid").alias("_bpid"), *[F.col(c).alias(b) for c, b in zip(by, bk)]).agg(
-        F.count(F.lit(1)).alias("_cnt"), F.min("_idx").alias("_first"))
-    before = Window.partitionBy(*bk).orderBy("_bpid").rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy(*bk)
-    blocks = (blocks.withColumn("_off", F.coalesce(F.sum("_cnt").over(before), F.lit(0)))
-              .withColumn(size_col, F.sum("_cnt").over(whole)))
-    if not by:
-        # (tasks) rows: bounded by the partition count chosen above.
-        blocks = F.broadcast(blocks)
-    cond = [F.col("_pid") == F.col("_bpid")] + [F.col(c).eqNullSafe(F.col(b)) for c, b in zip(by, bk)]
-    joined = x.join(blocks, cond, "inner")
-    return joined.select(
-        *[F.col(f"`{c}`") for c in df.columns],
-        (F.col("_off") + F.col("_idx") - F.col("_first") + 1).alias(pos_col),
-        F.col(size_col),
-    )
+def _bucketed(d: DataFrame, col: str) -> DataFrame:
+    edges = bucket_edges(d, col)
+    splits = [-math.inf] + edges + [math.inf]
+    if len(splits) < 3:
+        return d.withColumn("_bk", F.lit(0.0))
+    return Bucketizer(splits=splits, inputCol=col, outputCol="_bk", handleInvalid="keep").transform(d)
+
+
+def _bucket_counts(b: DataFrame, by: Sequence[str]) -> DataFrame:
+    """(by..., _bk, _c, _off, _n): rows per bucket, rows in earlier buckets, rows in the group."""
+    by = list(by)
+    cnt = b.groupBy(*by, "_bk").agg(F.count(F.lit(1)).alias("_c"))
+    before = Window.partitionBy(*by).orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)
+    return (cnt.withColumn("_off", F.coalesce(F.sum("_c").over(before), F.lit(0)))
+            .withColumn("_n", F.sum("_c").over(Window.partitionBy(*by))))
+
+
+def _value_spans(b: DataFrame, cnt: DataFrame, col: str, by: Sequence[str]) -> DataFrame:
+    """(by..., _bk, value, ties, first, last): 1-based position span of each distinct value."""
+    by = list(by)
+    vals = b.groupBy(*by, "_bk", col).agg(F.count(F.lit(1)).alias("ties"))
+    w = Window.partitionBy(*by, "_bk").orderBy(col).rowsBetween(Window.unboundedPreceding, 0)
+    vals = vals.withColumn("_cum", F.sum("ties").over(w))
+    vals = vals.join(cnt.select(*by, "_bk", "_off"), [*by, "_bk"])
+    return vals.select(*by, "_bk", col, "ties", (F.col("_off") + F.col("_cum") - F.col("ties") + 1).alias("first"),
+                       (F.col("_off") + F.col("_cum")).alias("last"))
 
 
 def quantiles(df: DataFrame, col: str, probs: Sequence[float], by: Sequence[str] = (),
@@ -64,44 +71,49 @@ def quantiles(df: DataFrame, col: str, probs: Sequence[float], by: Sequence[str]
     """Exact quantiles with linear interpolation (pandas / ``quantile_cont``), per ``by`` group.
 
     Nulls and NaNs are skipped. ``approx=True`` uses ``percentile_approx``
-    (one pass, bounded sketch) for very large groups where an estimate
-    is enough.
+    (one pass, bounded sketch) where an estimate is enough.
     """
     by = list(by)
     names = list(names or [f"q{int(round(p * 100)):02d}" for p in probs])
     v = F.col(col).cast("double")
     d = df.select(*by, v.alias("_v")).where(F.col("_v").isNotNull() & ~F.isnan("_v"))
     if approx:
-        arr = F.percentile_approx("_v", list(probs), accuracy)
-        out = d.groupBy(*by).agg(arr.alias("_q"))
+        out = d.groupBy(*by).agg(F.percentile_approx("_v", list(probs), accuracy).alias("_q"))
         return out.select(*by, *[F.col("_q")[i].alias(nm) for i, nm in enumerate(names)])
-    p = with_positions(d, ["_v"], by)
-    h = [(F.col("_n") - 1) * F.lit(float(q)) for q in probs]
-    lo = [F.floor(e) + 1 for e in h]
-    hi = [F.ceil(e) + 1 for e in h]
-    keep = None
-    for a, b in zip(lo, hi):
-        cond = (F.col("_pos") == a) | (F.col("_pos") == b)
-        keep = cond if keep is None else keep | cond
-    picked = p.where(keep)
-    aggs = []
-    for i, (e, a, b) in enumerate(zip(h, lo, hi)):
-        aggs.append(F.max(F.when(F.col("_pos") == a, F.col("_v"))).alias(f"_lo{i}"))
-        aggs.append(F.max(F.when(F.col("_pos") == b, F.col("_v"))).alias(f"_hi{i}"))
-        aggs.append(F.max(e - F.floor(e)).alias(f"_f{i}"))
-    g = picked.groupBy(*by).agg(*aggs)
-    outs = []
-    for i, nm in enumerate(names):
-        lo_v, hi_v, f = F.col(f"_lo{i}"), F.col(f"_hi{i}"), F.col(f"_f{i}")
-        outs.append(F.when(f == 0, lo_v).otherwise(lo_v + f * (hi_v - lo_v)).alias(nm))
-    return g.select(*by, *outs)
+    b = _bucketed(d, "_v")
+    cnt = _bucket_counts(b, by)
+    sizes = cnt.select(*by, "_n").distinct()
+    # wanted 1-based positions: lo = floor(h) + 1, hi = ceil(h) + 1 with h = (n - 1) p
+    tg = []
+    for i, p in enumerate(probs):
+        h = (F.col("_n") - 1) * F.lit(float(p))
+        tg.append(F.struct(F.lit(i).alias("k"), (F.floor(h) + 1).alias("lo"), (F.ceil(h) + 1).alias("hi"),
+                           (h - F.floor(h)).alias("frac")))
+    targets = sizes.select(*by, F.explode(F.array(*tg)).alias("t")).select(*by, "t.*")
+    tpos = targets.select(*by, "k", F.explode(F.array(F.struct(F.lit("lo").alias("which"), F.col("lo").alias("pos")),
+                                                        F.struct(F.lit("hi").alias("which"), F.col("hi").alias("pos")))).alias("x")
+                          ).select(*by, "k", "x.which", "x.pos")
+    cond = [tpos[c].eqNullSafe(cnt[c]) for c in by]
+    hit = (tpos.join(cnt, cond) if cond else tpos.crossJoin(cnt)).where(
+        (F.col("pos") > F.col("_off")) & (F.col("pos") <= F.col("_off") + F.col("_c")))
+    hit = hit.select(*[tpos[c] for c in by], "k", "which", "pos", "_bk")
+    open_bk = hit.select(*by, "_bk").distinct()
+    spans = _value_spans(b.join(open_bk, [*by, "_bk"], "left_semi"), cnt, "_v", by)
+    picked = (hit.join(spans, [*by, "_bk"]).where((F.col("pos") >= F.col("first")) & (F.col("pos") <= F.col("last")))
+              .groupBy(*by, "k").agg(F.max(F.when(F.col("which") == "lo", F.col("_v"))).alias("_lo"),
+                                     F.max(F.when(F.col("which") == "hi", F.col("_v"))).alias("_hi")))
+    res = picked.join(targets.select(*by, "k", "frac"), [*by, "k"])
+    val = F.when(F.col("frac") == 0, F.col("_lo")).otherwise(F.col("_lo") + F.col("frac") * (F.col("_hi") - F.col("_lo")))
+    res = res.select(*by, "k", val.alias("_q"))
+    return res.groupBy(*by).agg(*[F.max(F.when(F.col("k") == i, F.col("_q"))).alias(nm) for i, nm in enumerate(names)])
 
 
 def average_ranks(df: DataFrame, col: str, by: Sequence[str] = ()) -> DataFrame:
-    """W6 — one row per distinct value: (by..., value, ties, rank) with tied values sharing
-    the mean of their positions (1-based) in the pooled ascending order."""
+    """W6 — one row per distinct value: (by..., value, ties, rank); tied values share the mean
+    of their 1-based positions in ascending order."""
     by = list(by)
-    p = with_positions(df.select(*by, col).where(F.col(col).isNotNull()), [col], by)
-    return (p.groupBy(*by, col)
-            .agg(F.count(F.lit(1)).alias("ties"),
-                 ((F.min("_pos") + F.max("_pos")) / F.lit(2.0)).alias("rank")))
+    d = df.select(*by, F.col(col).cast("double").alias(col)).where(F.col(col).isNotNull())
+    b = _bucketed(d, col)
+    cnt = _bucket_counts(b, by)
+    spans = _value_spans(b, cnt, col, by)
+    return spans.select(*by, col, "ties", ((F.col("first") + F.col("last")) / F.lit(2.0)).alias("rank"))

@@ -6,3 +6,8 @@ from storecast.plans import explore_queries  # noqa: F401,E402
 from storecast.plans import stats_queries  # noqa: F401,E402
 from storecast.plans import basket_queries  # noqa: F401,E402
 from storecast.plans import segment_queries  # noqa: F401,E402
+from storecast.plans import forecast_queries  # noqa: F401,E402
+from storecast.plans import anomaly_queries  # noqa: F401,E402
+from storecast.plans import planning_queries  # noqa: F401,E402
+from storecast.plans import stream_queries  # noqa: F401,E402
+from storecast.plans import source_queries  # noqa: F401,E402
