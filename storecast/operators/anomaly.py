@@ -19,7 +19,7 @@ from typing import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -359,33 +359,41 @@ def stl_anomalies(grid: DataFrame, by: Sequence[str] = ("store", "dept"), value:
     return g.select(*by, date_col, "_y", "_obs").groupBy(*by).applyInPandas(run, T.StructType(fields))
 
 
+def _fixed(c: Column | str, scale: float = 1e4) -> Column:
+    """Value as an integer count of 1/``scale`` units (IEEE multiply, add, floor: the same in any engine)."""
+    col = F.col(c) if isinstance(c, str) else c
+    return F.floor(col * F.lit(scale) + F.lit(0.5)).cast("long")
+
+
 def classical_decompose(grid: DataFrame, by: Sequence[str] = ("store", "dept"), value: str = "_y",
                         date_col: str = "week", period: int = 52) -> DataFrame:
     """G7 fast path — additive classical decomposition with pure window expressions.
 
     trend = centred 2 x ``period`` moving average (NULL at the ends);
     seasonal = mean detrended value per phase (row index mod period),
-    centred over the phases; resid = y - trend - seasonal. Sums run in
-    DECIMAL(.., 4) so the result does not depend on summation order.
+    centred over the phases; resid = y - trend - seasonal. Sums run on
+    fixed-point integers (1e-4 units), so they are exact and do not
+    depend on the summation order of any engine.
     """
     by = list(by)
-    dec = "decimal(24,4)"
+    scale = 1e4
     w = Window.partitionBy(*by).orderBy(date_col)
     half = period // 2
     frame = w.rowsBetween(-half, half)
-    yd = F.col(value).cast(dec)
+    q = _fixed(value, scale)
     full = F.count(value).over(frame) == period + 1
     if period % 2 == 0:
-        num = F.sum(yd).over(frame) - (F.lag(yd, half).over(w) + F.lead(yd, half).over(w)) * F.lit(0.5)
+        num2 = F.lit(2) * F.sum(q).over(frame) - (F.lag(q, half).over(w) + F.lead(q, half).over(w))
+        ma = num2.cast("double") / F.lit(2.0 * scale * period)
     else:
-        num = F.sum(yd).over(frame)
-    ma = num.cast("double") / F.lit(float(period))
+        ma = F.sum(q).over(frame).cast("double") / F.lit(scale * period)
     x = grid.withColumn("_i", F.row_number().over(w) - 1).withColumn("trend", F.when(full, ma))
     x = x.withColumn("_ph", F.col("_i") % period).withColumn("_dt", F.col(value) - F.col("trend"))
-    ph = x.groupBy(*by, "_ph").agg((F.sum(F.col("_dt").cast(dec)).cast("double") / F.count("_dt")).alias("_s"))
+    ph = x.groupBy(*by, "_ph").agg((F.sum(_fixed("_dt", scale)).cast("double") / F.lit(scale)
+                                    / F.count("_dt")).alias("_s"))
     all_ph = Window.partitionBy(*by)
-    ph = ph.withColumn("seasonal", F.col("_s") - F.sum(F.col("_s").cast(dec)).over(all_ph).cast("double")
-                       / F.count("_s").over(all_ph))
+    centre = F.sum(_fixed("_s", scale)).over(all_ph).cast("double") / F.lit(scale) / F.count("_s").over(all_ph)
+    ph = ph.withColumn("seasonal", F.col("_s") - centre)
     return (x.join(ph.select(*by, "_ph", "seasonal"), [*by, "_ph"])
             .select(*by, date_col, F.col(value).alias("y"), "trend", "seasonal",
                     (F.col(value) - F.col("trend") - F.col("seasonal")).alias("resid")))

@@ -104,9 +104,10 @@ def hierarchy_totals(df: DataFrame, value: str = "weekly_sales") -> DataFrame:
 
 def hierarchy_consistency(totals: DataFrame) -> DataFrame:
     """K12 — bottom-up check: each store total minus the sum of its store-dept cells (should be 0)."""
-    cells = totals.where(F.col("level") == "store_dept").groupBy("store").agg(F.sum("total").alias("_cells"))
-    stores = totals.where(F.col("level") == "store").select("store", F.col("total").alias("_store"))
-    return stores.join(cells, "store").select("store", (F.col("_store") - F.col("_cells")).alias("gap"))
+    money = F.col("total").cast("decimal(20,2)")  # totals are whole cents: exact, order-free sums
+    cells = totals.where(F.col("level") == "store_dept").groupBy("store").agg(F.sum(money).alias("_cells"))
+    stores = totals.where(F.col("level") == "store").select("store", money.alias("_store"))
+    return stores.join(cells, "store").select("store", (F.col("_store") - F.col("_cells")).cast("double").alias("gap"))
 
 
 def drift_report(df: DataFrame, cols: Sequence[str], recent_from: str, bins: int = 10,

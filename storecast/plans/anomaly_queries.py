@@ -44,27 +44,35 @@ def w4_w5_grid_interpolate(spark, sf_dir):
     return g.select("store", "dept", "week", "weekly_sales", F.round("_y", 6).alias("y_interp"))
 
 
+def _fx(e: str) -> str:
+    return f"CAST(floor(({e}) * 10000.0E0 + 0.5E0) AS BIGINT)"
+
+
 @register("g7_classical_decompose", S.with_ctes([S.PANEL_SALES, _GRID, """d AS (
   SELECT store, dept, week, yi,
          row_number() OVER (PARTITION BY store, dept ORDER BY week) - 1 AS i,
          CASE WHEN COUNT(yi) OVER (PARTITION BY store, dept ORDER BY week ROWS BETWEEN 26 PRECEDING AND 26 FOLLOWING) = 53
-              THEN CAST(SUM(CAST(yi AS DECIMAL(24,4))) OVER (PARTITION BY store, dept ORDER BY week ROWS BETWEEN 26 PRECEDING AND 26 FOLLOWING)
-                    - (lag(CAST(yi AS DECIMAL(24,4)), 26) OVER (PARTITION BY store, dept ORDER BY week)
-                       + lead(CAST(yi AS DECIMAL(24,4)), 26) OVER (PARTITION BY store, dept ORDER BY week)) * 0.5 AS DOUBLE) / 52.0E0
+              THEN CAST(2 * SUM(""" + _fx("yi") + """) OVER (PARTITION BY store, dept ORDER BY week ROWS BETWEEN 26 PRECEDING AND 26 FOLLOWING)
+                    - (lag(""" + _fx("yi") + """, 26) OVER (PARTITION BY store, dept ORDER BY week)
+                       + lead(""" + _fx("yi") + """, 26) OVER (PARTITION BY store, dept ORDER BY week)) AS DOUBLE) / 1040000.0E0
          END AS trend
   FROM interp)""", """ph AS (SELECT store, dept, i % 52 AS ph,
-         CAST(SUM(CAST(yi - trend AS DECIMAL(24,4))) AS DOUBLE) / COUNT(yi - trend) AS s
+         CAST(SUM(""" + _fx("yi - trend") + """) AS DOUBLE) / 10000.0E0 / COUNT(yi - trend) AS s
        FROM d GROUP BY store, dept, i % 52)""",
     """phc AS (SELECT store, dept, ph,
-         s - CAST(SUM(CAST(s AS DECIMAL(24,4))) OVER (PARTITION BY store, dept) AS DOUBLE) / COUNT(s) OVER (PARTITION BY store, dept) AS seasonal
+         s - CAST(SUM(""" + _fx("s") + """) OVER (PARTITION BY store, dept) AS DOUBLE) / 10000.0E0 / COUNT(s) OVER (PARTITION BY store, dept) AS seasonal
        FROM ph)"""], """
-SELECT d.store, d.dept, d.week, ROUND(d.yi, 6) AS y, ROUND(d.trend, 4) AS trend, ROUND(phc.seasonal, 4) AS seasonal,
-       ROUND(d.yi - d.trend - phc.seasonal, 4) AS resid
+SELECT d.store, d.dept, d.week, ROUND(d.yi, 6) AS y,
+       CAST(ROUND(CAST(d.trend AS DECIMAL(38,6)), 2) AS DOUBLE) AS trend,
+       CAST(ROUND(CAST(phc.seasonal AS DECIMAL(38,6)), 2) AS DOUBLE) AS seasonal,
+       CAST(ROUND(CAST(d.yi - d.trend - phc.seasonal AS DECIMAL(38,6)), 2) AS DOUBLE) AS resid
 FROM d JOIN phc ON d.store = phc.store AND d.dept = phc.dept AND d.i % 52 = phc.ph"""))
 def g7_classical_decompose(spark, sf_dir):
     dec = G.classical_decompose(grid_interp(spark, sf_dir))
-    return dec.select("store", "dept", "week", F.round("y", 6).alias("y"), F.round("trend", 4).alias("trend"),
-                      F.round("seasonal", 4).alias("seasonal"), F.round("resid", 4).alias("resid"))
+    def cents(c):  # round through DECIMAL so half-way values round the same in every engine
+        return F.round(F.col(c).cast("decimal(38,6)"), 2).cast("double").alias(c)
+    return dec.select("store", "dept", "week", F.round("y", 6).alias("y"), cents("trend"), cents("seasonal"),
+                      cents("resid"))
 
 
 @register("g5_stl_anomalies")

@@ -87,3 +87,20 @@ def i12_a7_a8_best_model_roundtrip(spark, sf_dir):
     M.save_model(models[best["model"]], {"model_name": best["model"], "feature_names": FEATS,
                                          "wmae_test": best["wmae"]}, path)
     return M.load_and_score(path, test, 5).withColumn("model", F.lit(best["model"]))
+
+
+@register("i7_series_forecast")
+def i7_series_forecast(spark, sf_dir):
+    """Seasonal ARIMA-type forecast with exogenous inputs for every (store, dept) series."""
+    from storecast.operators.seasonal import forecast_series
+    return forecast_series(panel(spark, sf_dir))
+
+
+@register("h6_pca_store_map")
+def h6_pca_store_map(spark, sf_dir):
+    """PCA(2) projection of the standardised store vectors (cluster map coordinates)."""
+    from storecast.operators import stats as E
+    from storecast.plans.segment_queries import COLS, store_vectors
+    scored, ratio = E.pca(store_vectors(spark, sf_dir).fillna(0.0, subset=COLS), COLS, 2)
+    return scored.select("store", "type", "pc1", "pc2").withColumn("explained_1", F.lit(float(ratio[0]))).withColumn(
+        "explained_2", F.lit(float(ratio[1])))

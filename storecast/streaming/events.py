@@ -37,7 +37,9 @@ def event_stream(spark: SparkSession, sf_dir: str, files_per_trigger: int = 1) -
 def window_counts(spark: SparkSession, sf_dir: str, window: str = "1 day", watermark: str = "2 days") -> DataFrame:
     """Per event-time window and event type: events and summed value."""
     work = _work_dir(spark, "window-counts")
+    # watermarks need TIMESTAMP event time; the table stores wall-clock TIMESTAMP_NTZ (session time zone UTC)
     agg = (event_stream(spark, sf_dir)
+           .withColumn("ts", F.col("ts").cast("timestamp"))
            .withWatermark("ts", watermark)
            .groupBy(F.window("ts", window).alias("w"), "event_type")
            .agg(F.count(F.lit(1)).alias("events"), F.sum("value").alias("value_sum")))
