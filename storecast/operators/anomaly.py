@@ -153,8 +153,21 @@ def score_isolation_forest(df: DataFrame, forest: DataFrame, cols: Sequence[str]
     return df.mapInPandas(score, schema)
 
 
+def materialize(df: DataFrame) -> DataFrame:
+    """Cut the lineage of an expensive result that is read several times (checkpoint in the
+    shared checkpoint folder; cache only when no folder is configured)."""
+    if df.sparkSession.sparkContext.getCheckpointDir():
+        return df.checkpoint(eager=True)
+    return df.cache()
+
+
 def flag_top(df: DataFrame, score: str, contamination: float, out: str) -> DataFrame:
-    """Flag rows whose score is above the (1 - contamination) exact quantile (one-row threshold)."""
+    """Flag rows whose score is above the (1 - contamination) exact quantile (one-row threshold).
+
+    The scores are materialised first: the threshold and the flags both
+    read them, and re-deriving model scores per read would repeat the model.
+    """
+    df = materialize(df)
     thr = order.quantiles(df, score, [1.0 - contamination], names=["_thr"])
     return df.crossJoin(F.broadcast(thr)).withColumn(
         out, F.when(F.col(score) > F.col("_thr"), 1).otherwise(0)).drop("_thr")
@@ -163,6 +176,7 @@ def flag_top(df: DataFrame, score: str, contamination: float, out: str) -> DataF
 def contamination_sweep(scored: DataFrame, score: str, rates: Sequence[float],
                         flag_col: str = "is_holiday") -> DataFrame:
     """G2/G4 — one scoring pass, several thresholds: (rate, flagged share, holiday share inside flags)."""
+    scored = materialize(scored)
     thr = order.quantiles(scored, score, [1.0 - r for r in rates], names=[f"t{i}" for i in range(len(rates))])
     x = scored.crossJoin(F.broadcast(thr))
     aggs = []
@@ -177,7 +191,7 @@ def contamination_sweep(scored: DataFrame, score: str, rates: Sequence[float],
 
 # ------------------------------------------------------------------ LOF
 
-def knn(df: DataFrame, cols: Sequence[str], k: int, id_col: str = "_id", block_rows: int = 4096) -> DataFrame:
+def knn(df: DataFrame, cols: Sequence[str], k: int, id_col: str = "_id", block_rows: int = 16384) -> DataFrame:
     """Exact k nearest neighbours (Euclidean, self excluded): (id, nbr, dist, rank).
 
     Rows are hashed into blocks; every block pair is one task that keeps

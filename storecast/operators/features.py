@@ -30,12 +30,17 @@ def iqr_fence(df: DataFrame, col: str = "weekly_sales", k: float = 1.5) -> DataF
 
 
 def iqr_flags(df: DataFrame, col: str = "weekly_sales") -> DataFrame:
-    """E5/S3 — add ``is_outlier_iqr`` and ``is_negative`` (the fence row is broadcast: one row)."""
-    fence = F.broadcast(iqr_fence(df, col).select("lower", "upper"))
-    x = df.crossJoin(fence)
-    return (x.withColumn("is_outlier_iqr", scalar.flag((F.col(col) < F.col("lower")) | (F.col(col) > F.col("upper"))))
-            .withColumn("is_negative", scalar.flag(F.col(col) < 0))
-            .drop("lower", "upper"))
+    """E5/S3 — add ``is_outlier_iqr`` and ``is_negative``.
+
+    The two fence values are computed once (one small job) and enter
+    the plan as literals, so later stages filter without re-running the
+    quantile sub-plan.
+    """
+    fence = iqr_fence(df, col).first()
+    lower, upper = fence["lower"], fence["upper"]
+    out_fl = (F.col(col) < F.lit(lower)) | (F.col(col) > F.lit(upper)) if lower is not None else F.lit(False)
+    return (df.withColumn("is_outlier_iqr", scalar.flag(out_fl))
+            .withColumn("is_negative", scalar.flag(F.col(col) < 0)))
 
 
 def dept_codes(df: DataFrame, col: str = "dept") -> DataFrame:
@@ -74,12 +79,16 @@ def split_cutoff(df: DataFrame, date_col: str = "week", frac: float = 0.8) -> Da
 
 
 def temporal_split(df: DataFrame, date_col: str = "week", frac: float = 0.8) -> tuple[DataFrame, DataFrame]:
-    """E6 — (train, test) with train <= cutoff < test; the cutoff row is broadcast (one row)."""
-    cut = F.broadcast(split_cutoff(df, date_col, frac))
-    x = df.crossJoin(cut)
-    day = F.unix_date(F.col(date_col))
-    return (x.where(day <= F.col("cutoff_day")).drop("cutoff_day"),
-            x.where(day > F.col("cutoff_day")).drop("cutoff_day"))
+    """E6 — (train, test) with train <= cutoff < test.
+
+    The cutoff is one number computed by a small distributed job; it
+    enters both plans as a literal, so the split is a pushed-down filter.
+    """
+    cut = split_cutoff(df, date_col, frac).first()["cutoff_day"]
+    day = F.unix_date(F.col(date_col)).cast("double")
+    if cut is None:
+        return df, df.limit(0)
+    return df.where(day <= F.lit(float(cut))), df.where(day > F.lit(float(cut)))
 
 
 def standardize(df: DataFrame, cols: Sequence[str], suffix: str = "") -> DataFrame:

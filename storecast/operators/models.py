@@ -146,7 +146,8 @@ def random_search(train: DataFrame, feats: Sequence[str], kind: str, grid: dict,
         combos = [dict(c, **{key: v}) for c in combos for v in values]
     draws = rng.sample(combos, min(n_iter, len(combos)))
     folds = fc.time_folds(train, k)
-    tagged = train.join(F.broadcast(folds.select("week", "fold_test")), "week")  # one row per date
+    # one row per date in the fold table; cached because every draw re-reads it
+    tagged = train.join(F.broadcast(folds.select("week", "fold_test")), "week").cache()
     fit = {"forest": fit_forest, "boosted": fit_boosted}[kind]
     scores = []
     for i, params in enumerate(draws):
@@ -158,6 +159,7 @@ def random_search(train: DataFrame, feats: Sequence[str], kind: str, grid: dict,
             r = fc.metrics(predict(m, te, kind)).first()["rmse"]
             rmses.append(r)
         scores.append((i, json.dumps(params, sort_keys=True), float(sum(rmses) / len(rmses))))
+    tagged.unpersist()
     best = min(scores, key=lambda s: (s[2], s[0]))
     table = spark.createDataFrame(scores, "draw int, params string, cv_rmse double")
     return json.loads(best[1]), table
@@ -172,7 +174,7 @@ def ridge_search(train: DataFrame, feats: Sequence[str], alphas=(0.1, 1.0, 10.0,
     """
     spark = train.sparkSession
     folds = fc.time_folds(train, k)
-    tagged = train.join(F.broadcast(folds.select("week", "fold_test")), "week")
+    tagged = train.join(F.broadcast(folds.select("week", "fold_test")), "week").cache()
     parts = gram_blocks(tagged, feats, "fold_test")
     scores = []
     for a in alphas:
@@ -184,6 +186,7 @@ def ridge_search(train: DataFrame, feats: Sequence[str], alphas=(0.1, 1.0, 10.0,
             preds = p if preds is None else preds.unionByName(p)
         per_fold = fc.metrics(preds, ["fold"]).agg(F.avg("rmse").alias("cv_rmse")).first()["cv_rmse"]
         scores.append((float(a), float(per_fold)))
+    tagged.unpersist()
     best = min(scores, key=lambda s: (s[1], s[0]))[0]
     return best, spark.createDataFrame(scores, "alpha double, cv_rmse double")
 
