@@ -45,6 +45,12 @@ def table_info(df: DataFrame) -> DataFrame:
     return long.join(F.broadcast(dtypes), "column")
 
 
+def columns(df: DataFrame) -> DataFrame:
+    """B7 — column inventory (position, column, dtype) from the schema; no data is read."""
+    return df.sparkSession.createDataFrame([(i, c, t) for i, (c, t) in enumerate(df.dtypes)],
+                                           "position int, column string, dtype string")
+
+
 def duplicate_count(df: DataFrame) -> DataFrame:
     """B4 — rows that repeat an earlier identical row: sum(count - 1) over full-row groups."""
     g = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("_c"))

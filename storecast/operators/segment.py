@@ -231,10 +231,11 @@ def dbscan(df: DataFrame, cols: Sequence[str], eps: float = 1.5, min_samples: in
               .join(core.withColumnRenamed("_id", "src"), "src", "left_anti")
               .groupBy("src").agg(F.min("lab").alias("lab")).withColumnRenamed("src", "_id"))
     all_lab = labels.unionByName(border)
-    # renumber components 0.. in order of their smallest member (k rows, one per cluster)
-    first = all_lab.groupBy("lab").agg(F.min("_id").alias("_first"))
+    # renumber components 0.. in order of their smallest core point, as a scan in id order
+    # would discover them (one row per cluster)
     from pyspark.sql import Window
-    first = first.withColumn("cluster", (F.row_number().over(Window.orderBy("_first")) - 1).cast("int"))
+    first = labels.select("lab").distinct().withColumn(
+        "cluster", (F.row_number().over(Window.orderBy("lab")) - 1).cast("int"))
     out = base.select("_id").join(all_lab, "_id", "left").join(first.select("lab", "cluster"), "lab", "left")
     return out.select(F.col("_id").alias(id_col), F.coalesce("cluster", F.lit(-1)).alias("dbscan"))
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from storecast.operators import features as fe
 from storecast.operators import segment as H
+from storecast.plans import sql_blocks as S
 from storecast.plans.explore_queries import panel, q
 from storecast.plans.registry import register
 
@@ -102,7 +103,21 @@ def h3_kmeans_labels(spark, sf_dir):
     return lab.select("store", "type", "cluster")
 
 
-@register("h10_dbscan")
+_DBSCAN_SQL = "WITH RECURSIVE " + ",\n".join(S.BASE) + ",\n" + _H1 + ",\n" + _Z + """,
+nb AS (SELECT a.store AS src, b.store AS dst FROM z a JOIN z b ON """ + _dist("a", "b") + """ <= 1.5),
+core AS (SELECT src AS store FROM nb GROUP BY src HAVING COUNT(*) >= 3),
+ce AS (SELECT src, dst FROM nb WHERE src IN (SELECT store FROM core) AND dst IN (SELECT store FROM core)),
+reach(root, node) AS (SELECT store, store FROM core UNION SELECT r.root, ce.dst FROM reach r JOIN ce ON r.node = ce.src),
+comp AS (SELECT node AS store, MIN(root) AS lab FROM reach GROUP BY node),
+border AS (SELECT nb.src AS store, MIN(comp.lab) AS lab FROM nb JOIN comp ON nb.dst = comp.store
+           WHERE nb.src NOT IN (SELECT store FROM core) GROUP BY nb.src),
+alll AS (SELECT * FROM comp UNION ALL SELECT * FROM border),
+num AS (SELECT lab, CAST(row_number() OVER (ORDER BY lab) - 1 AS INTEGER) AS cluster FROM (SELECT DISTINCT lab FROM comp))
+SELECT z.store, COALESCE(num.cluster, -1) AS dbscan
+FROM z LEFT JOIN alll ON z.store = alll.store LEFT JOIN num ON alll.lab = num.lab"""
+
+
+@register("h10_dbscan", _DBSCAN_SQL)
 def h10_dbscan(spark, sf_dir):
     """DBSCAN eps 1.5, min_samples 3 on standardised store vectors."""
     return H.dbscan(std_vectors(spark, sf_dir), COLS, 1.5, 3)

@@ -70,6 +70,20 @@ def to_reference_layout(panel_sales: DataFrame) -> DataFrame:
                               (F.col("is_holiday") == 1).alias("IsHoliday"))
 
 
+def features_reference_layout(features: DataFrame) -> DataFrame:
+    """Panel features in the reference's features layout (IsHoliday from the ISO week rule)."""
+    from storecast.sources.panel import HOLIDAY_WEEKS
+    return features.select(
+        F.col("store").alias("Store"), F.col("week").alias("Date"), F.col("temperature").alias("Temperature"),
+        F.col("fuel_price").alias("Fuel_Price"), *[F.col(f"markdown{i}").alias(f"MarkDown{i}") for i in range(1, 6)],
+        F.col("cpi").alias("CPI"), F.col("unemployment").alias("Unemployment"),
+        F.weekofyear("week").isin(*HOLIDAY_WEEKS).alias("IsHoliday"))
+
+
+def stores_reference_layout(stores: DataFrame) -> DataFrame:
+    return stores.select(F.col("store").alias("Store"), F.col("type").alias("Type"), F.col("size").alias("Size"))
+
+
 def write_table(df: DataFrame, path: str, fmt: str = "csv", index_col: str | None = None,
                 single_file: bool = False) -> None:
     """A5/A6 — write a result table with a header; ``index_col`` first (the leaderboard's model name).
@@ -84,6 +98,6 @@ def write_table(df: DataFrame, path: str, fmt: str = "csv", index_col: str | Non
         df = df.coalesce(1)
     w = df.write.mode("overwrite")
     if fmt == "csv":
-        w.option("header", True).option("dateFormat", "dd/MM/yyyy").csv(path)
+        w.option("header", True).option("dateFormat", "dd/MM/yyyy").option("nullValue", "NA").csv(path)
     else:
         w.format(fmt).save(path)
