@@ -93,10 +93,16 @@ def fit_isolation_forest(df: DataFrame, cols: Sequence[str] = AD_COLS, keys: Seq
     h = F.xxhash64(*[F.col(k) for k in keys], F.lit(seed))
     u = (F.pmod(h, F.lit(1 << 30)).cast("double") / float(1 << 30))
     pool = df.select(*keys, *[F.col(c).cast("double").alias(c) for c in cols]).where(u < pool_rate)
+    pool_size = max(1.0, pool_rate * n)
     per_tree = pool.withColumn("_tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
     rank_h = F.xxhash64(*[F.col(k) for k in keys], F.lit(seed), F.col("_tree"))
-    w = Window.partitionBy("_tree").orderBy(rank_h, *keys)
-    sample = per_tree.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= psi).drop("_r")
+    rank_u = F.pmod(rank_h, F.lit(1 << 30)).cast("double") / float(1 << 30)
+    # keep about 4 x psi candidates per tree before the per-tree sort (narrow filter, no shuffle
+    # of the exploded pool); each tree then takes its psi smallest hashes
+    keep = min(1.0, 4.0 * psi / pool_size)
+    per_tree = per_tree.withColumn("_u", rank_u).where(F.col("_u") < keep)
+    w = Window.partitionBy("_tree").orderBy("_u", *keys)
+    sample = per_tree.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= psi).drop("_r", "_u")
     schema = T.StructType([T.StructField("tree", T.IntegerType()), T.StructField("node", T.IntegerType()),
                            T.StructField("feature", T.IntegerType()), T.StructField("threshold", T.DoubleType()),
                            T.StructField("left", T.IntegerType()), T.StructField("right", T.IntegerType()),
@@ -213,11 +219,12 @@ def knn(df: DataFrame, cols: Sequence[str], k: int, id_col: str = "_id", block_r
         xl, xr = L[cols].to_numpy(float), R[cols].to_numpy(float)
         lid, rid = L["_id"].to_numpy(), R["_id"].to_numpy()
         outs = []
-        for s in range(0, len(xl), 1024):
-            a = xl[s:s + 1024]
+        step = 256
+        for s in range(0, len(xl), step):
+            a = xl[s:s + step]
             d2 = (a * a).sum(1)[:, None] + (xr * xr).sum(1)[None, :] - 2.0 * (a @ xr.T)
             d = np.sqrt(np.maximum(d2, 0.0))
-            d[lid[s:s + 1024, None] == rid[None, :]] = np.inf
+            d[lid[s:s + step, None] == rid[None, :]] = np.inf
             kk = min(k, d.shape[1])
             if kk == 0:
                 continue
@@ -225,7 +232,7 @@ def knn(df: DataFrame, cols: Sequence[str], k: int, id_col: str = "_id", block_r
             dd = np.take_along_axis(d, idx, axis=1)
             ok = np.isfinite(dd)
             rows = np.repeat(np.arange(len(dd)), kk).reshape(dd.shape)
-            outs.append(pd.DataFrame({"_id": lid[s:s + 1024][rows[ok]], "nbr": rid[idx[ok]], "dist": dd[ok]}))
+            outs.append(pd.DataFrame({"_id": lid[s:s + step][rows[ok]], "nbr": rid[idx[ok]], "dist": dd[ok]}))
         return pd.concat(outs) if outs else pd.DataFrame({"_id": [], "nbr": [], "dist": []})
 
     cand = routed.groupBy("_a", "_b").applyInPandas(best, schema)
