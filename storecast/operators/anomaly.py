@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from storecast.operators import order, windows
+from storecast.operators.order import materialize
 from storecast.operators.features import standardize
 
 AD_COLS = ["weekly_sales", "total_markdown", "temperature", "cpi", "unemployment", "size",
@@ -159,14 +160,6 @@ def score_isolation_forest(df: DataFrame, forest: DataFrame, cols: Sequence[str]
     return df.mapInPandas(score, schema)
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Cut the lineage of an expensive result that is read several times (checkpoint in the
-    shared checkpoint folder; cache only when no folder is configured)."""
-    if df.sparkSession.sparkContext.getCheckpointDir():
-        return df.checkpoint(eager=True)
-    return df.cache()
-
-
 def flag_top(df: DataFrame, score: str, contamination: float, out: str) -> DataFrame:
     """Flag rows whose score is above the (1 - contamination) exact quantile (one-row threshold).
 

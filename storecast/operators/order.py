@@ -26,6 +26,14 @@ MIN_BUCKETS = 64
 MAX_BUCKETS = 65_536
 
 
+def materialize(df: DataFrame) -> DataFrame:
+    """Write a narrow intermediate once and read it back (checkpoint in ``spark.checkpoint.dir``;
+    cache only when no folder is configured). Used where one projection is read several times."""
+    if df.sparkSession.sparkContext.getCheckpointDir():
+        return df.checkpoint(eager=True)
+    return df.cache()
+
+
 def bucket_edges(d: DataFrame, col: str) -> list[float]:
     """Edges splitting ``col`` into buckets of about ``ROWS_PER_BUCKET`` rows (two one-pass jobs)."""
     n = d.agg(F.count(F.lit(1)).alias("n")).first()["n"]
@@ -77,6 +85,10 @@ def quantiles(df: DataFrame, col: str, probs: Sequence[float], by: Sequence[str]
     names = list(names or [f"q{int(round(p * 100)):02d}" for p in probs])
     v = F.col(col).cast("double")
     d = df.select(*by, v.alias("_v")).where(F.col("_v").isNotNull() & ~F.isnan("_v"))
+    if not approx:
+        # the (group, value) projection is read by the edge jobs, the counts and the opened
+        # buckets: write it once instead of re-deriving the upstream plan for every read
+        d = materialize(d)
     if approx:
         out = d.groupBy(*by).agg(F.percentile_approx("_v", list(probs), accuracy).alias("_q"))
         return out.select(*by, *[F.col("_q")[i].alias(nm) for i, nm in enumerate(names)])
@@ -112,7 +124,7 @@ def average_ranks(df: DataFrame, col: str, by: Sequence[str] = ()) -> DataFrame:
     """W6 — one row per distinct value: (by..., value, ties, rank); tied values share the mean
     of their 1-based positions in ascending order."""
     by = list(by)
-    d = df.select(*by, F.col(col).cast("double").alias(col)).where(F.col(col).isNotNull())
+    d = materialize(df.select(*by, F.col(col).cast("double").alias(col)).where(F.col(col).isNotNull()))
     b = _bucketed(d, col)
     cnt = _bucket_counts(b, by)
     spans = _value_spans(b, cnt, col, by)

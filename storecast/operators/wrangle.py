@@ -71,6 +71,11 @@ def clip_lower(c: Column | str, lower: float = 0.0) -> Column:
     return F.greatest(col, F.lit(lower))
 
 
+def sample_key(keys: Sequence[str], seed: int) -> Column:
+    """Seeded hash of the key text (md5, so other engines can reproduce the same sample)."""
+    return F.md5(F.concat_ws("|", *[F.col(k).cast("string") for k in keys], F.lit(str(seed))))
+
+
 def sample_n(df: DataFrame, n: int, seed: int, keys: Sequence[str]) -> DataFrame:
     """C16 — exactly ``n`` rows (or all when fewer), chosen by a seeded hash of ``keys``.
 
@@ -78,10 +83,10 @@ def sample_n(df: DataFrame, n: int, seed: int, keys: Sequence[str]) -> DataFrame
     partitioning, so reruns and lost executors give the same sample.
     Each task keeps its ``n`` best rows (TakeOrderedAndProject), so the
     merge holds at most ``n`` x tasks rows: ``n`` is the sample size the
-    caller asked for, not a property of the data.
+    caller asked for, not a property of the data. Keys should be
+    integers, strings or dates (their text form is engine-independent).
     """
-    h = F.xxhash64(*[F.col(k) for k in keys], F.lit(seed))
-    return df.withColumn("_h", h).orderBy("_h", *keys).limit(n).drop("_h")
+    return df.withColumn("_h", sample_key(keys, seed)).orderBy("_h").limit(n).drop("_h")
 
 
 def top_k(df: DataFrame, by: Sequence[str] | str, n: int, ascending: bool = False,

@@ -161,7 +161,10 @@ def c6_c14_store_lookup_join(spark, sf_dir):
     return df.join(stores, "store", "inner").select("store", r("mean_sales"), "type")
 
 
-@register("c16_sample_n")
+_MD5 = "md5(concat_ws('|', CAST(store AS VARCHAR), CAST(dept AS VARCHAR), CAST(week AS VARCHAR), '42'))"
+
+
+@register("c16_sample_n", q(f"SELECT * FROM panel ORDER BY {_MD5} LIMIT 2000"))
 def c16_sample_n(spark, sf_dir):
     """Seeded exact-n sample (a sampling operator: the limit is the feature)."""
     return C.sample_n(panel(spark, sf_dir), 2000, 42, ["store", "dept", "week"])
@@ -288,7 +291,8 @@ def d11_markdown_coverage(spark, sf_dir):
     return D.coverage(panel(spark, sf_dir))
 
 
-@register("d12_postlaunch_sample")
+@register("d12_postlaunch_sample", q(f"""
+SELECT total_markdown, weekly_sales FROM panel WHERE week >= DATE '1998-01-05' ORDER BY {_MD5} LIMIT 20000"""))
 def d12_postlaunch_sample(spark, sf_dir):
     """Post-launch markdown vs sales sample (sampling operator)."""
     df = panel(spark, sf_dir).where(F.col("week") >= F.lit(P.MARKDOWN_LAUNCH).cast("date"))

@@ -39,40 +39,48 @@ def _week(c: str):
     return F.date_trunc("week", F.col(c)).cast("date")
 
 
-def panel_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fact table: (store, dept, week, weekly_sales, is_holiday)."""
+def line_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One pass over ``lineitem``: exact (DECIMAL) partial sums per (store, dept, week).
+
+    Both the sales fact and the store-week features are re-aggregations
+    of this table, so the largest table is scanned and shuffled once per
+    query (the two branches share the same exchange). ``dept`` is NULL
+    for lines whose part is unknown: they count for the features but not
+    for the sales panel, as in the recipe's inner join.
+    """
     t = Tables(spark, sf_dir)
-    li = t.lineitem.select("l_partkey", "l_suppkey", "l_extendedprice", "l_returnflag",
-                           "l_discount", "l_shipdate")
+    li = t.lineitem.select("l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice",
+                           "l_returnflag", "l_discount", "l_tax", "l_shipdate")
     sup = t.supplier.select("s_suppkey", F.col("s_nationkey").alias("store"))
     part = t.part.select("p_partkey", F.col("p_type").alias("dept"))
     sign = F.when((F.col("l_returnflag") == "R") & (F.col("l_discount") >= 0.09), F.lit(-1)).otherwise(F.lit(1))
     hol = F.when(F.weekofyear("l_shipdate").isin(*HOLIDAY_WEEKS), F.lit(1)).otherwise(F.lit(0))
+    disc = _money("l_extendedprice") * F.col("l_discount").cast("decimal(4,2)")
+    md = [F.sum(F.when(F.col("l_linenumber") == i, disc)).alias(f"md{i}") for i in range(1, 6)]
     return (
         li.join(sup, li.l_suppkey == sup.s_suppkey)
-        .join(part, li.l_partkey == part.p_partkey)
+        .join(part, li.l_partkey == part.p_partkey, "left")
         .groupBy("store", "dept", _week("l_shipdate").alias("week"))
-        .agg(F.sum(sign * _money("l_extendedprice")).cast("double").alias("weekly_sales"),
-             F.max(hol).alias("is_holiday"))
+        .agg(F.sum(sign * _money("l_extendedprice")).alias("sales"), F.max(hol).alias("hol"),
+             F.count(F.lit(1)).alias("n"), F.sum(_money("l_quantity")).alias("q"),
+             F.sum(_money("l_tax")).alias("tx"), *md)
     )
 
 
-def panel_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+def panel_sales(spark: SparkSession, sf_dir: str, facts: DataFrame | None = None) -> DataFrame:
+    """Fact table: (store, dept, week, weekly_sales, is_holiday)."""
+    f = facts if facts is not None else line_facts(spark, sf_dir)
+    return f.where(F.col("dept").isNotNull()).select(
+        "store", "dept", "week", F.col("sales").cast("double").alias("weekly_sales"), F.col("hol").alias("is_holiday"))
+
+
+def panel_features(spark: SparkSession, sf_dir: str, facts: DataFrame | None = None) -> DataFrame:
     """Store-week features with natural gaps (cpi/unemployment) and pre-launch nulls (markdowns)."""
     t = Tables(spark, sf_dir)
-    li = t.lineitem.select("l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice",
-                           "l_discount", "l_tax", "l_shipdate")
-    sup = t.supplier.select("s_suppkey", F.col("s_nationkey").alias("store"))
-    disc = _money("l_extendedprice") * F.col("l_discount").cast("decimal(4,2)")
-    md = [F.sum(F.when(F.col("l_linenumber") == i, disc)).cast("double").alias(f"md{i}") for i in range(1, 6)]
-    lagg = (
-        li.join(sup, li.l_suppkey == sup.s_suppkey)
-        .groupBy("store", _week("l_shipdate").alias("week"))
-        .agg(F.count(F.lit(1)).alias("n"),
-             F.sum(_money("l_quantity")).cast("double").alias("q"),
-             F.sum(_money("l_tax")).cast("double").alias("tx"),
-             *md)
-    )
+    f = facts if facts is not None else line_facts(spark, sf_dir)
+    lagg = f.groupBy("store", "week").agg(
+        F.sum("n").alias("n"), F.sum("q").cast("double").alias("q"), F.sum("tx").cast("double").alias("tx"),
+        *[F.sum(f"md{i}").cast("double").alias(f"md{i}") for i in range(1, 6)])
     o = t.orders.select("o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate")
     c = t.customer.select("c_custkey", F.col("c_nationkey").alias("store"))
     oagg = (
@@ -117,10 +125,11 @@ def wrangled_panel(spark: SparkSession, sf_dir: str, validate: bool = False) ->
     filled within store; C4/C5 left many-to-one joins; C8 total
     markdown; C9 year, month, ISO week, day.
     """
-    feats = panel_features(spark, sf_dir)
+    facts = line_facts(spark, sf_dir)
+    feats = panel_features(spark, sf_dir, facts)
     feats = wrangle.fill_zero(feats, MARKDOWN_COLS)
     feats = wrangle.ffill_bfill(feats, ["cpi", "unemployment"], by=["store"], order="week")
-    sales = panel_sales(spark, sf_dir)
+    sales = panel_sales(spark, sf_dir, facts)
     stores = panel_stores(spark, sf_dir)
     df = wrangle.left_join_many_to_one(sales, feats, ["store", "week"], validate=validate)
     df = wrangle.left_join_many_to_one(df, stores, ["store"], validate=validate)
