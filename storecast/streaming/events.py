@@ -66,17 +66,17 @@ def minibatch_centroids(spark: SparkSession, sf_dir: str, k: int = 4, decay: flo
     cols = list(cols)
     stream = event_stream(spark, sf_dir).select("event_id", F.col("value").cast("double").alias("value"),
                                                 F.hour("ts").cast("double").alias("hour"))
-    version = {"n": 0}
+    last = {"batch": None}
 
     def update(batch: DataFrame, batch_id: int) -> None:
+        # state of batch b lives at state/b<b>: a replayed batch rewrites the same version
         pts = batch.where(F.col("value").isNotNull())
-        if version["n"] == 0:
-            init = (pts.withColumn("_h", F.xxhash64("event_id", F.lit(batch_id))).orderBy("_h").limit(k)
-                    .withColumn("cluster", F.row_number().over(Window.orderBy("_h")) - 1)
-                    .select("cluster", *cols, F.lit(0.0).alias("weight")))
-            state = init
+        if batch_id == 0:
+            state = (pts.withColumn("_h", F.xxhash64("event_id", F.lit(batch_id))).orderBy("_h").limit(k)
+                     .withColumn("cluster", F.row_number().over(Window.orderBy("_h")) - 1)
+                     .select("cluster", *cols, F.lit(0.0).alias("weight")))
         else:
-            state = spark.read.parquet(f"{state_path}/v{version['n']}")
+            state = spark.read.parquet(f"{state_path}/b{batch_id - 1}")
         assigned = nearest_centroid(pts, state, cols, "cluster", out="cluster")
         stats = assigned.groupBy("cluster").agg(F.count(F.lit(1)).cast("double").alias("bn"),
                                                 *[F.sum(c).alias(f"bs_{c}") for c in cols])
@@ -87,10 +87,10 @@ def minibatch_centroids(spark: SparkSession, sf_dir: str, k: int = 4, decay: flo
             *[F.when(old_w + F.col("bn") > 0, (old_w * F.col(c) + F.col(f"bs_{c}")) / (old_w + F.col("bn")))
               .otherwise(F.col(c)).alias(c) for c in cols],
             (old_w + F.col("bn")).alias("weight"))
-        version["n"] += 1
-        new.write.mode("overwrite").parquet(f"{state_path}/v{version['n']}")
+        new.write.mode("overwrite").parquet(f"{state_path}/b{batch_id}")
+        last["batch"] = batch_id
 
     q = (stream.writeStream.foreachBatch(update).option("checkpointLocation", f"{work}/checkpoint")
          .trigger(availableNow=True).start())
     q.awaitTermination()
-    return spark.read.parquet(f"{state_path}/v{version['n']}")
+    return spark.read.parquet(f"{state_path}/b{last['batch']}")
