@@ -121,3 +121,32 @@ FROM cum"""))
 def i11_time_folds(spark, sf_dir):
     train, _ = split(spark, sf_dir)
     return fc.time_folds(train, k=4)
+
+
+# ---- S1-S4, S8 engineered features and W6 ranks --------------------------------
+
+@register("s1_s8_engineered_features", S.with_ctes(S.BASE, """
+SELECT store, dept, week,
+       CASE WHEN type = 'B' THEN 1 ELSE 0 END AS type_B, CASE WHEN type = 'C' THEN 1 ELSE 0 END AS type_C,
+       ROUND(sin(2 * pi() * month / 12.0E0), 8) AS month_sin, ROUND(cos(2 * pi() * month / 12.0E0), 8) AS month_cos,
+       ROUND(sin(2 * pi() * week_of_year / 52.0E0), 8) AS week_sin, ROUND(cos(2 * pi() * week_of_year / 52.0E0), 8) AS week_cos,
+       CASE WHEN total_markdown > 0 THEN 1 ELSE 0 END AS has_markdown,
+       CASE WHEN weekly_sales < 0 THEN 1 ELSE 0 END AS is_negative,
+       ROUND(ln(1 + greatest(weekly_sales, 0)), 8) AS weekly_sales_log
+FROM panel"""))
+def s1_s8_engineered_features(spark, sf_dir):
+    """One-hot type (drop first), cyclical month/week, markdown and negative flags, log1p target."""
+    from storecast.functions import scalar
+    df = engineered(spark, sf_dir).withColumn("is_negative", scalar.flag(F.col("weekly_sales") < 0))
+    r8 = lambda c: F.round(c, 8).alias(c)
+    return df.select("store", "dept", "week", "type_B", "type_C", r8("month_sin"), r8("month_cos"), r8("week_sin"),
+                     r8("week_cos"), "has_markdown", "is_negative", r8("weekly_sales_log"))
+
+
+@register("w6_average_ranks", S.with_ctes(S.BASE, """
+SELECT weekly_sales, COUNT(*) AS ties, MIN(r) + (COUNT(*) - 1) / 2.0E0 AS rank
+FROM (SELECT weekly_sales, rank() OVER (ORDER BY weekly_sales) AS r FROM panel) GROUP BY weekly_sales"""))
+def w6_average_ranks(spark, sf_dir):
+    """Average ranks of weekly sales over the pooled panel (ties share the mean position)."""
+    from storecast.operators import order
+    return order.average_ranks(P.wrangled_panel(spark, sf_dir), "weekly_sales").select("weekly_sales", "ties", "rank")
