@@ -121,3 +121,8 @@ def test_ridge_matches_closed_form(spark):
     assert np.allclose(m.beta, beta, rtol=1e-8)
     pred = np.array([r["prediction"] for r in m.transform(df).collect()])
     assert np.allclose(pred, y.mean() + z @ beta, rtol=1e-8)
+
+
+def test_silhouette_approx_runs(pts):
+    v = H.silhouette_approx(pts, ["a", "b"], "lab").first()["silhouette"]
+    assert -1.0 <= v <= 1.0
