@@ -162,11 +162,13 @@ def k_search(df: DataFrame, cols: Sequence[str], ks: Sequence[int] = range(2, 9)
              n_init: int = 4, id_col: str = "store") -> DataFrame:
     """H2 — inertia and silhouette for each k; ``best`` marks the argmax silhouette (first on ties)."""
     spark = df.sparkSession
+    df = df.cache()  # entity vectors (one row per store) are re-read by every fit
     rows = []
     for k in ks:
         lab, cost = kmeans(df, cols, k, seed, n_init)
         sil = silhouette(lab, cols, "cluster", id_col).first()["silhouette"]
         rows.append((int(k), float(cost), float(sil)))
+    df.unpersist()
     best = max(rows, key=lambda r: (r[2], -r[0]))[0]
     return spark.createDataFrame([(k, c, s, k == best) for k, c, s in rows],
                                  "k int, inertia double, silhouette double, best boolean")
@@ -190,6 +192,14 @@ def cluster_summary(df: DataFrame, label: str) -> DataFrame:
     return base.join(mix, label)
 
 
+def bisecting(df: DataFrame, cols: Sequence[str], k: int, seed: int = 42, label: str = "bisect") -> DataFrame:
+    """H7 pure-Spark hierarchy: top-down bisecting KMeans (no single merge task at any size)."""
+    from pyspark.ml.clustering import BisectingKMeans
+    x = assemble(df, cols)
+    model = BisectingKMeans(k=k, seed=seed, featuresCol="features", predictionCol=label).fit(x)
+    return model.transform(x).drop("features")
+
+
 # ---------------------------------------------------------------- DBSCAN
 
 def dbscan(df: DataFrame, cols: Sequence[str], eps: float = 1.5, min_samples: int = 3,

@@ -142,3 +142,11 @@ def h9_linkage_sweep(spark, sf_dir):
         s = s.select(F.lit(link).alias("linkage"), "silhouette", "davies_bouldin")
         out = s if out is None else out.unionByName(s)
     return out
+
+
+@register("h7_bisecting_kmeans")
+def h7_bisecting_kmeans(spark, sf_dir):
+    """Hierarchical clustering without a single merge task: bisecting KMeans at k = 4, with scores."""
+    lab = H.bisecting(std_vectors(spark, sf_dir), COLS, 4)
+    s = H.silhouette(lab, COLS, "bisect").crossJoin(H.davies_bouldin(lab, COLS, "bisect"))
+    return lab.select("store", "type", "bisect").crossJoin(F.broadcast(s))
