@@ -52,3 +52,17 @@ def test_kmeans_inertia_decreases_with_k(spark):
                                 "store int, a double, b double")
     costs = [H.kmeans(pts, ["a", "b"], k, seed=1, n_init=2)[1] for k in (2, 4, 8)]
     assert costs[0] > costs[1] > costs[2]
+
+
+def test_panel_scan_prunes_columns(spark):
+    df = P.wrangled_panel(spark, SF001)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    scans = [ln for ln in plan.splitlines() if "lineitem" in ln]
+    assert scans and all("l_orderkey" not in ln and "l_linestatus" not in ln for ln in scans)
+
+
+def test_split_filter_is_a_literal(spark):
+    df = P.wrangled_panel(spark, SF001)
+    train, _ = temporal_split(df)
+    plan = train._jdf.queryExecution().optimizedPlan().toString()
+    assert "cutoff" not in plan and "percentile" not in plan.lower()
