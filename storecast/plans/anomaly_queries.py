@@ -95,7 +95,7 @@ def g6_top_series(spark, sf_dir):
     return G.top_series(panel(spark, sf_dir)).select("store", "dept", F.round("total", 4).alias("total"))
 
 
-def if_scored(spark, sf_dir, trees=100):
+def if_scored(spark, sf_dir, trees=200):
     df = panel(spark, sf_dir)
     forest = G.fit_isolation_forest(df, trees=trees, psi=256, seed=42)
     forest = forest.checkpoint() if spark.sparkContext.getCheckpointDir() else forest.cache()
@@ -104,20 +104,20 @@ def if_scored(spark, sf_dir, trees=100):
 
 @register("g1_isolation_forest")
 def g1_isolation_forest(spark, sf_dir):
-    """Isolation forest (100 trees here, psi 256, seed 42); flags the top 1 % of scores."""
+    """Isolation forest (200 trees, psi 256, seed 42); flags the top 1 % of scores."""
     return G.flag_top(if_scored(spark, sf_dir), "if_score", 0.01, "if_anomaly").select(
         "store", "dept", "week", "if_score", "if_anomaly")
 
 
 @register("g2_contamination_sweep")
 def g2_contamination_sweep(spark, sf_dir):
-    return G.contamination_sweep(if_scored(spark, sf_dir, 50), "if_score", [0.005, 0.01, 0.02, 0.03])
+    return G.contamination_sweep(if_scored(spark, sf_dir), "if_score", [0.005, 0.01, 0.02, 0.03])
 
 
 @register("g8_flagged_box_stats")
 def g8_flagged_box_stats(spark, sf_dir):
     """Sales distribution for flagged vs not flagged rows (box statistics)."""
-    f = G.flag_top(if_scored(spark, sf_dir, 50), "if_score", 0.01, "if_anomaly")
+    f = G.flag_top(if_scored(spark, sf_dir), "if_score", 0.01, "if_anomaly")
     return D.box_stats(f, "if_anomaly", "weekly_sales")
 
 
@@ -150,7 +150,7 @@ def g4_lof_sweep(spark, sf_dir):
 @register("g9_detector_overlap")
 def g9_detector_overlap(spark, sf_dir):
     """Co-occurrence of the isolation-forest, IQR and STL flags."""
-    f = G.flag_top(if_scored(spark, sf_dir, 50), "if_score", 0.01, "if_anomaly")
+    f = G.flag_top(if_scored(spark, sf_dir), "if_score", 0.01, "if_anomaly")
     f = iqr_flags(f)
     stl = g5_stl_anomalies(spark, sf_dir).select("store", "dept", "week", "stl_anomaly")
     f = f.join(stl, ["store", "dept", "week"], "left").fillna(0, subset=["stl_anomaly"])

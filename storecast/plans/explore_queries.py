@@ -319,13 +319,13 @@ def d13_corr_matrix(spark, sf_dir):
 st AS (SELECT type, COUNT(*) AS n, stddev_samp(v) AS s, MIN(v) AS mn, MAX(v) AS mx,
               pow(CAST(COUNT(*) AS DOUBLE), -0.2) * stddev_samp(v) AS bw FROM x GROUP BY type),
 grid AS (SELECT type, CAST(gi AS INTEGER) AS gi, n, bw,
-                (mn - 3.0 * bw) + gi * ((mx - mn + 2 * 3.0 * bw) / 49.0E0) AS gx
-         FROM st, range(50) t(gi))
+                (mn - 3.0 * bw) + gi * ((mx - mn + 2 * 3.0 * bw) / 199.0E0) AS gx
+         FROM st, range(200) t(gi))
 SELECT g.type, g.gi, ROUND(g.gx, 4) AS x,
        ROUND(SUM(exp(-0.5 * ((x.v - g.gx) / g.bw) * ((x.v - g.gx) / g.bw))) / (g.n * g.bw * sqrt(2 * pi())) * 1e9, 4) AS density_e9
 FROM x JOIN grid g ON x.type = g.type GROUP BY g.type, g.gi, g.gx, g.n, g.bw"""))
 def d14_kde_by_type(spark, sf_dir):
-    k = D.kde(panel(spark, sf_dir), "weekly_sales", "type", grid_size=50)
+    k = D.kde(panel(spark, sf_dir), "weekly_sales", "type", grid_size=200)
     return k.select("type", "gi", F.round("x", 4).alias("x"), F.round(F.col("density") * 1e9, 4).alias("density_e9"))
 
 
