@@ -70,8 +70,12 @@ def i6_boosted_search(spark, sf_dir):
 
 @register("i10_feature_importance")
 def i10_feature_importance(spark, sf_dir):
+    """Impurity importances of the forest and gain importances of the boosted trees (each sums to 1)."""
     train, _ = frames(spark, sf_dir)
-    return M.importances(M.fit_forest(train, FEATS, trees=20, depth=8), FEATS)
+    rf = M.importances(M.fit_forest(train, FEATS, trees=20, depth=8), FEATS).withColumn("model", F.lit("random_forest"))
+    gb = M.importances(M.fit_boosted(train, FEATS, rounds=10, depth=5, lr=0.3), FEATS).withColumn(
+        "model", F.lit("boosted_trees"))
+    return rf.unionByName(gb)
 
 
 @register("i12_a7_a8_best_model_roundtrip")
