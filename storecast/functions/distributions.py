@@ -13,7 +13,6 @@ import math
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column
-from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import DoubleType
 
@@ -152,4 +151,4 @@ def chi2_sf_col(x: Column, k: Column) -> Column:
 
 
 __all__ = ["betainc", "gammainc_upper", "norm_sf", "t_sf", "f_sf", "chi2_sf",
-           "norm_sf_col", "t_sf_col", "f_sf_col", "chi2_sf_col", "F"]
+           "norm_sf_col", "t_sf_col", "f_sf_col", "chi2_sf_col"]

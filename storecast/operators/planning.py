@@ -8,7 +8,6 @@ from typing import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from storecast.operators import explore as D
 
 
 def safety_stock(vectors: DataFrame, z: float = 1.65, lead_time_weeks: float = 2.0,

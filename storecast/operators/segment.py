@@ -20,7 +20,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from storecast.functions.scalar import safe_max1
-from storecast.operators.features import standardize
 
 SEG_COLS = ["mean_weekly", "std_weekly", "hol_lift", "mean_md", "mean_cpi", "mean_unemp", "size"]
 

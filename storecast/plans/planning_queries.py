@@ -11,7 +11,7 @@ from storecast.operators import planning as K
 from storecast.operators import segment as H
 from storecast.plans.explore_queries import panel, q
 from storecast.plans.registry import register
-from storecast.plans.segment_queries import _H1, COLS, std_vectors, store_vectors
+from storecast.plans.segment_queries import _H1, COLS, store_vectors
 from storecast.sources import panel as P
 
 
