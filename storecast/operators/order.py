@@ -35,14 +35,22 @@ def materialize(df: DataFrame) -> DataFrame:
 
 
 def bucket_edges(d: DataFrame, col: str) -> list[float]:
-    """Edges splitting ``col`` into buckets of about ``ROWS_PER_BUCKET`` rows (two one-pass jobs)."""
-    n = d.agg(F.count(F.lit(1)).alias("n")).first()["n"]
+    """Edges splitting ``col`` into buckets of about ``ROWS_PER_BUCKET`` rows.
+
+    One pass returns the row count and a ``MIN_BUCKETS``-way sketch; a
+    second, finer sketch pass only runs when the data has more than
+    ``MIN_BUCKETS x ROWS_PER_BUCKET`` rows.
+    """
+    def sketch(b: int):
+        return F.percentile_approx(col, [i / b for i in range(1, b)], 10 * b)
+    first = d.agg(F.count(F.lit(1)).alias("n"), sketch(MIN_BUCKETS).alias("q")).first()
+    n, qs = first["n"], first["q"]
     if not n:
         return []
     b = int(min(MAX_BUCKETS, max(MIN_BUCKETS, math.ceil(n / ROWS_PER_BUCKET))))
-    probs = [i / b for i in range(1, b)]
-    qs = d.agg(F.percentile_approx(col, probs, 10 * b).alias("q")).first()["q"] or []
-    return sorted({float(x) for x in qs if x is not None and not math.isnan(x)})
+    if b > MIN_BUCKETS:
+        qs = d.agg(sketch(b).alias("q")).first()["q"]
+    return sorted({float(x) for x in (qs or []) if x is not None and not math.isnan(x)})
 
 
 def _bucketed(d: DataFrame, col: str) -> DataFrame:
