@@ -63,11 +63,12 @@ def box_stats(df: DataFrame, by: str, col: str, k: float = 1.5) -> DataFrame:
     Quartiles come from the distributed order statistics; the per-group
     fence table is joined back to the rows (one row per group).
     """
-    q = order.quantiles(df, col, [0.25, 0.5, 0.75], by=[by], names=["q1", "median", "q3"])
+    pts = order.materialize(df.select(by, F.col(col).cast("double").alias("_v")).where(F.col("_v").isNotNull()))
+    q = order.quantiles(pts, "_v", [0.25, 0.5, 0.75], by=[by], names=["q1", "median", "q3"])
     iqr = F.col("q3") - F.col("q1")
     fences = q.select(by, "q1", "median", "q3", (F.col("q1") - k * iqr).alias("_lo"),
                       (F.col("q3") + k * iqr).alias("_hi"))
-    x = df.select(by, F.col(col).cast("double").alias("_v")).where(F.col("_v").isNotNull()).join(fences, by)
+    x = pts.join(fences, by)
     inside = (F.col("_v") >= F.col("_lo")) & (F.col("_v") <= F.col("_hi"))
     return x.groupBy(by, "q1", "median", "q3").agg(
         F.min(F.when(inside, F.col("_v"))).alias("whisker_lo"),

@@ -88,6 +88,8 @@ def describe(df: DataFrame, cols: Sequence[str], approx: bool = False) -> DataFr
     """
     pairs = ", ".join(f"'{c}', CAST(`{c}` AS DOUBLE)" for c in cols)
     long = df.selectExpr(f"stack({len(cols)}, {pairs}) AS (column, value)")
+    if not approx:
+        long = order.materialize(long)  # read by the moments and by every quantile pass
     base = long.groupBy("column").agg(
         F.count("value").alias("count"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"),
         F.min("value").alias("min"), F.max("value").alias("max"))
