@@ -41,7 +41,7 @@ def _fit_forecast(y: np.ndarray, ex: np.ndarray, split: int, s: int) -> np.ndarr
     dx = np.full_like(ex, np.nan)
     dx[s + 1:] = ex[s + 1:] - ex[s:-1] - ex[1:n - s] + ex[:n - s - 1]
     # stage 1: long autoregression on the training part -> innovation estimates
-    long_lags = [1, 2, 3, s, s + 1, s + 2]
+    long_lags = list(range(1, 9)) + list(range(s, s + 9))
     start1 = s + 1 + max(long_lags)
     rows = np.arange(start1, split)
     if len(rows) < 3 * (len(long_lags) + ex.shape[1]):
