@@ -167,20 +167,19 @@ def flag_top(df: DataFrame, score: str, contamination: float, out: str) -> DataF
     read them, and re-deriving model scores per read would repeat the model.
     """
     df = materialize(df)
-    thr = order.quantiles(df, score, [1.0 - contamination], names=["_thr"])
-    return df.crossJoin(F.broadcast(thr)).withColumn(
-        out, F.when(F.col(score) > F.col("_thr"), 1).otherwise(0)).drop("_thr")
+    thr = order.quantiles(df, score, [1.0 - contamination], names=["_thr"]).first()["_thr"]
+    return df.withColumn(out, F.when(F.col(score) > F.lit(thr), 1).otherwise(0))
 
 
 def contamination_sweep(scored: DataFrame, score: str, rates: Sequence[float],
                         flag_col: str = "is_holiday") -> DataFrame:
     """G2/G4 — one scoring pass, several thresholds: (rate, flagged share, holiday share inside flags)."""
     scored = materialize(scored)
-    thr = order.quantiles(scored, score, [1.0 - r for r in rates], names=[f"t{i}" for i in range(len(rates))])
-    x = scored.crossJoin(F.broadcast(thr))
+    thr = order.quantiles(scored, score, [1.0 - r for r in rates], names=[f"t{i}" for i in range(len(rates))]).first()
+    x = scored
     aggs = []
     for i, r in enumerate(rates):
-        flagged = F.col(score) > F.col(f"t{i}")
+        flagged = F.col(score) > F.lit(thr[f"t{i}"])
         aggs += [F.avg(flagged.cast("double")).alias(f"s{i}"),
                  F.avg(F.when(flagged, F.col(flag_col).cast("double"))).alias(f"h{i}")]
     row = x.agg(*aggs)

@@ -16,28 +16,27 @@ def histogram(df: DataFrame, col: str | Column, bins: int = 80, by: str | None =
               name: str = "x") -> DataFrame:
     """D1/D2/D4 — equal-width bins on [min, max], last bin closed.
 
-    Edges come from one aggregate row (broadcast). Without ``by`` the
+    Edges come from one aggregate row (two literals). Without ``by`` the
     result is zero-filled from ``range(bins)``; with ``by`` each group is
     counted on the shared edges (D4) and empty cells are omitted.
     """
     x = df.select(*([by] if by else []), (F.col(col) if isinstance(col, str) else col).cast("double").alias(name))
     x = x.where(F.col(name).isNotNull())
-    edges = x.agg(F.min(name).alias("_lo"), F.max(name).alias("_hi"))
-    width = (F.col("_hi") - F.col("_lo")) / F.lit(float(bins))
+    e = x.agg(F.min(name).alias("_lo"), F.max(name).alias("_hi")).first()  # two numbers -> literals
+    lo, hi = F.lit(e["_lo"]).cast("double"), F.lit(e["_hi"]).cast("double")
+    width = (hi - lo) / F.lit(float(bins))
     b = F.when(width == 0, F.lit(0)).otherwise(
-        F.least(F.floor((F.col(name) - F.col("_lo")) / width), F.lit(bins - 1))).cast("int")
-    counted = (x.crossJoin(F.broadcast(edges)).withColumn("bin", b)
+        F.least(F.floor((F.col(name) - lo) / width), F.lit(bins - 1))).cast("int")
+    counted = (x.withColumn("bin", b)
                .groupBy(*([by] if by else []), "bin").agg(F.count(F.lit(1)).alias("count")))
     if by:
         full = counted
     else:
         grid = df.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"))
         full = grid.join(counted, "bin", "left").withColumn("count", F.coalesce("count", F.lit(0)).cast("bigint"))
-    full = full.crossJoin(F.broadcast(edges))
-    w = (F.col("_hi") - F.col("_lo")) / F.lit(float(bins))
     return full.select(*([by] if by else []), "bin",
-                       (F.col("_lo") + F.col("bin") * w).alias("lo"),
-                       (F.col("_lo") + (F.col("bin") + 1) * w).alias("hi"), "count")
+                       (lo + F.col("bin") * width).alias("lo"),
+                       (lo + (F.col("bin") + 1) * width).alias("hi"), "count")
 
 
 def holiday_share(df: DataFrame, date_col: str = "week", flag: str = "is_holiday") -> DataFrame:
@@ -45,10 +44,10 @@ def holiday_share(df: DataFrame, date_col: str = "week", flag: str = "is_holiday
     per = df.groupBy(date_col).agg(F.max(flag).alias(flag))
     levels = df.sparkSession.range(2).select(F.col("id").cast("int").alias(flag))
     cnt = per.groupBy(flag).agg(F.count(F.lit(1)).alias("dates"))
-    tot = per.agg(F.count(F.lit(1)).alias("_t"))
-    return (levels.join(cnt, flag, "left").crossJoin(F.broadcast(tot))
+    tot = per.agg(F.count(F.lit(1)).alias("_t")).first()["_t"]
+    return (levels.join(cnt, flag, "left")
             .select(flag, F.coalesce("dates", F.lit(0)).cast("bigint").alias("dates"),
-                    (F.coalesce("dates", F.lit(0)) / F.col("_t")).alias("share")))
+                    (F.coalesce("dates", F.lit(0)) / F.lit(tot)).alias("share")))
 
 
 def weekly_totals(df: DataFrame, date_col: str = "week") -> DataFrame:
@@ -92,14 +91,12 @@ def pareto(df: DataFrame, key: str, col: str, n: int = 15) -> DataFrame:
     """
     g = df.groupBy(key).agg(F.sum(col).alias("total"))
     top = g.orderBy(F.col("total").desc(), F.col(key).asc()).limit(n)
-    grand = df.agg(F.sum(col).alias("_g"))
+    grand = F.lit(df.agg(F.sum(col).alias("_g")).first()["_g"])
     from pyspark.sql import Window
     w = Window.orderBy(F.col("total").desc(), F.col(key).asc())  # over <= n rows
-    return (top.crossJoin(F.broadcast(grand))
-            .withColumn("rank", F.row_number().over(w))
-            .withColumn("share", F.col("total") / F.col("_g"))
-            .withColumn("cum_share", F.sum("total").over(w.rowsBetween(Window.unboundedPreceding, 0)) / F.col("_g"))
-            .drop("_g"))
+    return (top.withColumn("rank", F.row_number().over(w))
+            .withColumn("share", F.col("total") / grand)
+            .withColumn("cum_share", F.sum("total").over(w.rowsBetween(Window.unboundedPreceding, 0)) / grand))
 
 
 def store_summary(df: DataFrame) -> DataFrame:

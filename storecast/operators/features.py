@@ -94,15 +94,18 @@ def temporal_split(df: DataFrame, date_col: str = "week", frac: float = 0.8) ->
 def standardize(df: DataFrame, cols: Sequence[str], suffix: str = "") -> DataFrame:
     """E7 — ``(x - mean) / std`` with the population std (ddof 0), as scikit-learn's scaler.
 
-    The moments are one aggregate row, broadcast to every task. A zero
-    std maps to 1 (scikit-learn leaves such columns centred only).
+    The moments are one aggregate row that enters the plan as literals.
+    A zero std maps to 1 (scikit-learn leaves such columns centred only).
     """
+    if not cols:
+        return df
     aggs = []
     for c in cols:
         aggs += [F.avg(c).alias(f"_m_{c}"), F.stddev_pop(c).alias(f"_s_{c}")]
-    mom = F.broadcast(df.agg(*aggs))
-    x = df.crossJoin(mom)
+    mom = df.agg(*aggs).first()  # 2 x len(cols) numbers, used as literals below
+    x = df
     for c in cols:
-        s = F.when(F.col(f"_s_{c}") == 0, F.lit(1.0)).otherwise(F.col(f"_s_{c}"))
-        x = x.withColumn(c + suffix, (F.col(c) - F.col(f"_m_{c}")) / s)
-    return x.drop(*[f"_m_{c}" for c in cols], *[f"_s_{c}" for c in cols])
+        m, s = mom[f"_m_{c}"], mom[f"_s_{c}"]
+        s = 1.0 if not s else s
+        x = x.withColumn(c + suffix, (F.col(c) - F.lit(m)) / F.lit(float(s)))
+    return x

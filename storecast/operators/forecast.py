@@ -61,10 +61,10 @@ def time_folds(df: DataFrame, k: int = 4, date_col: str = "week") -> DataFrame:
     per_date = df.groupBy(date_col).agg(F.count(F.lit(1)).alias("_c"))
     w = Window.orderBy(date_col).rowsBetween(Window.unboundedPreceding, -1)
     per_date = per_date.withColumn("_before", F.coalesce(F.sum("_c").over(w), F.lit(0)))
-    total = per_date.agg(F.sum("_c").alias("_n"))
-    x = per_date.crossJoin(F.broadcast(total))
-    size = F.floor(F.col("_n") / F.lit(k + 1))
-    first_test = F.col("_n") - F.lit(k) * size
+    n = per_date.agg(F.sum("_c").alias("_n")).first()["_n"] or 0
+    x = per_date
+    size = F.floor(F.lit(n) / F.lit(k + 1))
+    first_test = F.lit(n) - F.lit(k) * size
     fold = F.when(F.col("_before") < first_test, F.lit(0)).otherwise(
         F.least(F.floor((F.col("_before") - first_test) / size) + 1, F.lit(k)))
     return x.select(date_col, F.col("_c").alias("rows"), fold.cast("int").alias("fold_test"))

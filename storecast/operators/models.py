@@ -196,12 +196,12 @@ def _standardize_like(train: DataFrame, other: DataFrame, feats: Sequence[str])
     aggs = []
     for c in feats:
         aggs += [F.avg(c).alias(f"_m_{c}"), F.stddev_pop(c).alias(f"_s_{c}")]
-    mom = F.broadcast(train.agg(*aggs))
-    x = other.crossJoin(mom)
+    mom = train.agg(*aggs).first()
+    x = other
     for c in feats:
-        s = F.when(F.col(f"_s_{c}") == 0, F.lit(1.0)).otherwise(F.col(f"_s_{c}"))
-        x = x.withColumn(c, (F.col(c) - F.col(f"_m_{c}")) / s)
-    return x.drop(*[f"_m_{c}" for c in feats], *[f"_s_{c}" for c in feats])
+        s = mom[f"_s_{c}"] or 1.0
+        x = x.withColumn(c, (F.col(c) - F.lit(mom[f"_m_{c}"])) / F.lit(float(s)))
+    return x
 
 
 def importances(model: PipelineModel, feats: Sequence[str]) -> DataFrame:

@@ -102,6 +102,8 @@ def quantiles(df: DataFrame, col: str, probs: Sequence[float], by: Sequence[str]
         return out.select(*by, *[F.col("_q")[i].alias(nm) for i, nm in enumerate(names)])
     b = _bucketed(d, "_v")
     cnt = _bucket_counts(b, by)
+    if not by:
+        return _global_quantiles(b, cnt, probs, names)
     sizes = cnt.select(*by, "_n").distinct()
     # wanted 1-based positions: lo = floor(h) + 1, hi = ceil(h) + 1 with h = (n - 1) p
     tg = []
@@ -114,8 +116,7 @@ def quantiles(df: DataFrame, col: str, probs: Sequence[float], by: Sequence[str]
                                                         F.struct(F.lit("hi").alias("which"), F.col("hi").alias("pos")))).alias("x")
                           ).select(*by, "k", "x.which", "x.pos")
     cond = [tpos[c].eqNullSafe(cnt[c]) for c in by]
-    hit = (tpos.join(cnt, cond) if cond else tpos.crossJoin(cnt)).where(
-        (F.col("pos") > F.col("_off")) & (F.col("pos") <= F.col("_off") + F.col("_c")))
+    hit = tpos.join(cnt, cond).where((F.col("pos") > F.col("_off")) & (F.col("pos") <= F.col("_off") + F.col("_c")))
     hit = hit.select(*[tpos[c] for c in by], "k", "which", "pos", "_bk")
     open_bk = hit.select(*by, "_bk").distinct()
     spans = _value_spans(b.join(open_bk, [*by, "_bk"], "left_semi"), cnt, "_v", by)
@@ -128,6 +129,35 @@ def quantiles(df: DataFrame, col: str, probs: Sequence[float], by: Sequence[str]
     return res.groupBy(*by).agg(*[F.max(F.when(F.col("k") == i, F.col("_q"))).alias(nm) for i, nm in enumerate(names)])
 
 
+def _global_quantiles(b: DataFrame, cnt: DataFrame, probs: Sequence[float], names: Sequence[str]) -> DataFrame:
+    """No groups: the wanted positions are plain numbers, so the buckets to open and the values
+    at those positions are picked with literal conditions (one small aggregate, no join)."""
+    n = cnt.agg(F.sum("_c").alias("n")).first()["n"] or 0
+    if n == 0:
+        return b.sparkSession.createDataFrame([tuple(None for _ in names)],
+                                              ", ".join(f"`{nm}` double" for nm in names))
+    wanted = []
+    for p in probs:
+        h = (n - 1) * float(p)
+        wanted.append((math.floor(h) + 1, math.ceil(h) + 1, h - math.floor(h)))
+    positions = sorted({x for lo, hi, _ in wanted for x in (lo, hi)})
+    hit = None
+    for pos in positions:
+        c = (F.lit(pos) > F.col("_off")) & (F.lit(pos) <= F.col("_off") + F.col("_c"))
+        hit = c if hit is None else hit | c
+    open_bk = cnt.where(hit).select("_bk")
+    spans = _value_spans(b.join(open_bk, ["_bk"], "left_semi"), cnt, "_v", [])
+
+    def at(pos):
+        return F.max(F.when((F.col("first") <= pos) & (F.col("last") >= pos), F.col("_v")))
+    vals = spans.agg(*[at(pos).alias(f"p{pos}") for pos in positions])
+    outs = []
+    for (lo, hi, frac), nm in zip(wanted, names):
+        v_lo, v_hi = F.col(f"p{lo}"), F.col(f"p{hi}")
+        outs.append((v_lo if frac == 0 else v_lo + F.lit(frac) * (v_hi - v_lo)).alias(nm))
+    return vals.select(*outs)
+
+
 def average_ranks(df: DataFrame, col: str, by: Sequence[str] = ()) -> DataFrame:
     """W6 — one row per distinct value: (by..., value, ties, rank); tied values share the mean
     of their 1-based positions in ascending order."""

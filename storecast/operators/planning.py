@@ -29,19 +29,24 @@ def unemployment_trigger(df: DataFrame, key: str = "store", col: str = "unemploy
 
 
 def nearest_centroid(entities: DataFrame, centroids: DataFrame, cols: Sequence[str], label: str,
-                     same: str | None = None, out: str = "assigned") -> DataFrame:
+                     same: str | None = None, out: str = "assigned", max_centroids: int = 10_000) -> DataFrame:
     """K6 — assign each entity to the nearest centroid (Euclidean on ``cols``), optionally only
     among centroids with the same ``same`` attribute.
 
-    The centroid table (one row per cluster, bounded by the model's k)
-    is packed into one array value and attached to every entity, so
+    The centroid table (one row per cluster, bounded by the model's k
+    and checked) becomes one literal array attached to every entity, so
     the assignment is an array expression, not a pairwise join.
     """
-    fields = [F.col(label).alias("lab")] + [F.col(c).cast("double").alias(c) for c in cols]
-    if same:
-        fields.append(F.col(same).alias("_same"))
-    packed = centroids.agg(F.collect_list(F.struct(*fields)).alias("_cents"))
-    x = entities.crossJoin(F.broadcast(packed))
+    rows = centroids.select(label, *cols, *([same] if same else [])).limit(max_centroids + 1).collect()
+    if len(rows) > max_centroids:
+        raise ValueError(f"more than {max_centroids} centroids")
+
+    def lit_struct(r):
+        parts = [F.lit(r[label]).alias("lab")] + [F.lit(float(r[c])).alias(c) for c in cols]
+        if same:
+            parts.append(F.lit(r[same]).alias("_same"))
+        return F.struct(*parts)
+    x = entities.withColumn("_cents", F.array(*[lit_struct(r) for r in rows]))
 
     def dist(c: Column) -> Column:
         return F.sqrt(sum((c[k] - F.col(k).cast("double")) ** 2 for k in cols))
@@ -60,9 +65,9 @@ def cold_start_profile(panel: DataFrame, stores: DataFrame, label: str = "type")
 
 
 def retraining_window(df: DataFrame, months: int = 24, date_col: str = "week") -> DataFrame:
-    """K7 — trailing ``months`` window ending at the latest date (one-row max, broadcast)."""
-    mx = df.agg(F.max(date_col).alias("_mx"))
-    return (df.crossJoin(F.broadcast(mx)).where(F.col(date_col) > F.add_months("_mx", -months)).drop("_mx"))
+    """K7 — trailing ``months`` window ending at the latest date (the max date is a literal)."""
+    mx = df.agg(F.max(date_col).alias("_mx")).first()["_mx"]
+    return df.where(F.col(date_col) > F.add_months(F.lit(mx), -months))
 
 
 def md5_bucket(*cols: str, buckets: int = 100) -> Column:

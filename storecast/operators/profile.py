@@ -114,8 +114,8 @@ def value_counts(df: DataFrame, col: str, normalize: bool = False) -> DataFrame:
     """B11 — (value, count[, share]) sorted by count desc, then value."""
     g = df.groupBy(col).agg(F.count(F.lit(1)).alias("count"))
     if normalize:
-        tot = df.agg(F.count(F.lit(1)).alias("_t"))
-        g = g.crossJoin(F.broadcast(tot)).withColumn("share", F.col("count") / F.col("_t")).drop("_t")
+        tot = df.agg(F.count(F.lit(1)).alias("_t")).first()["_t"]
+        g = g.withColumn("share", F.col("count") / F.lit(tot))
     return g.orderBy(F.col("count").desc(), F.col(col).asc())
 
 

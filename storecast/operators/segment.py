@@ -176,9 +176,9 @@ def k_search(df: DataFrame, cols: Sequence[str], ks: Sequence[int] = range(2, 9)
 def cluster_profile(df: DataFrame, label: str, cols: Sequence[str]) -> DataFrame:
     """H11 — (cluster mean - overall mean) / overall std (ddof 1), long form (label, feature, z)."""
     cols = list(cols)
-    overall = df.agg(*[x for c in cols for x in (F.avg(c).alias(f"_m_{c}"), F.stddev_samp(c).alias(f"_s_{c}"))])
-    per = df.groupBy(label).agg(*[F.avg(c).alias(c) for c in cols]).crossJoin(F.broadcast(overall))
-    parts = ", ".join(f"'{c}', (`{c}` - `_m_{c}`) / `_s_{c}`" for c in cols)
+    ov = df.agg(*[x for c in cols for x in (F.avg(c).alias(f"_m_{c}"), F.stddev_samp(c).alias(f"_s_{c}"))]).first()
+    per = df.groupBy(label).agg(*[((F.avg(c) - F.lit(ov[f"_m_{c}"])) / F.lit(ov[f"_s_{c}"])).alias(c) for c in cols])
+    parts = ", ".join(f"'{c}', `{c}`" for c in cols)
     return per.selectExpr(f"`{label}`", f"stack({len(cols)}, {parts}) AS (feature, z)")
 
 

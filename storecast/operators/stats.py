@@ -52,10 +52,10 @@ def anova(df: DataFrame, col: str, by: str, p_value: bool = True) -> DataFrame:
     x = df.select(by, F.col(col).cast("double").alias("_v")).where(F.col("_v").isNotNull())
     g = x.groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.avg("_v").alias("m"),
                           (F.var_pop("_v") * F.count(F.lit(1))).alias("m2"))
-    tot = x.agg(F.avg("_v").alias("_gm"), F.count(F.lit(1)).alias("_N"))
-    s = g.crossJoin(F.broadcast(tot)).agg(
-        F.sum(F.col("n") * (F.col("m") - F.col("_gm")) * (F.col("m") - F.col("_gm"))).alias("ssb"),
-        F.sum("m2").alias("ssw"), F.count(F.lit(1)).alias("k"), F.first("_N").alias("N"))
+    tot = x.agg(F.avg("_v").alias("_gm"), F.count(F.lit(1)).alias("_N")).first()  # two scalars
+    gm = F.lit(tot["_gm"])
+    s = g.agg(F.sum(F.col("n") * (F.col("m") - gm) * (F.col("m") - gm)).alias("ssb"),
+              F.sum("m2").alias("ssw"), F.count(F.lit(1)).alias("k")).withColumn("N", F.lit(tot["_N"]).cast("bigint"))
     d1 = F.col("k") - 1
     d2 = F.col("N") - F.col("k")
     out = s.select("ssb", "ssw", d1.alias("df_between"), d2.alias("df_within"),
@@ -65,7 +65,7 @@ def anova(df: DataFrame, col: str, by: str, p_value: bool = True) -> DataFrame:
     return out
 
 
-def _ranked(df: DataFrame, col: str, by: str) -> tuple[DataFrame, DataFrame]:
+def _ranked(df: DataFrame, col: str, by: str):
     """Rank-sum per group and the tie term sum(t^3 - t), from the distributed average ranks."""
     x = order.materialize(df.select(by, F.col(col).cast("double").alias("_v")).where(F.col("_v").isNotNull()))
     ranks = order.average_ranks(x, "_v")
@@ -73,15 +73,16 @@ def _ranked(df: DataFrame, col: str, by: str) -> tuple[DataFrame, DataFrame]:
     sums = (per.join(ranks, "_v").groupBy(by)
             .agg(F.sum(F.col("_c")).alias("n"), F.sum(F.col("_c") * F.col("rank")).alias("rank_sum")))
     ties = ranks.agg(F.sum(F.col("ties").cast("double") ** 3 - F.col("ties")).alias("tie_term"),
-                     F.sum("ties").alias("N"))
+                     F.sum("ties").alias("N")).first()  # two scalars
     return sums, ties
 
 
 def kruskal(df: DataFrame, col: str, by: str, p_value: bool = True) -> DataFrame:
     """E3 — Kruskal–Wallis H with tie correction (chi-square, k-1 df)."""
     sums, ties = _ranked(df, col, by)
-    s = sums.agg(F.sum(F.col("rank_sum") * F.col("rank_sum") / F.col("n")).alias("_r"),
-                 F.count(F.lit(1)).alias("k")).crossJoin(F.broadcast(ties))
+    s = (sums.agg(F.sum(F.col("rank_sum") * F.col("rank_sum") / F.col("n")).alias("_r"),
+                  F.count(F.lit(1)).alias("k"))
+         .withColumn("tie_term", F.lit(float(ties["tie_term"] or 0.0))).withColumn("N", F.lit(ties["N"]).cast("bigint")))
     n = F.col("N").cast("double")
     h = (F.lit(12.0) / (n * (n + 1)) * F.col("_r") - 3 * (n + 1)) / (
         F.lit(1.0) - F.col("tie_term") / (n * n * n - n))
@@ -99,7 +100,8 @@ def mann_whitney(df: DataFrame, col: str, flag: str, alternative: str = "greater
     sums, ties = _ranked(x, "_v", "_g")
     s = sums.agg(F.sum(F.when(F.col("_g") == 1, F.col("rank_sum"))).alias("r1"),
                  F.sum(F.when(F.col("_g") == 1, F.col("n"))).alias("n1"),
-                 F.sum(F.when(F.col("_g") == 0, F.col("n"))).alias("n0")).crossJoin(F.broadcast(ties))
+                 F.sum(F.when(F.col("_g") == 0, F.col("n"))).alias("n0")).withColumn(
+        "tie_term", F.lit(float(ties["tie_term"] or 0.0)))
     n1, n0 = F.col("n1").cast("double"), F.col("n0").cast("double")
     n = n1 + n0
     u = F.col("r1") - n1 * (n1 + 1) / 2

@@ -76,14 +76,12 @@ SELECT c.cutoff_day,
 FROM cutoff c"""))
 def e6_temporal_split(spark, sf_dir):
     rows = fe.model_rows(engineered(spark, sf_dir))
-    cut = fe.split_cutoff(rows)
+    cut = F.lit(fe.split_cutoff(rows).first()["cutoff_day"]).cast("double")
     day = F.unix_date("week")
-    stats = (rows.crossJoin(F.broadcast(cut))
-             .agg(F.first("cutoff_day").alias("cutoff_day"),
-                  F.sum(F.when(day <= F.col("cutoff_day"), 1).otherwise(0)).cast("bigint").alias("train_rows"),
-                  F.sum(F.when(day > F.col("cutoff_day"), 1).otherwise(0)).cast("bigint").alias("test_rows"),
-                  F.min(F.when(day > F.col("cutoff_day"), F.col("week"))).alias("first_test_week")))
-    return stats
+    return rows.agg(cut.alias("cutoff_day"),
+                    F.sum(F.when(day <= cut, 1).otherwise(0)).cast("bigint").alias("train_rows"),
+                    F.sum(F.when(day > cut, 1).otherwise(0)).cast("bigint").alias("test_rows"),
+                    F.min(F.when(day > cut, F.col("week"))).alias("first_test_week"))
 
 
 SEASONAL_NAIVE_BY_TYPE_SQL = S.with_ctes(S.MODEL, """

@@ -140,10 +140,10 @@ def k14_drift_report(spark, sf_dir):
 def k11_cluster_stability(spark, sf_dir):
     """Refit KMeans on the first and second half of the weeks; contingency of store labels."""
     p = panel(spark, sf_dir)
-    mid = p.agg(F.percentile_approx(F.unix_date("week"), 0.5).alias("m"))
+    mid = F.lit(p.agg(F.percentile_approx(F.unix_date("week"), 0.5).alias("m")).first()["m"])
     halves = []
-    for name, cond in (("early", F.unix_date("week") <= F.col("m")), ("late", F.unix_date("week") > F.col("m"))):
-        part = p.crossJoin(F.broadcast(mid)).where(cond).drop("m")
+    for name, cond in (("early", F.unix_date("week") <= mid), ("late", F.unix_date("week") > mid)):
+        part = p.where(cond)
         v = fe.standardize(H.entity_vectors(part), COLS).fillna(0.0, subset=COLS)
         lab, _ = H.kmeans(v, COLS, 3, seed=42, n_init=2)
         halves.append(lab.select("store", F.col("cluster").alias(name)))
@@ -173,10 +173,8 @@ def k16_k17_fallback_and_weights(spark, sf_dir):
     full = M.fit_linear(train, fe.FORECAST_FEATURES)
     lag_only = M.fit_linear(train, lag_feats)
     # exogenous inputs arrive late: the most recent four weeks have no CPI yet
-    last = test.agg(F.max("week").alias("_mx"))
-    late = (test.crossJoin(F.broadcast(last))
-            .withColumn("cpi", F.when(F.col("week") > F.date_sub("_mx", 28), F.lit(None)).otherwise(F.col("cpi")))
-            .drop("_mx"))
+    last = F.lit(test.agg(F.max("week").alias("_mx")).first()["_mx"])
+    late = test.withColumn("cpi", F.when(F.col("week") > F.date_sub(last, 28), F.lit(None)).otherwise(F.col("cpi")))
     a = full.transform(late)  # a missing input gives a NaN prediction
     a = a.withColumn("prediction", F.when(F.isnan("prediction"), F.lit(None)).otherwise(F.col("prediction")))
     b = lag_only.transform(late).select("store", "dept", "week", F.col("prediction").alias("lag_pred"))

@@ -134,19 +134,19 @@ def h7_h8_agglomerative(spark, sf_dir):
 def h9_linkage_sweep(spark, sf_dir):
     """Ward / complete / average at k=4 with silhouette and Davies–Bouldin for each."""
     z = std_vectors(spark, sf_dir).cache()
-    out = None
+    rows = []
     for link in ("ward", "complete", "average"):
         labels, _ = H.agglomerate(z, COLS, 4, link)
         lab = z.join(labels, "store")
-        s = H.silhouette(lab, COLS, "agglo").crossJoin(H.davies_bouldin(lab, COLS, "agglo"))
-        s = s.select(F.lit(link).alias("linkage"), "silhouette", "davies_bouldin")
-        out = s if out is None else out.unionByName(s)
-    return out
+        rows.append((link, H.silhouette(lab, COLS, "agglo").first()[0], H.davies_bouldin(lab, COLS, "agglo").first()[0]))
+    return spark.createDataFrame(rows, "linkage string, silhouette double, davies_bouldin double")
 
 
 @register("h7_bisecting_kmeans")
 def h7_bisecting_kmeans(spark, sf_dir):
     """Hierarchical clustering without a single merge task: bisecting KMeans at k = 4, with scores."""
     lab = H.bisecting(std_vectors(spark, sf_dir), COLS, 4)
-    s = H.silhouette(lab, COLS, "bisect").crossJoin(H.davies_bouldin(lab, COLS, "bisect"))
-    return lab.select("store", "type", "bisect").crossJoin(F.broadcast(s))
+    lab = lab.cache()
+    sil = H.silhouette(lab, COLS, "bisect").first()[0]
+    dbi = H.davies_bouldin(lab, COLS, "bisect").first()[0]
+    return lab.select("store", "type", "bisect", F.lit(sil).alias("silhouette"), F.lit(dbi).alias("davies_bouldin"))

@@ -109,11 +109,10 @@ SELECT ROUND(q1, 6) AS q1, ROUND(q3, 6) AS q3, ROUND(q3 - q1, 6) AS iqr, ROUND(q
 FROM panel, qs GROUP BY q1, q3"""))
 def e5_iqr_fence(spark, sf_dir):
     df = panel(spark, sf_dir)
-    fence = fe.iqr_fence(df)
-    x = df.crossJoin(F.broadcast(fence.select("upper")))
-    extra = x.agg(F.round(F.avg(scalar.flag(F.col("weekly_sales") > F.col("upper")).cast("double")), 8).alias("share_above"),
+    f = fe.iqr_fence(df).first()
+    return df.agg(*[F.round(F.lit(f[c]), 6).alias(c) for c in ("q1", "q3", "iqr", "lower", "upper")],
+                  F.round(F.avg(scalar.flag(F.col("weekly_sales") > F.lit(f["upper"])).cast("double")), 8).alias("share_above"),
                   F.sum(scalar.flag(F.col("weekly_sales") < 0)).cast("bigint").alias("negatives"))
-    return fence.crossJoin(extra).select(r("q1"), r("q3"), r("iqr"), r("lower"), r("upper"), "share_above", "negatives")
 
 
 STD_COLS = ["weekly_sales", "temperature", "fuel_price", "size"]
