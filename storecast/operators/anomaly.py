@@ -418,3 +418,18 @@ def top_series(df: DataFrame, by: Sequence[str] = ("store", "dept"), value: str
     by = list(by)
     return (df.groupBy(*by).agg(F.sum(value).alias("total"))
             .orderBy(F.col("total").desc(), *by).limit(n))
+
+
+def stl_flags_on_panel(panel: DataFrame, n_series: int = 100, by: Sequence[str] = ("store", "dept"),
+                       value: str = "weekly_sales", date_col: str = "week") -> DataFrame:
+    """G5 + G6 write-back: STL flags for the ``n_series`` largest series, 0 for every other row.
+
+    The top-series list is a semi join (no collect); flags are joined back on the row key and
+    missing ones become 0, like the reference's column initialised to 0.
+    """
+    by = list(by)
+    top = top_series(panel, by, value, n_series).select(*by)
+    series = panel.select(*by, date_col, value).join(top, by, "left_semi")
+    flags = stl_anomalies(windows.weekly_grid(series, by, date_col), by, value, date_col)
+    return (panel.join(flags.select(*by, date_col, "stl_anomaly"), [*by, date_col], "left")
+            .withColumn("stl_anomaly", F.coalesce(F.col("stl_anomaly"), F.lit(0))))

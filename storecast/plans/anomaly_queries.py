@@ -155,3 +155,10 @@ def g9_detector_overlap(spark, sf_dir):
     stl = g5_stl_anomalies(spark, sf_dir).select("store", "dept", "week", "stl_anomaly")
     f = f.join(stl, ["store", "dept", "week"], "left").fillna(0, subset=["stl_anomaly"])
     return D.overlap_matrix(f, ["if_anomaly", "is_outlier_iqr", "stl_anomaly"])
+
+
+@register("g5_g6_stl_flags_top_series")
+def g5_g6_stl_flags_top_series(spark, sf_dir):
+    """STL flags written back to the panel for the 100 largest series; all other rows 0."""
+    return G.stl_flags_on_panel(panel(spark, sf_dir), 100).select("store", "dept", "week", "weekly_sales",
+                                                                   "stl_anomaly")

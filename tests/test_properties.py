@@ -66,3 +66,12 @@ def test_split_filter_is_a_literal(spark):
     train, _ = temporal_split(df)
     plan = train._jdf.queryExecution().optimizedPlan().toString()
     assert "cutoff" not in plan and "percentile" not in plan.lower()
+
+
+def test_stl_write_back_keeps_every_row(spark):
+    df = P.wrangled_panel(spark, SF001)
+    out = G.stl_flags_on_panel(df, 5)
+    assert out.count() == df.count()
+    flagged = out.where("stl_anomaly = 1").select("store", "dept").distinct()
+    top = G.top_series(df, n=5).select("store", "dept")
+    assert flagged.join(top, ["store", "dept"], "left_anti").count() == 0
