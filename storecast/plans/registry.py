@@ -12,6 +12,33 @@ QUERIES: dict[str, QueryFn] = {}
 ORACLE: dict[str, str] = {}
 
 
+def positive_zero_rounds(sql: str) -> str:
+    """Wrap every ``ROUND(...)`` as ``(ROUND(...) + 0.0E0)``.
+
+    DuckDB keeps the sign of a value that rounds to zero (``ROUND(-1e-9, 6)`` is -0.0) while
+    Spark's ``round`` returns +0.0; adding +0.0 turns -0.0 into +0.0 and leaves every other
+    value unchanged, so both engines print the same zero.
+    """
+    out, i, key = [], 0, "ROUND("
+    while True:
+        j = sql.find(key, i)
+        if j < 0:
+            out.append(sql[i:])
+            return "".join(out)
+        depth, k = 0, j + len(key) - 1
+        while True:
+            if sql[k] == "(":
+                depth += 1
+            elif sql[k] == ")":
+                depth -= 1
+                if depth == 0:
+                    break
+            k += 1
+        inner = positive_zero_rounds(sql[j + len(key):k])
+        out.append(sql[i:j] + "(ROUND(" + inner + ") + 0.0E0)")
+        i = k + 1
+
+
 def register(name: str, sql: str | None = None):
     """Register a Spark query; ``sql`` is its DuckDB equivalent (None = no SQL oracle)."""
     def deco(fn: QueryFn) -> QueryFn:
@@ -19,6 +46,6 @@ def register(name: str, sql: str | None = None):
             raise ValueError(f"duplicate query {name}")
         QUERIES[name] = fn
         if sql is not None:
-            ORACLE[name] = sql
+            ORACLE[name] = positive_zero_rounds(sql)
         return fn
     return deco

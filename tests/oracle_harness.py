@@ -24,7 +24,7 @@ def _norm(v, digits: int = 9):
         if math.isnan(v):
             return None
         if v == 0:
-            return 0.0
+            return "-0.0" if math.copysign(1.0, v) < 0 else 0.0  # a signed zero is a different value
         return float(f"{v:.{digits}g}")
     if isinstance(v, dt.datetime):
         return v.replace(tzinfo=None)
