@@ -130,13 +130,14 @@ def score_isolation_forest(df: DataFrame, forest: DataFrame, cols: Sequence[str]
     for r in rows:
         for k in arr:
             arr[k][r["tree"], r["node"]] = r[k]
+    # expected remaining path length below each leaf, computed once per node (not per row)
+    arr["cpath"] = np.vectorize(c_factor, otypes=[float])(arr["size"].astype(float))
     bc = spark.sparkContext.broadcast(arr)
     cn = c_factor(psi)
     cols = list(cols)
 
     def score(batches):
         a = bc.value
-        cf = np.vectorize(c_factor)
         for pdf in batches:
             x = pdf[cols].to_numpy(dtype=float)
             x = np.nan_to_num(x, nan=0.0)
@@ -151,7 +152,7 @@ def score_isolation_forest(df: DataFrame, forest: DataFrame, cols: Sequence[str]
                     node[active] = np.where(go_left, a["left"][t, node[active]], a["right"][t, node[active]])
                     depth[active] += 1
                     active = ~a["leaf"][t, node]
-                total += depth + cf(a["size"][t, node].astype(float))
+                total += depth + a["cpath"][t, node]
             mean_h = total / max(a["feature"].shape[0], 1)
             pdf[out] = np.power(2.0, -mean_h / cn) if cn > 0 else 0.5
             yield pdf

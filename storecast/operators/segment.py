@@ -276,24 +276,25 @@ def _ward_merges(x: np.ndarray, w: np.ndarray, linkage: str):
     members = {i: [i] for i in range(n)}
     nxt = n
     for _ in range(n - 1):
-        sub = np.where(active[:, None] & active[None, :], d, np.inf)
-        i, j = np.unravel_index(np.argmin(sub), sub.shape)
+        # rows/columns of merged-away units are +inf, so the global argmin is the closest active pair
+        i, j = np.unravel_index(np.argmin(d), d.shape)
         i, j = (i, j) if i < j else (j, i)
         h = d[i, j]
         ni, nj = size[i], size[j]
-        for k in np.nonzero(active)[0]:
-            if k in (i, j):
-                continue
-            nk = size[k]
+        ks = np.nonzero(active)[0]
+        ks = ks[(ks != i) & (ks != j)]
+        if len(ks):
+            dik, djk, nk = d[i, ks], d[j, ks], size[ks]
             if linkage == "ward":
-                v = math.sqrt(((ni + nk) * d[i, k] ** 2 + (nj + nk) * d[j, k] ** 2 - nk * h ** 2) / (ni + nj + nk))
+                v = np.sqrt(np.maximum(((ni + nk) * dik ** 2 + (nj + nk) * djk ** 2 - nk * h ** 2) / (ni + nj + nk), 0))
             elif linkage == "complete":
-                v = max(d[i, k], d[j, k])
+                v = np.maximum(dik, djk)
             elif linkage == "average":
-                v = (ni * d[i, k] + nj * d[j, k]) / (ni + nj)
+                v = (ni * dik + nj * djk) / (ni + nj)
             else:
-                v = min(d[i, k], d[j, k])
-            d[i, k] = d[k, i] = v
+                v = np.minimum(dik, djk)
+            d[i, ks] = v
+            d[ks, i] = v
         merges.append((ids[i], ids[j], float(h), float(ni + nj)))
         members[nxt] = members.pop(ids[i]) + members.pop(ids[j])
         ids[i] = nxt
