@@ -71,3 +71,13 @@ def itemset_string(c: Column | str) -> Column:
 def parse_day_first(c: Column | str) -> Column:
     """S7 — ``DD/MM/YYYY`` text to DATE."""
     return F.to_date(_c(c), "dd/MM/yyyy")
+
+
+def rnd(c: Column | str, digits: int) -> Column:
+    """Round half away from zero through DECIMAL, as SQL engines do for DECIMAL values.
+
+    Rounding the double directly can tip an exact tie (e.g. 53124.6671875 to 6 places) either way
+    depending on the last binary digit; going through DECIMAL(38, digits + 3) first makes the tie
+    explicit, so every engine rounds it the same way.
+    """
+    return F.round(_c(c).cast(f"decimal(38,{digits + 3})"), digits).cast("double")

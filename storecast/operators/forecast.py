@@ -7,6 +7,8 @@ from typing import Iterable, Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from storecast.functions.scalar import rnd
+
 from storecast.functions.metrics import metric_aggs, mape_agg
 
 
@@ -29,7 +31,7 @@ def metrics(preds: DataFrame, by: Sequence[str] = (), digits: int | None = None,
     out = preds.groupBy(*by).agg(*aggs)
     if digits is not None:
         for c in ["wmae", "rmse", "mae", "r2"] + (["mape"] if with_mape else []):
-            out = out.withColumn(c, F.round(c, digits))
+            out = out.withColumn(c, rnd(c, digits))
     return out
 
 

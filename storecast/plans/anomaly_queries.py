@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from storecast.functions.scalar import rnd
+
 from storecast.operators import anomaly as G
 from storecast.operators import explore as D
 from storecast.operators import windows
@@ -41,7 +43,7 @@ def grid_interp(spark, sf_dir):
 SELECT store, dept, week, y AS weekly_sales, ROUND(yi, 6) AS y_interp FROM interp"""))
 def w4_w5_grid_interpolate(spark, sf_dir):
     g = grid_interp(spark, sf_dir)
-    return g.select("store", "dept", "week", "weekly_sales", F.round("_y", 6).alias("y_interp"))
+    return g.select("store", "dept", "week", "weekly_sales", rnd("_y", 6).alias("y_interp"))
 
 
 def _fx(e: str) -> str:
@@ -71,7 +73,7 @@ def g7_classical_decompose(spark, sf_dir):
     dec = G.classical_decompose(grid_interp(spark, sf_dir))
     def cents(c):  # round through DECIMAL so half-way values round the same in every engine
         return F.round(F.col(c).cast("decimal(38,6)"), 2).cast("double").alias(c)
-    return dec.select("store", "dept", "week", F.round("y", 6).alias("y"), cents("trend"), cents("seasonal"),
+    return dec.select("store", "dept", "week", rnd("y", 6).alias("y"), cents("trend"), cents("seasonal"),
                       cents("resid"))
 
 
@@ -92,7 +94,7 @@ def g7_stl_decompose(spark, sf_dir):
 SELECT store, dept, ROUND(SUM(weekly_sales), 4) AS total FROM panel GROUP BY store, dept
 ORDER BY SUM(weekly_sales) DESC, store, dept LIMIT 100"""))
 def g6_top_series(spark, sf_dir):
-    return G.top_series(panel(spark, sf_dir)).select("store", "dept", F.round("total", 4).alias("total"))
+    return G.top_series(panel(spark, sf_dir)).select("store", "dept", rnd("total", 4).alias("total"))
 
 
 def if_scored(spark, sf_dir, trees=200):

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from storecast.functions.scalar import rnd
+
 from storecast.operators import basket as J
 from storecast.operators import explore as D
 from storecast.plans.explore_queries import panel, q
@@ -91,14 +93,14 @@ def _itemsets_out(df):
 
 
 def _rules_out(df):
-    return df.select("antecedents_str", "consequents_str", *[F.round(c, 8).alias(c) for c in
+    return df.select("antecedents_str", "consequents_str", *[rnd(c, 8).alias(c) for c in
                                                             ("support", "confidence", "lift")])
 
 
 @register("j1_activity_threshold", q(",\n" + _THR + "\nSELECT dept, ROUND(threshold, 6) AS threshold FROM thr"))
 def j1_activity_threshold(spark, sf_dir):
     t = J.activity_threshold(panel(spark, sf_dir))
-    return t.select("dept", F.round("threshold", 6).alias("threshold"))
+    return t.select("dept", rnd("threshold", 6).alias("threshold"))
 
 
 @register("j2_j3_baskets", q(",\n" + _THR + ",\n" + _PANEL_ACT + """
@@ -143,7 +145,7 @@ SELECT antecedents_str, consequents_str, ROUND(confidence, 8) AS confidence, ROU
 ORDER BY antecedents_str, consequents_str LIMIT 80"""))
 def j7_rules_bubble(spark, sf_dir):
     b = J.rules_bubble(J.association_rules(order_itemsets(spark, sf_dir)), 80)
-    return b.select("antecedents_str", "consequents_str", *[F.round(c, 8).alias(c) for c in
+    return b.select("antecedents_str", "consequents_str", *[rnd(c, 8).alias(c) for c in
                                                            ("confidence", "lift", "support")])
 
 

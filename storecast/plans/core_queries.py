@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from storecast.functions.scalar import rnd
+
 from storecast.operators import features as fe
 from storecast.operators import forecast as fc
 from storecast.operators import windows
@@ -53,7 +55,7 @@ def w1_w2_lags_rolls(spark, sf_dir):
     df = windows.lags(df, "weekly_sales", (1, 4, 52))
     df = windows.rolling_means(df, "weekly_sales", (4, 12))
     return df.select("store", "dept", "week", "lag_1", "lag_4", "lag_52",
-                     F.round("roll_4", 4).alias("roll_4"), F.round("roll_12", 4).alias("roll_12"))
+                     rnd("roll_4", 4).alias("roll_4"), rnd("roll_12", 4).alias("roll_12"))
 
 
 @register("w1_calendar_lag", S.with_ctes([S.PANEL_SALES], """
@@ -136,7 +138,7 @@ def s1_s8_engineered_features(spark, sf_dir):
     """One-hot type (drop first), cyclical month/week, markdown and negative flags, log1p target."""
     from storecast.functions import scalar
     df = engineered(spark, sf_dir).withColumn("is_negative", scalar.flag(F.col("weekly_sales") < 0))
-    r8 = lambda c: F.round(c, 8).alias(c)
+    r8 = lambda c: rnd(c, 8).alias(c)
     return df.select("store", "dept", "week", "type_B", "type_C", r8("month_sin"), r8("month_cos"), r8("week_sin"),
                      r8("week_cos"), "has_markdown", "is_negative", r8("weekly_sales_log"))
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from storecast.functions.scalar import rnd
+
 from storecast.functions import scalar
 from storecast.operators import explore as D
 from storecast.operators import features as fe
@@ -35,7 +37,7 @@ def q(body: str, blocks=None) -> str:
 
 
 def r(c: str, d: int = 6):
-    return F.round(c, d).alias(c)
+    return rnd(c, d).alias(c)
 
 
 # ---- B profiling ------------------------------------------------------------
@@ -230,7 +232,7 @@ def d5_holiday_share(spark, sf_dir):
 @register("d6_weekly_totals", q("""
 SELECT week, ROUND(SUM(weekly_sales), 4) AS total_sales, MAX(is_holiday) AS is_holiday FROM panel GROUP BY week"""))
 def d6_weekly_totals(spark, sf_dir):
-    return D.weekly_totals(panel(spark, sf_dir)).withColumn("total_sales", F.round("total_sales", 4))
+    return D.weekly_totals(panel(spark, sf_dir)).withColumn("total_sales", rnd("total_sales", 4))
 
 
 def _box_sql(by: str) -> str:
@@ -276,13 +278,13 @@ SELECT dept, ROUND(total, 4) AS total, CAST(row_number() OVER (ORDER BY total DE
 FROM top"""))
 def d9_pareto(spark, sf_dir):
     p = D.pareto(panel(spark, sf_dir), "dept", "weekly_sales", 15)
-    return p.select("dept", F.round("total", 4).alias("total"), "rank", r("share"), r("cum_share"))
+    return p.select("dept", rnd("total", 4).alias("total"), "rank", r("share"), r("cum_share"))
 
 
 @register("d10_store_summary", q("""
 SELECT store, type, size, ROUND(AVG(weekly_sales), 6) AS mean_sales FROM panel GROUP BY store, type, size"""))
 def d10_store_summary(spark, sf_dir):
-    return D.store_summary(panel(spark, sf_dir)).withColumn("mean_sales", F.round("mean_sales", 6))
+    return D.store_summary(panel(spark, sf_dir)).withColumn("mean_sales", rnd("mean_sales", 6))
 
 
 @register("d11_markdown_coverage", q("""
@@ -311,7 +313,7 @@ def _corr_sql() -> str:
 
 @register("d13_corr_matrix", _corr_sql())
 def d13_corr_matrix(spark, sf_dir):
-    return D.corr_matrix(panel(spark, sf_dir), CORR_COLS).withColumn("r", F.round("r", 8))
+    return D.corr_matrix(panel(spark, sf_dir), CORR_COLS).withColumn("r", rnd("r", 8))
 
 
 @register("d14_kde_by_type", q("""
@@ -326,13 +328,13 @@ SELECT g.type, g.gi, ROUND(g.gx, 4) AS x,
 FROM x JOIN grid g ON x.type = g.type GROUP BY g.type, g.gi, g.gx, g.n, g.bw"""))
 def d14_kde_by_type(spark, sf_dir):
     k = D.kde(panel(spark, sf_dir), "weekly_sales", "type", grid_size=200)
-    return k.select("type", "gi", F.round("x", 4).alias("x"), F.round(F.col("density") * 1e9, 4).alias("density_e9"))
+    return k.select("type", "gi", rnd("x", 4).alias("x"), rnd(F.col("density") * 1e9, 4).alias("density_e9"))
 
 
 @register("d15_mean_by_type_holiday", q("""
 SELECT type, is_holiday, ROUND(AVG(weekly_sales), 6) AS mean_sales FROM panel GROUP BY type, is_holiday"""))
 def d15_mean_by_type_holiday(spark, sf_dir):
-    return panel(spark, sf_dir).groupBy("type", "is_holiday").agg(F.round(F.avg("weekly_sales"), 6).alias("mean_sales"))
+    return panel(spark, sf_dir).groupBy("type", "is_holiday").agg(rnd(F.avg("weekly_sales"), 6).alias("mean_sales"))
 
 
 @register("d16_rounded_mean_and_medians", q("""
@@ -344,7 +346,7 @@ def d16_rounded_mean_and_medians(spark, sf_dir):
     from storecast.operators import order
     post = panel(spark, sf_dir).where(F.col("week") >= F.lit(P.MARKDOWN_LAUNCH).cast("date"))
     post = post.where(F.col("total_markdown") >= 0).withColumn("active", scalar.flag(F.col("total_markdown") > 0))
-    means = post.groupBy("active").agg(F.round(F.avg("weekly_sales"), 0).alias("mean_sales"))
+    means = post.groupBy("active").agg(rnd(F.avg("weekly_sales"), 0).alias("mean_sales"))
     med = order.quantiles(post, "weekly_sales", [0.5], by=["active"], names=["median_sales"])
     return means.join(med, "active").select("active", "mean_sales", r("median_sales"))
 

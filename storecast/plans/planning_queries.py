@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from storecast.functions.scalar import rnd
+
 from storecast.operators import features as fe
 from storecast.operators import forecast as fc
 from storecast.operators import models as M
@@ -19,7 +21,7 @@ from storecast.sources import panel as P
 SELECT store, ROUND(1.65 * std_weekly * sqrt(2.0E0), 4) AS safety_stock FROM sf"""))
 def k4_safety_stock(spark, sf_dir):
     v = K.safety_stock(store_vectors(spark, sf_dir), 1.65, 2.0)
-    return v.select("store", F.round("safety_stock", 4).alias("safety_stock"))
+    return v.select("store", rnd("safety_stock", 4).alias("safety_stock"))
 
 
 @register("k5_unemployment_trigger", q("""
@@ -30,8 +32,8 @@ SELECT store, year, quarter, ROUND(q_mean, 6) AS q_mean, ROUND(q_mean - prev, 6)
        CASE WHEN q_mean - prev > 0.5 THEN 1 ELSE 0 END AS trigger FROM l"""))
 def k5_unemployment_trigger(spark, sf_dir):
     t = K.unemployment_trigger(panel(spark, sf_dir))
-    return t.select("store", "year", "quarter", F.round("q_mean", 6).alias("q_mean"),
-                    F.round("rise", 6).alias("rise"), "trigger")
+    return t.select("store", "year", "quarter", rnd("q_mean", 6).alias("q_mean"),
+                    rnd("rise", 6).alias("rise"), "trigger")
 
 
 @register("k6_cold_start_assignment", q(",\n" + _H1 + """,
@@ -44,7 +46,7 @@ def k6_cold_start_assignment(spark, sf_dir):
     v = store_vectors(spark, sf_dir)
     cents = v.groupBy("type").agg(F.avg("size").alias("size"))
     a = K.nearest_centroid(v, cents, ["size"], "type")
-    return a.select("store", "assigned", F.round("assigned_distance", 6).alias("assigned_distance"))
+    return a.select("store", "assigned", rnd("assigned_distance", 6).alias("assigned_distance"))
 
 
 @register("k6_cold_start_profile", q("""
@@ -53,7 +55,7 @@ def k6_cold_start_profile(spark, sf_dir):
     p = panel(spark, sf_dir)
     prof = K.cold_start_profile(p, P.panel_stores(spark, sf_dir).select("store", F.col("type").alias("label")), "label")
     return prof.select(F.col("label").alias("type"), "week_of_year",
-                       F.round("cluster_mean_sales", 6).alias("cluster_mean_sales"))
+                       rnd("cluster_mean_sales", 6).alias("cluster_mean_sales"))
 
 
 @register("k7_retraining_window", q("""
@@ -62,7 +64,7 @@ SELECT store, COUNT(*) AS rows, ROUND(SUM(weekly_sales), 4) AS sales FROM panel,
 WHERE week > m - INTERVAL 24 MONTH GROUP BY store"""))
 def k7_retraining_window(spark, sf_dir):
     w = K.retraining_window(panel(spark, sf_dir), 24)
-    return w.groupBy("store").agg(F.count(F.lit(1)).alias("rows"), F.round(F.sum("weekly_sales"), 4).alias("sales"))
+    return w.groupBy("store").agg(F.count(F.lit(1)).alias("rows"), rnd(F.sum("weekly_sales"), 4).alias("sales"))
 
 
 @register("k8_rolling_holdout", q("""
@@ -90,7 +92,7 @@ SELECT store, ROUND(regr_slope(weekly_sales, total_markdown), 6) AS md_slope,
 FROM panel GROUP BY store"""))
 def k10_markdown_sensitivity(spark, sf_dir):
     m = fc.markdown_sensitivity(panel(spark, sf_dir))
-    return m.select("store", F.round("md_slope", 6).alias("md_slope"), F.round("md_ratio", 6).alias("md_ratio"))
+    return m.select("store", rnd("md_slope", 6).alias("md_slope"), rnd("md_ratio", 6).alias("md_ratio"))
 
 
 @register("k12_hierarchy_totals", q("""
@@ -133,7 +135,7 @@ FROM cnt JOIN tot ON cnt.feature = tot.feature GROUP BY cnt.feature, tot.ref_mea
 @register("k14_drift_report", _drift_sql())
 def k14_drift_report(spark, sf_dir):
     d = K.drift_report(panel(spark, sf_dir), DRIFT_COLS, P.MARKDOWN_LAUNCH)
-    return d.select("feature", *[F.round(c, 6).alias(c) for c in ("ref_mean", "recent_mean", "psi", "mean_shift")])
+    return d.select("feature", *[rnd(c, 6).alias(c) for c in ("ref_mean", "recent_mean", "psi", "mean_shift")])
 
 
 @register("k11_cluster_stability")

@@ -13,7 +13,11 @@ ORACLE: dict[str, str] = {}
 
 
 def positive_zero_rounds(sql: str) -> str:
-    """Wrap every ``ROUND(...)`` as ``(ROUND(...) + 0.0E0)``.
+    """Make every ``ROUND(x, d)`` round through DECIMAL and return +0.0 for zero.
+
+    ``ROUND(x, d)`` becomes ``CAST(ROUND(CAST(x AS DECIMAL(38, d + 3)), d) AS DOUBLE) + 0.0E0``,
+    matching ``storecast.functions.scalar.rnd`` on the Spark side (ties are explicit decimals
+    and round away from zero in both engines).
 
     DuckDB keeps the sign of a value that rounds to zero (``ROUND(-1e-9, 6)`` is -0.0) while
     Spark's ``round`` returns +0.0; adding +0.0 turns -0.0 into +0.0 and leaves every other
@@ -35,7 +39,13 @@ def positive_zero_rounds(sql: str) -> str:
                     break
             k += 1
         inner = positive_zero_rounds(sql[j + len(key):k])
-        out.append(sql[i:j] + "(ROUND(" + inner + ") + 0.0E0)")
+        arg, _, digits = inner.rpartition(",")
+        digits = digits.strip()
+        if digits.isdigit() and "AS DECIMAL" not in arg:
+            # round ties through DECIMAL like the Spark side (storecast.functions.scalar.rnd)
+            out.append(sql[i:j] + f"(CAST(ROUND(CAST({arg} AS DECIMAL(38,{int(digits) + 3})), {digits}) AS DOUBLE) + 0.0E0)")
+        else:
+            out.append(sql[i:j] + "(ROUND(" + inner + ") + 0.0E0)")
         i = k + 1
 
 

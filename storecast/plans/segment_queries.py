@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from storecast.functions.scalar import rnd
+
 from storecast.operators import features as fe
 from storecast.operators import segment as H
 from storecast.plans import sql_blocks as S
@@ -40,7 +42,7 @@ def std_vectors(spark, sf_dir):
     f"ROUND({c}, 6) AS {c}" for c in COLS) + ", type FROM sf"))
 def h1_entity_vectors(spark, sf_dir):
     v = store_vectors(spark, sf_dir)
-    return v.select("store", *[F.round(c, 6).alias(c) for c in COLS], "type")
+    return v.select("store", *[rnd(c, 6).alias(c) for c in COLS], "type")
 
 
 @register("h4_silhouette_by_type", q(",\n" + _H1 + ",\n" + _Z + """,
@@ -52,7 +54,7 @@ SELECT ROUND(AVG(CASE WHEN a IS NULL OR b IS NULL THEN 0.0E0 ELSE (b - a) / grea
 def h4_silhouette_by_type(spark, sf_dir):
     """Exact Euclidean silhouette of the store-type labelling on standardised store vectors."""
     s = H.silhouette(std_vectors(spark, sf_dir), COLS, "type")
-    return s.select(F.round("silhouette", 8).alias("silhouette"))
+    return s.select(rnd("silhouette", 8).alias("silhouette"))
 
 
 @register("h5_davies_bouldin_by_type", q(",\n" + _H1 + ",\n" + _Z + """,
@@ -63,7 +65,7 @@ r AS (SELECT a.type, MAX((sa.s + sb.s) / """ + _dist("a", "b") + """) AS r
 SELECT ROUND(AVG(r), 8) AS davies_bouldin FROM r"""))
 def h5_davies_bouldin_by_type(spark, sf_dir):
     d = H.davies_bouldin(std_vectors(spark, sf_dir), COLS, "type")
-    return d.select(F.round("davies_bouldin", 8).alias("davies_bouldin"))
+    return d.select(rnd("davies_bouldin", 8).alias("davies_bouldin"))
 
 
 @register("h11_cluster_profile_by_type", q(",\n" + _H1 + ",\n" + "per AS (SELECT type, " + ", ".join(
@@ -72,7 +74,7 @@ def h5_davies_bouldin_by_type(spark, sf_dir):
     f"SELECT type, '{c}' AS feature, ROUND(({c} - m_{c}) / s_{c}, 6) AS z FROM per, ov" for c in COLS)))
 def h11_cluster_profile_by_type(spark, sf_dir):
     p = H.cluster_profile(store_vectors(spark, sf_dir), "type", COLS)
-    return p.select("type", "feature", F.round("z", 6).alias("z"))
+    return p.select("type", "feature", rnd("z", 6).alias("z"))
 
 
 @register("h12_cluster_summary_by_size_band", q(",\n" + _H1 + """,
@@ -87,8 +89,8 @@ def h12_cluster_summary_by_size_band(spark, sf_dir):
     s = H.cluster_summary(v, "cluster")
     mix = F.array_join(F.transform(F.map_entries("type_mix"),
                                    lambda e: F.concat(e["key"], F.lit(":"), e["value"].cast("string"))), ", ")
-    return s.select("cluster", "stores", F.round("mean_weekly", 6).alias("mean_weekly"),
-                    F.round("hol_lift", 6).alias("hol_lift"), mix.alias("type_mix"))
+    return s.select("cluster", "stores", rnd("mean_weekly", 6).alias("mean_weekly"),
+                    rnd("hol_lift", 6).alias("hol_lift"), mix.alias("type_mix"))
 
 
 @register("h2_k_search")

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from storecast.functions.scalar import rnd
+
 from storecast.functions import scalar
 from storecast.operators import features as fe
 from storecast.operators import stats as E
@@ -13,7 +15,7 @@ from storecast.sources import panel as P
 
 
 def r(c, d=6):
-    return F.round(c, d).alias(c)
+    return rnd(c, d).alias(c)
 
 
 def post_launch(spark, sf_dir):
@@ -110,8 +112,8 @@ FROM panel, qs GROUP BY q1, q3"""))
 def e5_iqr_fence(spark, sf_dir):
     df = panel(spark, sf_dir)
     f = fe.iqr_fence(df).first()
-    return df.agg(*[F.round(F.lit(f[c]), 6).alias(c) for c in ("q1", "q3", "iqr", "lower", "upper")],
-                  F.round(F.avg(scalar.flag(F.col("weekly_sales") > F.lit(f["upper"])).cast("double")), 8).alias("share_above"),
+    return df.agg(*[rnd(F.lit(f[c]), 6).alias(c) for c in ("q1", "q3", "iqr", "lower", "upper")],
+                  rnd(F.avg(scalar.flag(F.col("weekly_sales") > F.lit(f["upper"])).cast("double")), 8).alias("share_above"),
                   F.sum(scalar.flag(F.col("weekly_sales") < 0)).cast("bigint").alias("negatives"))
 
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from storecast.functions.scalar import rnd
+
 from storecast.plans.registry import register
 from storecast.streaming import events as ST
 
@@ -16,7 +18,7 @@ def k13_stream_window_counts(spark, sf_dir):
     """Event-time daily windows per event type from a Structured Streaming query."""
     r = ST.window_counts(spark, sf_dir, "1 day", "2 days")
     return r.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "events",
-                    F.round("value_sum", 6).alias("value_sum"))
+                    rnd("value_sum", 6).alias("value_sum"))
 
 
 @register("k13_minibatch_centroids")

@@ -39,7 +39,7 @@ def _key(row):
     return tuple((x is None, str(type(x)) if x is not None else "", x if x is not None else 0) for x in row)
 
 
-def compare(spark, con, name: str, spark_fn, sql: str, sf_dir: str, digits: int = 9):
+def compare(spark, con, name: str, spark_fn, sql: str, sf_dir: str, digits: int = 17):
     """Return (ok, message)."""
     sdf = spark_fn(spark, sf_dir)
     s_cols = sdf.columns
