@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -56,3 +57,23 @@ def shuffle_partitions(spark: SparkSession) -> int:
         return max(1, int(value))
     except (TypeError, ValueError):
         return 200
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors' Python, once for each Spark context.
+
+    Needed wherever the package is not installed on the workers (no ``--py-files``).
+    """
+    sc = spark.sparkContext
+    if getattr(sc, "_storecast_shipped", False):
+        return
+    here = os.path.dirname(os.path.abspath(__file__))
+    target = os.path.join(tempfile.mkdtemp(prefix="storecast-zip-"), "storecast.zip")
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
+        for folder, _, names in os.walk(here):
+            for name in names:
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    z.write(path, os.path.join("storecast", os.path.relpath(path, here)))
+    sc.addPyFile(target)
+    sc._storecast_shipped = True
