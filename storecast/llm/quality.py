@@ -81,7 +81,7 @@ def histograms(docs: DataFrame, text_col: str = "text", lang_col: str = "lang")
     """Add ``__words``, ``__n``, ``__chars`` and ``__common`` (arrays of counts) to ``docs``."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     # \xad-like marks stay characters; only the six ASCII white space characters separate words.
-    trimmed = F.regexp_replace(text, F.lit(rf"^{WHITE}+|{WHITE}+\z"), F.lit(""))
+    trimmed = F.btrim(text, F.lit(" \t\n\x0b\x0c\r"))
     docs = docs.withColumn(
         "__words", F.when(F.length(trimmed) == 0, F.array().cast("array<string>")).otherwise(F.split(trimmed, rf"{WHITE}+")))
     docs = docs.withColumn("__n", F.size("__words"))
@@ -126,7 +126,10 @@ def language_references(docs: DataFrame, text_col: str = "text", lang_col: str =
     one with ``ref_lang`` null, the average of the others (used for every other language; it has no
     common words). An empty table gives only that row, with null references, which reject nothing.
     """
-    h = histograms(docs.select(F.col(text_col).alias("__text"), F.col(lang_col).alias("__lang")), "__text", "__lang")
+    return _references(histograms(docs.select(F.col(text_col).alias("__text"), F.col(lang_col).alias("__lang")), "__text", "__lang"))
+
+
+def _references(h: DataFrame) -> DataFrame:
     h = h.where(F.col("__lang").isNotNull() & (F.col("__n") >= MIN_WORDS_CHARS))
     words = F.when(F.col("__n") >= MIN_WORDS_COMMON, shares(F.col("__common")))
     none = F.array().cast("array<double>")
@@ -153,8 +156,7 @@ def language_references(docs: DataFrame, text_col: str = "text", lang_col: str =
     return refs.unionByName(pool)
 
 
-def quality_rules(docs: DataFrame, references: DataFrame | None = None, text_col: str = "text", lang_col: str = "lang",
-                  max_char_distance: float = MAX_CHAR_DISTANCE, max_word_distance: float = MAX_WORD_DISTANCE) -> DataFrame:
+def quality_rules(docs: DataFrame, references: DataFrame | None = None, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """Return every row and column of ``docs`` with the rule columns added.
 
     Added: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (long), base_failed,
@@ -171,6 +173,22 @@ def quality_rules(docs: DataFrame, references: DataFrame | None = None, text_col
     d = docs.select(*[F.col(f"`{c}`") for c in inner])
     d = histograms(d.withColumns({"__text": F.coalesce(F.col(text_col), F.lit("")), "__lang": F.col(lang_col)}), "__text", "__lang")
 
+    return _judged(_measured(d), refs).select(*[F.col(f"`{c}`") for c in inner if c not in own], *own)
+
+
+def quality_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """``id_col`` and the rule columns of :func:`quality_rules`, with references from ``docs`` itself.
+
+    The texts are read once: histograms and base counts are written, then referenced and compared.
+    """
+    d = docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("__text"), F.col(lang_col).alias("__lang"))
+    measured = _measured(histograms(d, "__text", "__lang"))
+    measured = materialize(measured.select(id_col, "__lang", "__n", "__chars", "__common", *FEATURES, "base_failed"), "quality")
+    return _judged(measured, _references(measured)).select(id_col, *FEATURES, "base_failed", "char_distance", "word_distance", "kept")
+
+
+def _measured(d: DataFrame) -> DataFrame:
+    """Add the base counts to histogram rows with their ``__text``."""
     n, text = F.col("__n"), F.col("__text")
     lines = F.filter(F.split(text, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     d = d.withColumn("__lines", lines).withColumn("__h1", F.transform("__words", lambda w: F.xxhash64(w)))
@@ -196,8 +214,12 @@ def quality_rules(docs: DataFrame, references: DataFrame | None = None, text_col
         "n_dup_lines": (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long"),
         "n_repeat_words": F.coalesce(covered, F.lit(0)).cast("long"),
     })
-    d = d.withColumn("base_failed", (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words")))
+    return d.withColumn("base_failed", (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words")))
+
 
+def _judged(d: DataFrame, refs: DataFrame) -> DataFrame:
+    """Add both distances and the verdict."""
+    n = F.col("__n")
     # References are a row for each language: Spark broadcasts them when it measures them small.
     own_refs = refs.where(F.col("ref_lang").isNotNull()).select(
         F.col("ref_lang").alias("__ref_lang"), F.col("char_ref").alias("__cr"), F.col("word_ref").alias("__wr"))
@@ -209,10 +231,9 @@ def quality_rules(docs: DataFrame, references: DataFrame | None = None, text_col
         "char_distance": F.when(n >= MIN_WORDS_CHARS, js_distance(shares(F.col("__chars")), F.coalesce(F.col("__cr"), pooled_col))),
         "word_distance": F.when(n >= MIN_WORDS_COMMON, js_distance(shares(F.col("__common")), F.col("__wr"))),
     })
-    d = d.withColumn("kept", ~F.col("base_failed")
-                     & F.coalesce(F.col("char_distance") <= max_char_distance + CHAR_ALLOWANCE / n, F.lit(True))
-                     & F.coalesce(F.col("word_distance") <= max_word_distance + WORD_ALLOWANCE / n, F.lit(True)))
-    return d.select(*[F.col(f"`{c}`") for c in inner if c not in own], *own)
+    return d.withColumn("kept", ~F.col("base_failed")
+                        & F.coalesce(F.col("char_distance") <= MAX_CHAR_DISTANCE + CHAR_ALLOWANCE / n, F.lit(True))
+                        & F.coalesce(F.col("word_distance") <= MAX_WORD_DISTANCE + WORD_ALLOWANCE / n, F.lit(True)))
 
 
 def quality_filter(docs: DataFrame, references: DataFrame | None = None, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
