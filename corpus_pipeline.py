@@ -8,19 +8,47 @@ from __future__ import annotations
 
 import uuid
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from storecast.llm import quality
+from storecast.llm import minhash, packing, pii, quality, toxicity
 from storecast.llm.common import shared_dir
 
+TOKENIZER = "word_bpe_49k.json"
 
-def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
     return quality.quality_filter(docs)
 
 
+def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents below their language's toxicity threshold; the classifier learns from the labels table."""
+    labels = spark.read.parquet(f"{sf_dir.rstrip('/')}/labels.parquet")
+    return toxicity.toxicity_filter(docs, toxicity.train(docs, labels))
+
+
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near-duplicates: the one of the least id."""
+    return minhash.deduplicate(docs)
+
+
+def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with personal data replaced by its kind."""
+    return pii.redact_documents(docs)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token pieces with their sequence and offset."""
+    return packing.pack_documents(docs, public_tokenizers.path(TOKENIZER))
+
+
 STAGES = [
-    ("quality rules", quality_rules),
+    ("quality rules", quality_stage),
+    ("toxicity", toxicity_stage),
+    ("MinHash near-dedup", near_duplicate_stage),
+    ("PII", pii_stage),
+    ("packing", packing_stage),
 ]
 
 #: The stages run models and hashes that SQL can't express; the tests hold them against plain versions.

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storecast.llm import packing, pii, quality, toxicity
+from storecast.llm import minhash, packing, pii, quality, toxicity
 from storecast.llm.common import fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -51,3 +51,8 @@ def op7_toxicity_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = toxicity.train(docs, labels, learn=fold(F.col("doc_id"), 5) != 0)
     scored = toxicity.score_documents(docs, model, lang_col="lang")
     return scored.select("doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "score", "predicted", "flagged")
+
+
+@query("op1_minhash_icws")
+def op1_minhash_icws(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))

@@ -46,7 +46,7 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of a string column and its n + 1 offsets into them; nulls are empty."""
-    column = column.fill_null("")
+    column = (column.cast(pa.string()) if pa.types.is_null(column.type) else column).fill_null("")
     large = pa.types.is_large_string(column.type)
     offsets = np.frombuffer(column.buffers()[1], np.int64 if large else np.int32)[column.offset:column.offset + len(column) + 1].astype(np.int64)
     body = column.buffers()[2]
