@@ -40,7 +40,7 @@ LEAST_AGREEMENT = 0.57
 #: frequencies is the number of different words of an average document times the documents.
 COMMON, MAX_TERMS = 1000, 200_000
 #: Rows of one block of a bucket in pairwise comparison, and pairs verified against one hub by one task.
-BLOCK, HUB_CHUNK = 1024, 256
+BLOCK, HUB_CHUNK = 512, 256
 SLICE_BYTES = 512 << 10
 
 
@@ -221,10 +221,7 @@ def signatures(docs: DataFrame, idf: Idf, id_col: str, text_col: str) -> DataFra
                     starts = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
                     drawn[first + owner[starts]] = samples(keys, weights, starts)
                     some[first + owner[starts]] = True
-            bands = drawn.reshape(n, BANDS, ROWS).astype(np.uint64)
-            folded = np.zeros((n, BANDS), np.uint64)
-            for j in range(ROWS):
-                folded = mix(folded * np.uint64(0x9E3779B97F4A7C15) + bands[:, :, j] + np.uint64(1))
+            folded = _fold_bands(drawn)
             without = pa.array(~some)
             yield pa.RecordBatch.from_arrays([
                 batch.column(0), pa.array(np.arange(uid, uid + n)),
@@ -291,65 +288,117 @@ def _open_buckets(members: DataFrame) -> DataFrame:
                         ["band", "value"]).withColumn("minor", F.col("comp") != F.col("main"))
 
 
-def _candidates(members: DataFrame, nodes: DataFrame, best: int) -> DataFrame:
-    """Pairs of nodes that share a bucket, lie in different components and agree enough: (a, b, more).
+def _blocks(members: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Rows (band, value, i, j, left, node, comp, samples) that put every two members of a bucket that lie in
+    different components together in some block: (some members, left) x (some minor members, not left).
 
-    Per bucket block and node, the ``best`` pairs with each other component; more: there are others.
-    Blocks are (some members) x (some minor members), so none grows with its bucket.
+    No block grows with its bucket. Rows of a block lie together in one partition.
     """
     parts = shuffle_partitions(members.sparkSession)
     open_members = _open_buckets(members).join(nodes, "node")
     chunk = lambda n: F.pmod(F.xxhash64("node", F.lit(7)), n).cast("int")
-    columns = ["band", "value", "i", "j", "left", "node", "comp", "samples"]
+    columns = [*_BLOCK_KEY, "left", "node", "comp", "samples"]
     left = (open_members.withColumn("i", chunk(F.col("all_chunks"))).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("minor_chunks") - 1)))
             .withColumn("left", F.lit(True)).select(columns))
     right = (open_members.where("minor").withColumn("j", chunk(F.col("minor_chunks"))).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("all_chunks") - 1)))
              .withColumn("left", F.lit(False)).select(columns))
-    least = int(np.ceil(LEAST_AGREEMENT * SAMPLES))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, group = None, []
-        for batch in batches:
-            keys = list(zip(*(batch.column(k).to_pylist() for k in range(4))))
-            changes = [0, *[i for i in range(1, len(keys)) if keys[i] != keys[i - 1]], len(keys)]
-            for x, y in zip(changes, changes[1:]):
-                if x == y:
-                    continue
-                if keys[x] != key and group:
-                    yield _block_pairs(group, least, best)
-                    group = []
-                key = keys[x]
-                group.append(batch.slice(x, y - x))
-        if group:
-            yield _block_pairs(group, least, best)
-
-    rows = left.unionByName(right).repartition(parts, "band", "value", "i", "j").sortWithinPartitions("band", "value", "i", "j")
-    found = rows.mapInArrow(run, "a long, b long, more boolean")
-    return found.groupBy("a", "b").agg(F.max("more").alias("more"))
-
-
-def _block_pairs(group: list[pa.RecordBatch], least: int, best: int) -> pa.RecordBatch:
-    table = pa.Table.from_batches(group).combine_chunks()
-    side = table.column("left").to_numpy()
-    node, comp = table.column("node").to_numpy(), table.column("comp").to_numpy()
-    drawn = table.column("samples").combine_chunks().flatten().to_numpy().reshape(len(side), SAMPLES)
-    out = []
-    left = np.flatnonzero(side)
-    for r in np.flatnonzero(~side):
-        rivals = left[comp[left] != comp[r]]
-        if not len(rivals):
-            continue
-        agree = (drawn[rivals] == drawn[r]).sum(1)
-        near = agree >= least
-        rivals, agree = rivals[near], agree[near]
-        for c in np.unique(comp[rivals]):
-            own = np.flatnonzero(comp[rivals] == c)
-            ranked = own[np.lexsort((node[rivals[own]], -agree[own]))]
-            for o in ranked[:best]:
-                a, b = sorted((int(node[r]), int(node[rivals[o]])))
-                out.append((a, b, len(ranked) > best))
-    return pa.RecordBatch.from_arrays([pa.array([x[j] for x in out], t) for j, t in enumerate((pa.int64(), pa.int64(), pa.bool_()))],
-                                      names=["a", "b", "more"])
+    return left.unionByName(right).repartition(parts, *_BLOCK_KEY).sortWithinPartitions(*_BLOCK_KEY)
+
+
+_BLOCK_KEY = ("band", "value", "i", "j")
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The blocks of a partition sorted by block."""
+    key, group = None, []
+    for batch in batches:
+        keys = list(zip(*(batch.column(k).to_pylist() for k in range(4))))
+        changes = [0, *[i for i in range(1, len(keys)) if keys[i] != keys[i - 1]], len(keys)]
+        for x, y in zip(changes, changes[1:]):
+            if x == y:
+                continue
+            if keys[x] != key and group:
+                yield pa.Table.from_batches(group).combine_chunks()
+                group = []
+            key = keys[x]
+            group.append(batch.slice(x, y - x))
+    if group:
+        yield pa.Table.from_batches(group).combine_chunks()
+
+
+def _fold_bands(drawn: np.ndarray) -> np.ndarray:
+    """One hash for each band of ROWS samples."""
+    bands = drawn.reshape(len(drawn), BANDS, ROWS).astype(np.uint64)
+    folded = np.zeros((len(drawn), BANDS), np.uint64)
+    for j in range(ROWS):
+        folded = mix(folded * np.uint64(0x9E3779B97F4A7C15) + bands[:, :, j] + np.uint64(1))
+    return folded
+
+
+class _Block:
+    """The two sides of one block, and which of its pairs are to be decided in it."""
+
+    def __init__(self, table: pa.Table):
+        self.side = table.column("left").to_numpy()
+        self.node, self.comp = table.column("node").to_numpy(), table.column("comp").to_numpy().copy()
+        self.drawn = table.column("samples").combine_chunks().flatten().to_numpy().reshape(-1, SAMPLES)
+        self.band = table.column("band")[0].as_py()
+        self.folded = _fold_bands(self.drawn.view(np.uint32))[:, :self.band]
+        self.left, self.right = np.flatnonzero(self.side), np.flatnonzero(~self.side)
+
+    def rivals(self, r: int) -> tuple[np.ndarray, np.ndarray]:
+        """Left rows in other components that agree enough with row r and share no earlier band (else decided there)."""
+        at = self.left[self.comp[self.left] != self.comp[r]]
+        agree = (self.drawn[at] == self.drawn[r]).sum(1)
+        near = agree >= LEAST_AGREEMENT * SAMPLES
+        at, agree = at[near], agree[near]
+        new = ~(self.folded[at] == self.folded[r]).any(1)
+        return at[new], agree[new]
+
+
+def _cross_links(members: DataFrame, nodes: DataFrame, texts: DataFrame, idf: Idf, threshold: float) -> DataFrame:
+    """Links (a, b) that join different components, found by deciding every pair of a bucket that could.
+
+    First the blocks' samples tell which members have a pair to decide, then their texts decide. A pair
+    that other links of its block have joined already needs no decision, so a block yields at most as
+    many links as it has rows.
+    """
+    spark = members.sparkSession
+    blocks = materialize(_blocks(members, nodes), "blocks")
+    parts = shuffle_partitions(spark)
+    shared = spark.sparkContext.broadcast(idf)
+
+    def wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _runs(batches):
+            block = _Block(table)
+            needed = np.zeros(len(block.side), bool)
+            for r in block.right:
+                at, _ = block.rivals(r)
+                if len(at):
+                    needed[at] = needed[r] = True
+            if needed.any():
+                yield from table.filter(pa.array(needed)).combine_chunks().to_batches()
+
+    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _runs(batches):
+            block = _Block(table)
+            sets = {}
+            for first, n, owner, keys, weights in weighted_shingles(table.column("text").combine_chunks(), shared.value):
+                bounds = np.searchsorted(owner, np.arange(n + 1))
+                sets.update((first + i, (keys[bounds[i]:bounds[i + 1]], weights[bounds[i]:bounds[i + 1]])) for i in range(n))
+            found = []
+            for r in block.right:
+                at, agree = block.rivals(r)
+                for o in at[np.argsort(-agree, kind="stable")]:
+                    if block.comp[o] != block.comp[r] and jaccard(sets[r], sets[o]) >= threshold:
+                        found.append((block.node[r], block.node[o]))
+                        block.comp[block.comp == block.comp[o]] = block.comp[r]
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array([int(x[k]) for x in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    sorted_blocks = lambda df: df.repartition(parts, *_BLOCK_KEY).sortWithinPartitions(*_BLOCK_KEY)
+    some = materialize(sorted_blocks(blocks).mapInArrow(wanted, blocks.schema), "undecided")
+    return sorted_blocks(some.join(texts, "node").select(*_BLOCK_KEY, "left", "node", "comp", "samples", "text")).mapInArrow(decide, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -386,30 +435,18 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, threshold: float) -> D
     star = star.groupBy("node").agg(F.max_by("hub", F.struct("agreement", "hub")).alias("a"))
     pairs = materialize(star.select("a", F.col("node").alias("b")), "pairs")
 
-    # Texts of the nodes that any pair could need: those that agree enough with some hub or are in an open bucket.
-    texts = _texts(docs, signed, involved.select("node"), text_col)
-    tested = materialize(verify(pairs, texts, idf, threshold), "tested")
-    comps = components(tested.where("similar"))
-    best = 4
-    while True:
-        labelled = members.select("band", "value", "node").join(comps, "node", "left").select(
-            "band", "value", "node", F.coalesce("component", "node").alias("comp"))
-        found = materialize(_candidates(labelled, involved, best), "candidates")
-        new = found.join(tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti").select("a", "b")
-        checked = materialize(verify(new, texts, idf, threshold), "tested")
-        more = found.where("more").limit(1).count() > 0
-        joined = checked.where("similar").limit(1).count() > 0
-        tested = tested.unionByName(checked)
-        if joined:
-            comps = components(tested.where("similar"))
-        if not more:
-            break
-        best *= 16
+    texts = _texts(docs, involved.select("node"), text_col)
+    links = materialize(verify(pairs, texts, idf, threshold).where("similar").select("a", "b"), "links")
+    comps = materialize(components(links), "components")
+    labelled = members.select("band", "value", "node").join(comps, "node", "left").select(
+        "band", "value", "node", F.coalesce("component", "node").alias("comp"))
+    crossing = materialize(_cross_links(labelled, involved, texts, idf, threshold), "links")
+    comps = components(links.unionByName(crossing))
     return signed.select("id", "uid", "node").join(comps, "node", "left").select(
         "id", "uid", "node", F.coalesce("component", "node").alias("class"))
 
 
-def _texts(docs: DataFrame, signed: DataFrame, needed: DataFrame, text_col: str) -> DataFrame:
+def _texts(docs: DataFrame, needed: DataFrame, text_col: str) -> DataFrame:
     """(node, text): one text for each node of ``needed``."""
     node = F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("node")
     texts = docs.select(node, F.col(text_col).alias("text")).join(needed, "node", "left_semi")
