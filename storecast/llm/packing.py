@@ -10,12 +10,15 @@ their window by their rank among the pieces of their length.
 
 from __future__ import annotations
 
+import json
 import os
+import struct
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -25,50 +28,95 @@ from storecast.llm.common import materialize
 
 CAPACITY = 4096
 END_ID = 2
-#: Cached token ids of words: so many at most, of words of so many characters at most.
-CACHED_WORDS, CACHED_CHARS = 300_000, 64
+#: Kept token ids of words: so many at most, of words of so many characters at most.
+KEPT_WORDS, KEPT_CHARS = 400_000, 64
 
-_tokenizers: dict[str, tuple] = {}
+# The normalizer and the pre-tokenizer pattern of a lower-casing word BPE with word ends.
+_NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_WORD_END = "</w>"
+_END_BYTE = b"\xff"  # stands for the word end; UTF-8 has no such byte
+#: Up to this character every letter is its own normal form and lower case goes letter by letter.
+_LAST_PLAIN = "\u024f"
 
 
-def _tokenizer(path: str):
-    """The worker's tokenizer of that file with its cache of encoded words."""
-    if path not in _tokenizers:
+class WordEncoder(dict):
+    """Word -> its ids as little-endian unsigned 32-bit integers, for a word BPE; frequent words are kept.
+
+    Words of plain letters are merged by their ranks; all others, and words with a special token in
+    them, go through the tokenizer itself. Both ways give the same ids.
+    """
+
+    def __init__(self, tokenizer, vocabulary: dict[str, int], specials: list[str]):
+        from tiktoken._tiktoken import CoreBPE
+        super().__init__()
+        self.tokenizer = tokenizer
+        self.specials = specials
+        self.find = regex.compile(_PATTERN).findall
+        self.merge = CoreBPE(_byte_ranks(vocabulary, specials), {}, r"\S+").encode_single_piece
+
+    def __missing__(self, word: str) -> bytes:
+        if word and max(word) <= _LAST_PLAIN and not any(s in word for s in self.specials):
+            ids = [i for piece in self.find(word.lower()) for i in self.merge(piece.encode() + _END_BYTE)]
+        else:
+            ids = self.tokenizer.encode(word, add_special_tokens=False).ids
+        out = struct.pack(f"<{len(ids)}I", *ids)
+        if len(self) < KEPT_WORDS and len(word) <= KEPT_CHARS:
+            self[word] = out
+        return out
+
+
+def _byte_ranks(vocabulary: dict[str, int], specials: list[str]) -> dict[bytes, int]:
+    """Tokens as bytes, from the printable letters that byte-level BPE writes for bytes."""
+    printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    byte_of = {chr(b): b for b in printable}
+    byte_of |= {chr(0x100 + i): b for i, b in enumerate(b for b in range(256) if b not in set(printable))}
+    out = {}
+    for token, i in vocabulary.items():
+        if token not in specials:
+            core = token.removesuffix(_WORD_END)
+            out[bytes(byte_of[c] for c in core) + (_END_BYTE if core != token else b"")] = i
+    return out
+
+
+_encoders: dict[str, tuple] = {}
+
+
+def _encoder(path: str):
+    """The worker's tokenizer of that file, and its word encoder if it is a word BPE of the known kind."""
+    if path not in _encoders:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
-        _tokenizers[path] = (Tokenizer.from_file(path), {})
-    return _tokenizers[path]
+        tokenizer = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            config = json.load(f)
+        split = (config.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+        known = ((config.get("normalizer") or {}).get("normalizers") == _NORMALIZERS and config["model"].get("end_of_word_suffix") == _WORD_END
+                 and split[0].get("pattern") == {"Regex": _PATTERN} and [x.get("type") for x in split] == ["Split", "ByteLevel"])
+        words = WordEncoder(tokenizer, config["model"]["vocab"], [t["content"] for t in config["added_tokens"]]) if known else None
+        _encoders[path] = tokenizer, words
+    return _encoders[path]
+
+
+_TO_SPACES = str.maketrans("\t\n\x0b\x0c\r", "     ")
 
 
 def _words(text: str) -> list[str]:
     """Words by white space; separators that only Python's split knows stay inside their word."""
     if any(c in text for c in "\x1c\x1d\x1e\x1f"):
-        return text.replace("\t", " ").replace("\n", " ").replace("\r", " ").replace("\x0b", " ").replace("\x0c", " ").split(" ")
+        return [w for w in text.translate(_TO_SPACES).split(" ") if w]
     return text.split()
 
 
 def encode_texts(texts: list[str], path: str) -> list[bytes]:
     """Ids of each text as little-endian unsigned 32-bit integers, without special tokens.
 
-    The tokenizer drops white space and never joins words, so words are encoded once and kept.
+    A word BPE drops white space and never joins words, so its texts are encoded word by word.
     """
-    tokenizer, cache = _tokenizer(path)
-    out = []
-    for first in range(0, len(texts), 256):
-        split = [_words(t) for t in texts[first:first + 256]]
-        words = set().union(*split)
-        wanted = [w for w in words if w not in cache]
-        known = cache
-        if wanted:
-            ids = tokenizer.encode_batch_fast(wanted, add_special_tokens=False)
-            new = {w: np.asarray(e.ids, "<u4").tobytes() for w, e in zip(wanted, ids)}
-            known = {w: new[w] if w in new else cache[w] for w in words}
-            if len(cache) > CACHED_WORDS:
-                cache.clear()
-            cache.update((w, x) for w, x in new.items() if len(w) <= CACHED_CHARS)
-        get = known.__getitem__
-        out += [b"".join(map(get, words)) for words in split]
-    return out
+    tokenizer, words = _encoder(path)
+    if words is None:
+        return [np.asarray(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    return [b"".join(map(words.__getitem__, _words(t))) for t in texts]
 
 
 def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID, keep_ids: bool = False,

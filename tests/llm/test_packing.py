@@ -1,3 +1,4 @@
+import json
 import random
 import zlib
 from collections import Counter, defaultdict
@@ -41,6 +42,37 @@ def test_words_encode_as_whole_texts():
     assert packing.encode_texts(texts, PATH) == [np.asarray(tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
 
 
+def test_word_ids_equal_the_tokenizer_on_many_words():
+    tokenizer = Tokenizer.from_file(PATH)
+    rng = random.Random(11)
+    letters = "etaoinshrdlucméüßñçÉÄ'.,!?0123456789-_*<|>~²½ªµĀſƒ"
+    vocabulary = [t.removesuffix("</w>") for t in tokenizer.get_vocab()]
+    words = ["".join(rng.choices(letters, k=rng.randint(1, 14))) for _ in range(8000)]
+    words += ["".join(rng.choices(vocabulary, k=rng.randint(1, 3))) for _ in range(8000)]
+    words = [w for w in words if w.split() == [w]]
+    assert packing.encode_texts(words, PATH) == [np.asarray(tokenizer.encode(w, add_special_tokens=False).ids, "<u4").tobytes() for w in words]
+
+
+def test_every_token_is_what_its_merges_give():
+    """Merging by rank then equals merging by the listed pairs, whatever stands around a token."""
+    with open(PATH, encoding="utf-8") as f:
+        model = json.load(f)["model"]
+    rank = {tuple(m if isinstance(m, list) else m.split(" ")): i for i, m in enumerate(model["merges"])}
+    ids = sorted((i, t) for t, i in model["vocab"].items())
+    merged = [a + b for a, b in rank]
+    assert len(set(merged)) == len(merged)
+    assert [t for _, t in ids[512:512 + len(merged)]] == merged
+    for token in merged:
+        core = token.removesuffix("</w>")
+        parts = [*core[:-1], core[-1] + "</w>"] if core != token else list(core)
+        while len(parts) > 1:
+            best = min(range(len(parts) - 1), key=lambda i: rank.get((parts[i], parts[i + 1]), 1 << 30))
+            if (parts[best], parts[best + 1]) not in rank:
+                break
+            parts[best:best + 2] = [parts[best] + parts[best + 1]]
+        assert parts == [token], token
+
+
 def test_packed_documents(spark):
     rng = random.Random(1)
     rows = [(i, " ".join(rng.choices(["the", "cat", "sat", "on", "12"], k=rng.randint(0, 30))), "x") for i in range(300)]
