@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storecast.llm import minhash, packing, pii, quality, toxicity
+from storecast.llm import embeddings, minhash, packing, pii, quality, toxicity
 from storecast.llm.common import fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -56,3 +56,8 @@ def op7_toxicity_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op1_minhash_icws")
 def op1_minhash_icws(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op3_embedding_range_join")
+def op3_embedding_range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicate_vectors(table(spark, sf_dir, "embeddings"))
