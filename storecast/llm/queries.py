@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storecast.llm import embeddings, minhash, packing, pii, quality, toxicity
+from storecast.llm import embeddings, lm, minhash, packing, pii, quality, toxicity
 from storecast.llm.common import fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -61,3 +61,8 @@ def op1_minhash_icws(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op3_embedding_range_join")
 def op3_embedding_range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_duplicate_vectors(table(spark, sf_dir, "embeddings"))
+
+
+@query("op4_context_tree_weighting")
+def op4_context_tree_weighting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score_documents(table(spark, sf_dir, "documents"))
