@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storecast.llm import embeddings, lm, minhash, packing, pii, quality, toxicity
+from storecast.llm import embeddings, lm, minhash, packing, pages, pii, quality, toxicity
 from storecast.llm.common import fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -66,3 +66,8 @@ def op3_embedding_range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op4_context_tree_weighting")
 def op4_context_tree_weighting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score_documents(table(spark, sf_dir, "documents"))
+
+
+@query("op2_page_differencing")
+def op2_page_differencing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.extract_text(table(spark, sf_dir, "pages"))
