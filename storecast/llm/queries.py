@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storecast.llm import embeddings, lm, minhash, packing, pages, pii, quality, toxicity
+from storecast.llm import chat, embeddings, lm, minhash, packing, pages, pii, quality, toxicity
 from storecast.llm.common import fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -71,3 +71,26 @@ def op4_context_tree_weighting(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op2_page_differencing")
 def op2_page_differencing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.extract_text(table(spark, sf_dir, "pages"))
+
+
+@query("op6_snapshot_collapse", """
+WITH placed AS (
+  SELECT conv_id, role, text,
+         ROW_NUMBER() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS pos,
+         COUNT(*) OVER (PARTITION BY conv_id) AS n
+  FROM conversations),
+upto AS (
+  SELECT conv_id, pos, n,
+         LIST({'role': role, 'text': text}) OVER (PARTITION BY conv_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS prefix
+  FROM placed),
+whole AS (
+  SELECT MIN(conv_id) AS conv_id, n, prefix, COUNT(*) AS n_copies FROM upto WHERE pos = n GROUP BY n, prefix),
+maximal AS (
+  SELECT conv_id, n, n_copies FROM whole WHERE prefix NOT IN (SELECT prefix FROM upto WHERE pos < n))
+SELECT m.conv_id, m.n AS n_turns, m.n_copies,
+       STRING_AGG('<|im_start|>' || COALESCE(p.role, 'user') || CHR(10) || COALESCE(p.text, '') || '<|im_end|>' || CHR(10), '' ORDER BY p.pos) AS rendered
+FROM maximal m JOIN placed p ON p.conv_id = m.conv_id
+GROUP BY m.conv_id, m.n, m.n_copies
+""")
+def op6_snapshot_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_chats(table(spark, sf_dir, "conversations"))
