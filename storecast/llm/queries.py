@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storecast.llm import chat, embeddings, lm, minhash, packing, pages, pii, quality, toxicity
+from storecast.llm import chat, embeddings, lm, minhash, packing, pages, pieces, pii, quality, toxicity
 from storecast.llm.common import fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -94,3 +94,9 @@ GROUP BY m.conv_id, m.n, m.n_copies
 """)
 def op6_snapshot_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.format_chats(table(spark, sf_dir, "conversations"))
+
+
+@query("op9_sentencepiece_viterbi")
+def op9_sentencepiece_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+    return pieces.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
