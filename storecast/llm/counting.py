@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import types as T
 
 #: A task merges what it has counted from so many entries on.
-MERGE = 4_000_000
+MERGE = 1_000_000
 
 SCHEMA = T.StructType([T.StructField("part", T.IntegerType()), T.StructField("keys", T.BinaryType()), T.StructField("counts", T.BinaryType())])
 

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from storecast.llm.common import materialize, shuffle_partitions
+from storecast.llm.common import map_arrow, materialize, shuffle_partitions
 from storecast.llm.components import components
 
 THRESHOLD = 0.93
@@ -93,7 +93,7 @@ def _cells(nodes: DataFrame, threshold: float) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([moved.column(0), pa.array(cells.astype(np.int32)), pa.array(home), *moved.columns[1:]],
                                                  names=["group", "cell", "home", "node", "copies", "vector"])
 
-    return nodes.select("group", "node", "copies", "vector").mapInArrow(
+    return map_arrow(nodes.select("group", "node", "copies", "vector"), 
         place, f"group string, cell int, home boolean, node long, copies long, vector {nodes.schema['vector'].dataType.simpleString()}")
 
 
@@ -126,7 +126,7 @@ def _block_links(cells: DataFrame, threshold: float) -> DataFrame:
         if group:
             yield _join_block(group, threshold)
 
-    return blocks.mapInArrow(run, "node long, links long, joined long")
+    return map_arrow(blocks, run, "node long, links long, joined long")
 
 
 def _join_block(group: list[pa.RecordBatch], threshold: float) -> pa.RecordBatch:

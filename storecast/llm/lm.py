@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from storecast.llm.common import fold, materialize, shuffle_partitions
+from storecast.llm.common import fold, map_arrow, materialize, shuffle_partitions
 from storecast.llm.tokens import Hasher, lower, mix, slices, word_bounds
 
 DEPTH = 5
@@ -31,7 +31,7 @@ DEPTH = 5
 TOP = 2
 SPACE, END = 0x20, 0x0A
 BLOCK_BYTES = 16 << 20
-SLICE_BYTES, SLICE_ROWS = 2 << 20, 1 << 15
+SLICE_BYTES, SLICE_ROWS = 1 << 20, 1 << 15
 GRAMS, WORDS = 0, 1
 _CODEC = "zstd"
 
@@ -284,7 +284,7 @@ def _gather(docs: DataFrame, parts: int) -> DataFrame:
                             part=pa.array(some, pa.int32()), n=pa.array([len(x) for x in own], pa.int64()),
                             keys=pa.array([_pack_keys(keys[x]) for x in own], pa.binary()), counts=pa.array([_pack(counts[x]) for x in own], pa.binary()))
 
-    return docs.select("id", "held", "text").mapInArrow(run, schema)
+    return map_arrow(docs.select("id", "held", "text"), run, schema)
 
 
 def _rows(schema: T.StructType, size: int, arrow_id, text_type, **columns) -> pa.RecordBatch:
@@ -382,7 +382,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     out = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("held", T.BooleanType()), T.StructField("n_words", T.LongType()),
                         T.StructField("n_known", T.LongType()), T.StructField("n_bytes", T.LongType()), T.StructField("log_counts", T.DoubleType()),
                         T.StructField("score", T.DoubleType())])
-    scored = rows.mapInArrow(_score_blocks(parts, out.fieldNames()), out)
+    scored = map_arrow(rows, _score_blocks(parts, out.fieldNames()), out)
     log_total = float(np.log10(n_train + 0.1 * (n_types + 1)))
     end = float(np.log10(ends + 0.1))
     n_tokens = F.col("n_words") + 1

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from storecast.llm import counting
-from storecast.llm.common import materialize, shuffle_partitions
+from storecast.llm.common import map_arrow, materialize, shuffle_partitions
 from storecast.llm.components import components
 from storecast.llm.tokens import Hasher, lower, mix, shingles, slices, word_bounds
 
@@ -195,7 +195,7 @@ def document_frequencies(docs: DataFrame, text_col: str = "text") -> Idf:
         common = c > floor
         return pa.table({"word": pa.array(k[common].view(np.int64)), "df": pa.array(c[common])})
 
-    counted = docs.select(text_col).mapInArrow(count, counting.SCHEMA).groupBy("part").applyInArrow(total, "word long, df long")
+    counted = map_arrow(docs.select(text_col), count, counting.SCHEMA).groupBy("part").applyInArrow(total, "word long, df long")
     listed = counted.orderBy(F.desc("df"), "word").limit(MAX_TERMS).toArrow()
     words, df = listed.column("word").to_numpy().view(np.uint64), listed.column("df").to_numpy()
     if len(words) == MAX_TERMS:
@@ -229,7 +229,7 @@ def signatures(docs: DataFrame, idf: Idf, id_col: str, text_col: str) -> DataFra
                 _lists(drawn.view(np.int32), without), _lists(folded.view(np.int64), without)], names=schema.fieldNames())
             uid += n
 
-    return docs.select(F.col(id_col), F.col(text_col), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("__node")).mapInArrow(run, schema)
+    return map_arrow(docs.select(F.col(id_col), F.col(text_col), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("__node")), run, schema)
 
 
 def _lists(values: np.ndarray, without: pa.Array) -> pa.Array:
@@ -274,7 +274,7 @@ def verify(pairs: DataFrame, texts: DataFrame, idf: Idf, threshold: float) -> Da
                                              names=["a", "b", "similar"])
 
     rows = hubs.unionByName(sides).repartition(parts, "a", "chunk").sortWithinPartitions("a", "chunk", F.col("b").asc_nulls_first())
-    return rows.mapInArrow(run, "a long, b long, similar boolean")
+    return map_arrow(rows, run, "a long, b long, similar boolean")
 
 
 def _open_buckets(members: DataFrame) -> DataFrame:
@@ -397,8 +397,8 @@ def _cross_links(members: DataFrame, nodes: DataFrame, texts: DataFrame, idf: Id
                 yield pa.RecordBatch.from_arrays([pa.array([int(x[k]) for x in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
     sorted_blocks = lambda df: df.repartition(parts, *_BLOCK_KEY).sortWithinPartitions(*_BLOCK_KEY)
-    some = materialize(sorted_blocks(blocks).mapInArrow(wanted, blocks.schema), "undecided")
-    return sorted_blocks(some.join(texts, "node").select(*_BLOCK_KEY, "left", "node", "comp", "samples", "text")).mapInArrow(decide, "a long, b long")
+    some = materialize(map_arrow(sorted_blocks(blocks), wanted, blocks.schema), "undecided")
+    return map_arrow(sorted_blocks(some.join(texts, "node").select(*_BLOCK_KEY, "left", "node", "comp", "samples", "text")), decide, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from storecast.llm.common import materialize, shuffle_partitions
+from storecast.llm.common import map_arrow, materialize, shuffle_partitions
 
 # Element names by their part in a page.
 BLOCKS = frozenset(
@@ -195,7 +195,7 @@ def _parsed(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataF
                     pa.array([[x for _, x in p] for p in found], pa.list_(pa.bool_()))], names=schema.fieldNames())
                 uid += n
 
-    return pages.select(id_col, url_col, html_col).mapInArrow(run, schema)
+    return map_arrow(pages.select(id_col, url_col, html_col), run, schema)
 
 
 def _shared_lines(parsed: DataFrame) -> DataFrame:
@@ -232,7 +232,7 @@ def _shared_lines(parsed: DataFrame) -> DataFrame:
         yield _deletions(_deleted(previous, current, None))
 
     placed = rows.repartition(parts, "target").sortWithinPartitions("target", *order)
-    return placed.mapInArrow(run, "uid long, deleted array<int>")
+    return map_arrow(placed, run, "uid long, deleted array<int>")
 
 
 def _deleted(previous: dict | None, page: dict | None, following: dict | None) -> list[tuple[int, list[int]]]:

@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from storecast.llm.common import map_arrow
+
 SPACE = "▁"
 #: Kept ids of segments: so many at most, of so many characters at most.
 KEPT, KEPT_CHARS = 400_000, 64
@@ -159,7 +161,7 @@ def encode_documents(docs: DataFrame, model_path: str, id_col: str = "doc_id", t
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0), pa.array(lengths), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids)), pa.array(same)], names=schema.fieldNames())
 
-    return docs.select(id_col, text_col).mapInArrow(run, schema)
+    return map_arrow(docs.select(id_col, text_col), run, schema)
 
 
 def decode_documents(encoded: DataFrame, model_path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -172,4 +174,4 @@ def decode_documents(encoded: DataFrame, model_path: str, id_col: str = "doc_id"
             texts = [None if ids is None else model.decode(ids) for ids in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=schema.fieldNames())
 
-    return encoded.select(F.col(id_col), F.col(ids_col)).mapInArrow(run, schema)
+    return map_arrow(encoded.select(F.col(id_col), F.col(ids_col)), run, schema)

@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from storecast.llm.common import map_arrow
+
 KINDS = ("email", "ip", "card", "phone", "iban", "ssn")
 ORDER = {kind: i for i, kind in enumerate(KINDS)}
 
@@ -167,7 +169,7 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), *[pa.array(c, t) for c, t in zip(rows, types)]], names=schema.fieldNames())
 
-    return docs.select(id_col, text_col).mapInArrow(run, schema)
+    return map_arrow(docs.select(id_col, text_col), run, schema)
 
 
 def redact_documents(docs: DataFrame, text_col: str = "text", length_col: str = "n_chars") -> DataFrame:
@@ -190,4 +192,4 @@ def redact_documents(docs: DataFrame, text_col: str = "text", length_col: str =
                 columns[n_at] = pa.array([o if t is None else len(t) for o, t in zip(old, texts)], batch.schema.field(n_at).type)
             yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_arrow(docs, run, docs.schema)

@@ -11,7 +11,7 @@ import pyarrow as pa
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 #: Texts are handled in slices of about so many bytes (one text at least).
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
