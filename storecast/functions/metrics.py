@@ -12,7 +12,7 @@ HOLIDAY_WEIGHT = 5.0
 def metric_aggs(y: str = "y", yhat: str = "yhat", holiday: str = "is_holiday") -> list[Column]:
     """WMAE, RMSE, MAE, R2 and row count for use in ``agg``.
 
-    R2 = 1 - SSE / SST with SST = n * var_pop(y) (Welford-stable, one pass).
+    R2 = 1 - SSE / SST with SST = n * var_pop(y) (Welford-stable, one pass); null when y is constant.
     """
     err = F.col(y) - F.col(yhat)
     w = F.when(F.col(holiday).cast("boolean"), F.lit(HOLIDAY_WEIGHT)).otherwise(F.lit(1.0))
@@ -22,7 +22,7 @@ def metric_aggs(y: str = "y", yhat: str = "yhat", holiday: str = "is_holiday") -
         (F.sum(w * F.abs(err)) / F.sum(w)).alias("wmae"),
         F.sqrt(sse / F.count(F.lit(1))).alias("rmse"),
         F.avg(F.abs(err)).alias("mae"),
-        (F.lit(1.0) - sse / (F.var_pop(y) * F.count(F.lit(1)))).alias("r2"),
+        (F.lit(1.0) - F.try_divide(sse, F.var_pop(y) * F.count(F.lit(1)))).alias("r2"),
     ]
 
 

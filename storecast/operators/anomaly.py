@@ -274,7 +274,7 @@ def _loess(y: np.ndarray, q: int, degree: int = 1, weights: np.ndarray | None =
     d = np.abs(idx - xo[:, None])
     h = d.max(axis=1)
     if q > n:
-        h = h + (q - n) / 2.0
+        h = h + (q - n) // 2  # halved as an integer, as in the published routine
     h = np.maximum(h, 1e-12)
     u = d / h[:, None]
     tri = np.where(u < 1, (1 - u ** 3) ** 3, 0.0)
@@ -340,14 +340,16 @@ def stl(y: np.ndarray, period: int = 52, seasonal: int = 7, robust: bool = True)
 def stl_anomalies(grid: DataFrame, by: Sequence[str] = ("store", "dept"), value: str = "weekly_sales",
                   date_col: str = "week", period: int = 52, z: float = 3.0, robust: bool = True) -> DataFrame:
     """G5 — per series on the regular weekly grid: skip (flag 0) with fewer than 2*period + 5 observed
-    weeks; interpolate; STL; z-score of the residual (std ddof 1 + 1e-9); flag |z| > ``z``."""
+    weeks; interpolate; STL; z-score of the residual (std ddof 1 + 1e-9); flag |z| > ``z``.
+
+    ``status`` is 'ok', or 'short' for a skipped series (its parts are null). Weeks before the first
+    observed one have null parts and flag 0."""
     by = list(by)
     g = windows.interpolate_linear(grid.withColumn("_obs", F.col(value).isNotNull().cast("int")), value,
                                    by, date_col, out="_y")
     fields = [grid.schema[c] for c in by] + [T.StructField(date_col, T.DateType()),
-                                             T.StructField("resid", T.DoubleType()),
-                                             T.StructField("stl_z", T.DoubleType()),
-                                             T.StructField("stl_anomaly", T.IntegerType())]
+                                             *[T.StructField(c, T.DoubleType()) for c in ("trend", "seasonal", "resid", "stl_z")],
+                                             T.StructField("stl_anomaly", T.IntegerType()), T.StructField("status", T.StringType())]
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(date_col)
@@ -355,19 +357,16 @@ def stl_anomalies(grid: DataFrame, by: Sequence[str] = ("store", "dept"), value:
         res[date_col] = pdf[date_col].to_numpy()
         y = pdf["_y"].to_numpy(dtype=float)
         if pdf["_obs"].sum() < 2 * period + 5:
-            res["resid"], res["stl_z"], res["stl_anomaly"] = np.nan, np.nan, 0
+            res["trend"] = res["seasonal"] = res["resid"] = res["stl_z"] = np.nan
+            res["stl_anomaly"], res["status"] = 0, "short"
             return res
-        try:
-            start = int(np.argmax(~np.isnan(y)))
-            yy = y[start:]
-            _, _, r = stl(yy, period, robust=robust)
-            resid = np.full(len(y), np.nan)
-            resid[start:] = r
-            zz = (resid - np.nanmean(resid)) / (np.nanstd(resid, ddof=1) + 1e-9)
-            res["resid"], res["stl_z"] = resid, zz
-            res["stl_anomaly"] = (np.abs(np.nan_to_num(zz)) > z).astype(np.int32)
-        except Exception:  # the reference maps any failure to "no flag"
-            res["resid"], res["stl_z"], res["stl_anomaly"] = np.nan, np.nan, 0
+        start = int(np.argmax(~np.isnan(y)))
+        for name, part in zip(("trend", "seasonal", "resid"), stl(y[start:], period, robust=robust)):
+            res[name] = np.r_[np.full(start, np.nan), part]
+        resid = res["resid"].to_numpy()
+        res["stl_z"] = (resid - np.nanmean(resid)) / (np.nanstd(resid, ddof=1) + 1e-9)
+        res["stl_anomaly"] = (np.abs(np.nan_to_num(res["stl_z"].to_numpy())) > z).astype(np.int32)
+        res["status"] = "ok"
         return res
 
     return g.select(*by, date_col, "_y", "_obs").groupBy(*by).applyInPandas(run, T.StructType(fields))

@@ -55,15 +55,16 @@ def _extend_counts(cands: np.ndarray, n_items: int):
     last = cands.max(axis=1) if len(cands) else np.zeros(0, dtype=np.int64)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        baskets = [np.asarray(x, dtype=np.int64) for pdf in batches for x in pdf["items"] if len(x)]
-        if not baskets or not len(cands):
+        if not len(cands):
             return
         chunk = max(64, min(4096, _CELL_BUDGET // max(n_items, 1)))
-        for r0 in range(0, len(cands), row_block):
-            cb = cands[r0:r0 + row_block]
-            acc = np.zeros((len(cb), n_items), dtype=np.int64)
-            for b0 in range(0, len(baskets), chunk):
-                part = baskets[b0:b0 + chunk]
+        # one batch of baskets in memory at a time; its counts go out and are summed by Spark
+        parts = ([np.asarray(x, dtype=np.int64) for x in pdf["items"][b0:b0 + chunk] if len(x)]
+                 for pdf in batches for b0 in range(0, len(pdf), chunk))
+        for part in (p for p in parts if p):
+            for r0 in range(0, len(cands), row_block):
+                cb = cands[r0:r0 + row_block]
+                acc = np.zeros((len(cb), n_items), dtype=np.int64)
                 x = np.zeros((len(part), n_items), dtype=np.float32)
                 rows = np.repeat(np.arange(len(part)), [len(p) for p in part])
                 x[rows, np.concatenate(part)] = 1.0
@@ -148,7 +149,7 @@ def association_rules(itemsets: DataFrame, n_baskets: int | None = None, min_lif
     size <= max_len). Confidence and lift come from whole counts:
     n_xy / n_x and n_xy * N / (n_x * n_y).
     """
-    sup = itemsets.select(itemset_key("items").alias("key"), F.col("count").alias("_c"), "support")
+    sup = itemsets.select(F.array_sort("items").alias("key"), F.col("count").alias("_c"))
     big = itemsets.where(F.col("size") >= 2).withColumn("_n", F.col("count") / F.col("support"))
     masks = big.withColumn("mask", F.explode(F.sequence(F.lit(1), F.pow(F.lit(2), F.col("size")).cast("int") - 2)))
     def bit(i):
@@ -159,11 +160,12 @@ def association_rules(itemsets: DataFrame, n_baskets: int | None = None, min_lif
                          "support", "_n")
     a = sup.select(F.col("key").alias("ak"), F.col("_c").alias("n_x"))
     c = sup.select(F.col("key").alias("ck"), F.col("_c").alias("n_y"))
-    rules = (rules.withColumn("ak", itemset_key("antecedents")).withColumn("ck", itemset_key("consequents"))
+    # joined on the item arrays: an item may itself hold the separator of the text form
+    rules = (rules.withColumn("ak", F.array_sort("antecedents")).withColumn("ck", F.array_sort("consequents"))
              .join(a, "ak").join(c, "ck"))
     rules = rules.select(
         "antecedents", "consequents",
-        F.col("ak").alias("antecedents_str"), F.col("ck").alias("consequents_str"),
+        itemset_key("ak").alias("antecedents_str"), itemset_key("ck").alias("consequents_str"),
         "support", (F.col("n_xy") / F.col("n_x")).alias("confidence"),
         (F.col("n_xy") * F.col("_n") / (F.col("n_x") * F.col("n_y"))).alias("lift"))
     return rules.where(F.col("lift") >= min_lift)

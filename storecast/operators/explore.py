@@ -67,7 +67,7 @@ def box_stats(df: DataFrame, by: str, col: str, k: float = 1.5) -> DataFrame:
     iqr = F.col("q3") - F.col("q1")
     fences = q.select(by, "q1", "median", "q3", (F.col("q1") - k * iqr).alias("_lo"),
                       (F.col("q3") + k * iqr).alias("_hi"))
-    x = pts.join(fences, by)
+    x = order.join_null_safe(pts, fences, [by])
     inside = (F.col("_v") >= F.col("_lo")) & (F.col("_v") <= F.col("_hi"))
     return x.groupBy(by, "q1", "median", "q3").agg(
         F.min(F.when(inside, F.col("_v"))).alias("whisker_lo"),
@@ -81,7 +81,7 @@ def lift(df: DataFrame, flag: str, col: str, by: Sequence[str] = ()) -> DataFram
     on = F.col(flag).cast("int") == 1
     m1 = F.avg(F.when(on, F.col(col)))
     m0 = F.avg(F.when(~on, F.col(col)))
-    return df.groupBy(*by).agg(m1.alias("mean_1"), m0.alias("mean_0"), (m1 / m0 - 1).alias("lift"))
+    return df.groupBy(*by).agg(m1.alias("mean_1"), m0.alias("mean_0"), (F.try_divide(m1, m0) - 1).alias("lift"))
 
 
 def pareto(df: DataFrame, key: str, col: str, n: int = 15) -> DataFrame:

@@ -77,5 +77,5 @@ def markdown_sensitivity(df: DataFrame, by: Sequence[str] = ("store",)) -> DataF
     act = F.col("total_markdown") > 0
     return df.groupBy(*by).agg(
         F.regr_slope("weekly_sales", "total_markdown").alias("md_slope"),
-        (F.avg(F.when(act, F.col("weekly_sales"))) / F.avg(F.when(~act, F.col("weekly_sales")))).alias("md_ratio"),
+        F.try_divide(F.avg(F.when(act, F.col("weekly_sales"))), F.avg(F.when(~act, F.col("weekly_sales")))).alias("md_ratio"),
     )

@@ -191,19 +191,6 @@ def ridge_search(train: DataFrame, feats: Sequence[str], alphas=(0.1, 1.0, 10.0,
     return best, spark.createDataFrame(scores, "alpha double, cv_rmse double")
 
 
-def _standardize_like(train: DataFrame, other: DataFrame, feats: Sequence[str]) -> DataFrame:
-    """Scale ``other`` with the training moments (population std), as a fitted scaler would."""
-    aggs = []
-    for c in feats:
-        aggs += [F.avg(c).alias(f"_m_{c}"), F.stddev_pop(c).alias(f"_s_{c}")]
-    mom = train.agg(*aggs).first()
-    x = other
-    for c in feats:
-        s = mom[f"_s_{c}"] or 1.0
-        x = x.withColumn(c, (F.col(c) - F.lit(mom[f"_m_{c}"])) / F.lit(float(s)))
-    return x
-
-
 def importances(model: PipelineModel, feats: Sequence[str]) -> DataFrame:
     """I10 — tree feature importances (sum to 1) as a sorted DataFrame."""
     from pyspark.sql import SparkSession

@@ -34,6 +34,13 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.cache()
 
 
+def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Equi-join in which a null key matches a null key; the result has the left side's keys."""
+    other = right.withColumnsRenamed({k: f"__r_{k}" for k in keys})
+    cond = [F.col(k).eqNullSafe(F.col(f"__r_{k}")) for k in keys]
+    return left.join(other, cond, how).drop(*[f"__r_{k}" for k in keys])
+
+
 def bucket_edges(d: DataFrame, col: str) -> list[float]:
     """Edges splitting ``col`` into buckets of about ``ROWS_PER_BUCKET`` rows.
 
@@ -76,7 +83,7 @@ def _value_spans(b: DataFrame, cnt: DataFrame, col: str, by: Sequence[str]) -> D
     vals = b.groupBy(*by, "_bk", col).agg(F.count(F.lit(1)).alias("ties"))
     w = Window.partitionBy(*by, "_bk").orderBy(col).rowsBetween(Window.unboundedPreceding, 0)
     vals = vals.withColumn("_cum", F.sum("ties").over(w))
-    vals = vals.join(cnt.select(*by, "_bk", "_off"), [*by, "_bk"])
+    vals = join_null_safe(vals, cnt.select(*by, "_bk", "_off"), [*by, "_bk"])
     return vals.select(*by, "_bk", col, "ties", (F.col("_off") + F.col("_cum") - F.col("ties") + 1).alias("first"),
                        (F.col("_off") + F.col("_cum")).alias("last"))
 
@@ -115,15 +122,14 @@ def quantiles(df: DataFrame, col: str, probs: Sequence[float], by: Sequence[str]
     tpos = targets.select(*by, "k", F.explode(F.array(F.struct(F.lit("lo").alias("which"), F.col("lo").alias("pos")),
                                                         F.struct(F.lit("hi").alias("which"), F.col("hi").alias("pos")))).alias("x")
                           ).select(*by, "k", "x.which", "x.pos")
-    cond = [tpos[c].eqNullSafe(cnt[c]) for c in by]
-    hit = tpos.join(cnt, cond).where((F.col("pos") > F.col("_off")) & (F.col("pos") <= F.col("_off") + F.col("_c")))
-    hit = hit.select(*[tpos[c] for c in by], "k", "which", "pos", "_bk")
+    hit = join_null_safe(tpos, cnt, by).where((F.col("pos") > F.col("_off")) & (F.col("pos") <= F.col("_off") + F.col("_c")))
+    hit = hit.select(*by, "k", "which", "pos", "_bk")
     open_bk = hit.select(*by, "_bk").distinct()
-    spans = _value_spans(b.join(open_bk, [*by, "_bk"], "left_semi"), cnt, "_v", by)
-    picked = (hit.join(spans, [*by, "_bk"]).where((F.col("pos") >= F.col("first")) & (F.col("pos") <= F.col("last")))
+    spans = _value_spans(join_null_safe(b, open_bk, [*by, "_bk"], "left_semi"), cnt, "_v", by)
+    picked = (join_null_safe(hit, spans, [*by, "_bk"]).where((F.col("pos") >= F.col("first")) & (F.col("pos") <= F.col("last")))
               .groupBy(*by, "k").agg(F.max(F.when(F.col("which") == "lo", F.col("_v"))).alias("_lo"),
                                      F.max(F.when(F.col("which") == "hi", F.col("_v"))).alias("_hi")))
-    res = picked.join(targets.select(*by, "k", "frac"), [*by, "k"])
+    res = join_null_safe(picked, targets.select(*by, "k", "frac"), [*by, "k"])
     val = F.when(F.col("frac") == 0, F.col("_lo")).otherwise(F.col("_lo") + F.col("frac") * (F.col("_hi") - F.col("_lo")))
     res = res.select(*by, "k", val.alias("_q"))
     return res.groupBy(*by).agg(*[F.max(F.when(F.col("k") == i, F.col("_q"))).alias(nm) for i, nm in enumerate(names)])

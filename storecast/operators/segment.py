@@ -1,4 +1,4 @@
-"""H — store segmentation: entity vectors, KMeans search, cluster quality, DBSCAN, Ward clustering.
+"""H — store segmentation: entity vectors, KMeans search, cluster quality, DBSCAN, bisecting hierarchy.
 
 Facts are reduced to one vector per entity by a single grouped
 aggregate. Pairwise measures (silhouette, DBSCAN neighbours) run on
@@ -55,16 +55,6 @@ def _route(df: DataFrame, nb: int) -> DataFrame:
     return left.unionByName(right)
 
 
-def silhouette_approx(df: DataFrame, cols: Sequence[str], label: str) -> DataFrame:
-    """H4 fast path for many points: Spark ML's silhouette on squared Euclidean distance
-    (O(n k) from per-cluster sums; not the plain-Euclidean score of ``silhouette``)."""
-    from pyspark.ml.evaluation import ClusteringEvaluator
-    x = assemble(df.withColumn(label, F.col(label).cast("double")), cols)
-    ev = ClusteringEvaluator(featuresCol="features", predictionCol=label, metricName="silhouette",
-                             distanceMeasure="squaredEuclidean")
-    return df.sparkSession.createDataFrame([(float(ev.evaluate(x)),)], "silhouette double")
-
-
 def silhouette(df: DataFrame, cols: Sequence[str], label: str, id_col: str = "store",
                block_rows: int = 2048) -> DataFrame:
     """H4 — mean silhouette with plain Euclidean distance (exact); singleton clusters score 0.
@@ -103,9 +93,10 @@ def silhouette(df: DataFrame, cols: Sequence[str], label: str, id_col: str = "st
         F.max(F.when(own, F.col("_cnt"))).alias("_n_own"),
         F.max(F.when(own, F.col("_dsum"))).alias("_d_own"),
         F.min(F.when(~own, F.col("_dsum") / F.col("_cnt"))).alias("_b"))
-    a = F.col("_d_own") / (F.col("_n_own") - 1)
+    a = F.try_divide(F.col("_d_own"), F.col("_n_own") - 1)
+    # coincident points: 0 / 0 scores 0, as in the singleton case
     s = F.when((F.col("_n_own") <= 1) | F.col("_b").isNull(), F.lit(0.0)).otherwise(
-        (F.col("_b") - a) / F.greatest(a, F.col("_b")))
+        F.coalesce(F.try_divide(F.col("_b") - a, F.greatest(a, F.col("_b"))), F.lit(0.0)))
     return per.agg(F.avg(s).alias("silhouette"))
 
 
@@ -136,8 +127,14 @@ def davies_bouldin(df: DataFrame, cols: Sequence[str], label: str) -> DataFrame:
 # ---------------------------------------------------------------- KMeans
 
 def assemble(df: DataFrame, cols: Sequence[str], out: str = "features") -> DataFrame:
+    """Feature vector of ``cols``; a null or NaN counts as the column's mean, so every row stays
+    (0 when a column has no value at all)."""
     from pyspark.ml.feature import VectorAssembler
-    return VectorAssembler(inputCols=list(cols), outputCol=out, handleInvalid="skip").transform(df)
+    value = {c: F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")) for c in cols}
+    means = df.agg(*[F.avg(value[c]).alias(c) for c in cols]).first()
+    filled = df.withColumns({f"__f_{c}": F.coalesce(value[c], F.lit(float(means[c] or 0.0))) for c in cols})
+    vec = VectorAssembler(inputCols=[f"__f_{c}" for c in cols], outputCol=out, handleInvalid="error").transform(filled)
+    return vec.drop(*[f"__f_{c}" for c in cols])
 
 
 def kmeans(df: DataFrame, cols: Sequence[str], k: int, seed: int = 42, n_init: int = 4,
@@ -192,24 +189,38 @@ def cluster_summary(df: DataFrame, label: str) -> DataFrame:
 
 
 def bisecting(df: DataFrame, cols: Sequence[str], k: int, seed: int = 42, label: str = "bisect") -> DataFrame:
-    """H7 pure-Spark hierarchy: top-down bisecting KMeans (no single merge task at any size)."""
+    """H7 — top-down hierarchy by bisecting KMeans, cut at ``k`` clusters (no single merge task at any size)."""
     from pyspark.ml.clustering import BisectingKMeans
     x = assemble(df, cols)
     model = BisectingKMeans(k=k, seed=seed, featuresCol="features", predictionCol=label).fit(x)
     return model.transform(x).drop("features")
 
 
+def split_table(df: DataFrame, cols: Sequence[str], max_k: int, seed: int = 42) -> DataFrame:
+    """H8 — the hierarchy as a table: for each cut of 1..``max_k`` clusters the cluster sizes (largest first)
+    and the within-cluster sum of squares (the height of the next split is its drop)."""
+    spark = df.sparkSession
+    rows = []
+    for k in range(1, max_k + 1):
+        lab = bisecting(df, cols, k, seed, "c") if k > 1 else df.withColumn("c", F.lit(0))
+        within = sum(F.var_pop(c) * F.count(F.lit(1)) for c in cols)
+        per = lab.groupBy("c").agg(F.count(F.lit(1)).alias("n"), within.alias("w"))  # at most k rows
+        rows.append((k, *per.agg(F.sort_array(F.collect_list("n"), False), F.sum("w")).first()))
+    return spark.createDataFrame(rows, "k int, sizes array<long>, within double")
+
+
 # ---------------------------------------------------------------- DBSCAN
 
 def dbscan(df: DataFrame, cols: Sequence[str], eps: float = 1.5, min_samples: int = 3,
-           id_col: str = "store", block_rows: int = 2048, max_rounds: int = 100) -> DataFrame:
+           id_col: str = "store", block_rows: int = 2048) -> DataFrame:
     """H10 — DBSCAN: (id, label) with -1 for noise.
 
     Neighbour pairs within ``eps`` come from the blocked distance tasks
     (only true neighbours are emitted). Core points have at least
     ``min_samples`` neighbours counting themselves. Cluster labels are
-    connected components of the core graph, found by iterated min-label
-    propagation (each round cut from the lineage with a checkpoint).
+    connected components of the core graph, found by min-label propagation
+    with pointer jumping until no label changes: the rounds grow with the
+    logarithm of a cluster's diameter. Each round is checkpointed.
     Border points join the smallest neighbouring core label; labels are
     renumbered 0.. by the smallest member id.
     """
@@ -236,11 +247,14 @@ def dbscan(df: DataFrame, cols: Sequence[str], eps: float = 1.5, min_samples: in
     core_edges = (edges.join(core.withColumnRenamed("_id", "src"), "src")
                   .join(core.withColumnRenamed("_id", "dst"), "dst").select("src", "dst"))
     labels = core.select("_id", F.col("_id").alias("lab"))
-    for _ in range(max_rounds):
+    while True:
         prop = (core_edges.join(labels.withColumnRenamed("_id", "dst"), "dst")
                 .groupBy("src").agg(F.min("lab").alias("nl")))
         new = (labels.join(prop.withColumnRenamed("src", "_id"), "_id", "left")
                .select("_id", F.least("lab", F.coalesce("nl", F.col("lab"))).alias("lab")))
+        # a label is itself a core point: follow it to its own label
+        jump = new.select(F.col("_id").alias("lab"), F.col("lab").alias("_next"))
+        new = new.join(jump, "lab").select("_id", F.least("lab", "_next").alias("lab"))
         new = new.checkpoint() if ckpt else new.cache()
         changed = new.join(labels.withColumnRenamed("lab", "old"), "_id").where(F.col("lab") != F.col("old")).limit(1).count()
         labels = new
@@ -257,106 +271,3 @@ def dbscan(df: DataFrame, cols: Sequence[str], eps: float = 1.5, min_samples: in
         "cluster", (F.row_number().over(Window.orderBy("lab")) - 1).cast("int"))
     out = base.select("_id").join(all_lab, "_id", "left").join(first.select("lab", "cluster"), "lab", "left")
     return out.select(F.col("_id").alias(id_col), F.coalesce("cluster", F.lit(-1)).alias("dbscan"))
-
-
-# ---------------------------------------------------------------- agglomerative
-
-def _ward_merges(x: np.ndarray, w: np.ndarray, linkage: str):
-    """Lance–Williams agglomeration on (weighted) points; returns merge table and a label helper."""
-    n = len(x)
-    size = w.astype(float).copy()
-    d = np.sqrt(((x[:, None, :] - x[None, :, :]) ** 2).sum(-1))
-    if linkage == "ward" and not np.allclose(w, 1):
-        # weighted Ward initial distance between micro-centroids
-        d = np.sqrt(2 * size[:, None] * size[None, :] / (size[:, None] + size[None, :])) * d
-    np.fill_diagonal(d, np.inf)
-    active = np.ones(n, bool)
-    ids = list(range(n))
-    merges = []
-    members = {i: [i] for i in range(n)}
-    nxt = n
-    for _ in range(n - 1):
-        # rows/columns of merged-away units are +inf, so the global argmin is the closest active pair
-        i, j = np.unravel_index(np.argmin(d), d.shape)
-        i, j = (i, j) if i < j else (j, i)
-        h = d[i, j]
-        ni, nj = size[i], size[j]
-        ks = np.nonzero(active)[0]
-        ks = ks[(ks != i) & (ks != j)]
-        if len(ks):
-            dik, djk, nk = d[i, ks], d[j, ks], size[ks]
-            if linkage == "ward":
-                v = np.sqrt(np.maximum(((ni + nk) * dik ** 2 + (nj + nk) * djk ** 2 - nk * h ** 2) / (ni + nj + nk), 0))
-            elif linkage == "complete":
-                v = np.maximum(dik, djk)
-            elif linkage == "average":
-                v = (ni * dik + nj * djk) / (ni + nj)
-            else:
-                v = np.minimum(dik, djk)
-            d[i, ks] = v
-            d[ks, i] = v
-        merges.append((ids[i], ids[j], float(h), float(ni + nj)))
-        members[nxt] = members.pop(ids[i]) + members.pop(ids[j])
-        ids[i] = nxt
-        nxt += 1
-        size[i] = ni + nj
-        active[j] = False
-        d[j, :] = np.inf
-        d[:, j] = np.inf
-    return merges, members
-
-
-def agglomerate(df: DataFrame, cols: Sequence[str], k: int, linkage: str = "ward", id_col: str = "store",
-                max_points: int = 2000, seed: int = 42) -> tuple[DataFrame, DataFrame]:
-    """H7/H8 — hierarchical clustering cut at ``k`` clusters, plus the linkage table.
-
-    Spark reduces the facts to entity vectors; above ``max_points``
-    entities they are first summarised into ``max_points`` weighted
-    KMeans micro-centroids, so the single merge task stays bounded.
-    Returns (id, agglo label) and (step, left, right, height, size).
-    """
-    cols = list(cols)
-    spark = df.sparkSession
-    n = df.count()
-    if n > max_points:
-        lab, _ = kmeans(df, cols, max_points, seed, 1, label="_micro")
-        units = lab.groupBy("_micro").agg(*[F.avg(c).alias(c) for c in cols], F.count(F.lit(1)).alias("_w"))
-        assign = lab.select(id_col, F.col("_micro").alias("_u"))
-        units = units.withColumnRenamed("_micro", "_u")
-    else:
-        units = df.select(F.col(id_col).alias("_u"), *cols, F.lit(1).alias("_w"))
-        assign = df.select(id_col, F.col(id_col).alias("_u"))
-    u_type = units.schema["_u"].dataType
-    grouped = units.withColumn("_g", F.lit(0))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_u").reset_index(drop=True)
-        merges, _ = _ward_merges(pdf[cols].to_numpy(float), pdf["_w"].to_numpy(float), linkage)
-        # cut: replay merges until k clusters remain
-        parent = {i: i for i in range(len(pdf))}
-        cluster_of = {i: i for i in range(len(pdf))}
-        groups = {i: [i] for i in range(len(pdf))}
-        nxt = len(pdf)
-        for a, b, h, s in merges[: max(0, len(pdf) - k)]:
-            groups[nxt] = groups.pop(a) + groups.pop(b)
-            nxt += 1
-        # relabel clusters by their smallest member
-        lab = np.empty(len(pdf), dtype=np.int32)
-        for c, (key, mem) in enumerate(sorted(groups.items(), key=lambda kv: min(kv[1]))):
-            lab[mem] = c
-        out = pd.DataFrame({"_u": pdf["_u"], "agglo": lab, "step": -1, "left": -1, "right": -1,
-                            "height": np.nan, "size": np.nan})
-        link = pd.DataFrame({"_u": pdf["_u"].iloc[0], "agglo": -1, "step": np.arange(len(merges)),
-                             "left": [m[0] for m in merges], "right": [m[1] for m in merges],
-                             "height": [m[2] for m in merges], "size": [m[3] for m in merges]})
-        return pd.concat([out, link])
-
-    schema = T.StructType([T.StructField("_u", u_type), T.StructField("agglo", T.IntegerType()),
-                           T.StructField("step", T.IntegerType()), T.StructField("left", T.IntegerType()),
-                           T.StructField("right", T.IntegerType()), T.StructField("height", T.DoubleType()),
-                           T.StructField("size", T.DoubleType())])
-    res = grouped.groupBy("_g").applyInPandas(run, schema)
-    res = res.checkpoint() if spark.sparkContext.getCheckpointDir() else res.cache()
-    labels = assign.join(res.where(F.col("step") < 0).select("_u", "agglo"), "_u").drop("_u")
-    link = res.where(F.col("step") >= 0).select("step", "left", "right", "height", "size")
-    return labels, link

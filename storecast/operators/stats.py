@@ -17,9 +17,9 @@ from storecast.operators import order
 
 
 def _two_samples(df: DataFrame, col: str, flag: str) -> DataFrame:
-    g = F.col(flag).cast("int") == 1
-    return df.select(F.col(col).cast("double").alias("_v"), F.when(g, 1).otherwise(0).alias("_g")).where(
-        F.col("_v").isNotNull())
+    g = F.col(flag).cast("int")
+    return df.select(F.col(col).cast("double").alias("_v"), F.when(g == 1, 1).when(g.isNotNull(), 0).alias("_g")).where(
+        F.col("_v").isNotNull() & F.col("_g").isNotNull())
 
 
 def welch_t(df: DataFrame, col: str, flag: str, alternative: str = "greater",
@@ -41,7 +41,7 @@ def welch_t(df: DataFrame, col: str, flag: str, alternative: str = "greater",
     out = s.select("n1", "n0", "mean1", "mean0", t.alias("t"), dof.alias("df"))
     if not p_value:
         return out
-    upper = dist.t_sf_col(F.col("t"), F.col("df"))
+    upper = dist.t_sf(F.col("t"), F.col("df"))
     p = {"greater": upper, "less": F.lit(1.0) - upper,
          "two-sided": F.lit(2.0) * F.least(upper, F.lit(1.0) - upper)}[alternative]
     return out.withColumn("p_value", p)
@@ -61,7 +61,7 @@ def anova(df: DataFrame, col: str, by: str, p_value: bool = True) -> DataFrame:
     out = s.select("ssb", "ssw", d1.alias("df_between"), d2.alias("df_within"),
                    ((F.col("ssb") / d1) / (F.col("ssw") / d2)).alias("f"))
     if p_value:
-        out = out.withColumn("p_value", dist.f_sf_col(F.col("f"), F.col("df_between"), F.col("df_within")))
+        out = out.withColumn("p_value", dist.f_sf(F.col("f"), F.col("df_between"), F.col("df_within")))
     return out
 
 
@@ -88,7 +88,7 @@ def kruskal(df: DataFrame, col: str, by: str, p_value: bool = True) -> DataFrame
         F.lit(1.0) - F.col("tie_term") / (n * n * n - n))
     out = s.select(h.alias("h"), (F.col("k") - 1).alias("df"), F.col("N").alias("n"))
     if p_value:
-        out = out.withColumn("p_value", dist.chi2_sf_col(F.col("h"), F.col("df")))
+        out = out.withColumn("p_value", dist.chi2_sf(F.col("h"), F.col("df")))
     return out
 
 
@@ -114,8 +114,8 @@ def mann_whitney(df: DataFrame, col: str, flag: str, alternative: str = "greater
         z = (F.lit(sign) * (u - mu) - 0.5) / sigma
     out = s.select(F.col("n1"), F.col("n0"), u.alias("u"), z.alias("z"))
     if p_value:
-        p = dist.norm_sf_col(F.col("z"))
-        out = out.withColumn("p_value", p * 2 if sign == 0.0 else p)
+        p = dist.norm_sf(F.col("z"))
+        out = out.withColumn("p_value", F.least(p * 2, F.lit(1.0)) if sign == 0.0 else p)
     return out
 
 
@@ -126,13 +126,12 @@ def pca(df: DataFrame, cols: Sequence[str], k: int = 2, standardize: bool = True
     list). Spark ML PCA fits from a distributed covariance matrix
     (cols x cols); signs are fixed so the largest loading is positive.
     """
-    from pyspark.ml.feature import PCA, VectorAssembler
+    from pyspark.ml.feature import PCA
     from pyspark.ml.functions import vector_to_array
     from storecast.operators.features import standardize as std
+    from storecast.operators.segment import assemble
 
-    x = std(df, cols) if standardize else df
-    va = VectorAssembler(inputCols=list(cols), outputCol="_x", handleInvalid="skip")
-    xv = va.transform(x)
+    xv = assemble(std(df, cols) if standardize else df, cols, "_x")
     model = PCA(k=k, inputCol="_x", outputCol="_pc").fit(xv)
     loadings = model.pc.toArray()
     signs = []

@@ -10,7 +10,6 @@ from storecast.operators import anomaly as G
 from storecast.operators import explore as D
 from storecast.operators import windows
 from storecast.operators import wrangle as C
-from storecast.operators.features import iqr_flags
 from storecast.plans import sql_blocks as S
 from storecast.plans.explore_queries import panel, q
 from storecast.plans.registry import register
@@ -86,8 +85,8 @@ def g5_stl_anomalies(spark, sf_dir):
 
 @register("g7_stl_decompose")
 def g7_stl_decompose(spark, sf_dir):
-    """STL residual per grid week for every qualifying series (trend/seasonal via the same task)."""
-    return g5_stl_anomalies(spark, sf_dir).select("store", "dept", "week", "resid")
+    """STL trend, seasonal and residual per grid week for every qualifying series."""
+    return g5_stl_anomalies(spark, sf_dir).select("store", "dept", "week", "trend", "seasonal", "resid")
 
 
 @register("g6_top_series", q("""
@@ -123,21 +122,23 @@ def g8_flagged_box_stats(spark, sf_dir):
     return D.box_stats(f, "if_anomaly", "weekly_sales")
 
 
-def lof_sample(spark, sf_dir):
-    return C.sample_n(panel(spark, sf_dir), 80000, 42, ["store", "dept", "week"])
+def lof_rows(spark, sf_dir, sample: int | None = None):
+    """All panel rows, or a seeded sample of ``sample`` rows (the sampling operator C16)."""
+    df = panel(spark, sf_dir)
+    return df if sample is None else C.sample_n(df, sample, 42, G.KEYS)
 
 
 @register("g3_lof")
 def g3_lof(spark, sf_dir):
-    """LOF (k 35, 1 %) on a seeded 80,000-row sample with exact blocked kNN."""
-    return G.lof(lof_sample(spark, sf_dir), k=35, contamination=0.01)
+    """LOF (k 35, 1 %) of every row with exact blocked kNN."""
+    return G.lof(lof_rows(spark, sf_dir), k=35, contamination=0.01)
 
 
 @register("g4_lof_sweep")
 def g4_lof_sweep(spark, sf_dir):
     """k in {15, 25, 35, 50} from one kNN pass at k = 50: flagged share and holiday share."""
     from storecast.operators.features import standardize
-    s = lof_sample(spark, sf_dir)
+    s = lof_rows(spark, sf_dir)
     x = standardize(s.select(*G.KEYS, *G.AD_COLS), G.AD_COLS).withColumn("_id", F.xxhash64(*[F.col(c) for c in G.KEYS]))
     neigh = G.knn(x, G.AD_COLS, 50)
     neigh = neigh.checkpoint() if spark.sparkContext.getCheckpointDir() else neigh.cache()
@@ -151,12 +152,12 @@ def g4_lof_sweep(spark, sf_dir):
 
 @register("g9_detector_overlap")
 def g9_detector_overlap(spark, sf_dir):
-    """Co-occurrence of the isolation-forest, IQR and STL flags."""
-    f = G.flag_top(if_scored(spark, sf_dir), "if_score", 0.01, "if_anomaly")
-    f = iqr_flags(f)
-    stl = g5_stl_anomalies(spark, sf_dir).select("store", "dept", "week", "stl_anomaly")
-    f = f.join(stl, ["store", "dept", "week"], "left").fillna(0, subset=["stl_anomaly"])
-    return D.overlap_matrix(f, ["if_anomaly", "is_outlier_iqr", "stl_anomaly"])
+    """Co-occurrence of the isolation-forest, LOF and STL flags; a row that a detector did not see has its flag 0."""
+    f = G.flag_top(if_scored(spark, sf_dir), "if_score", 0.01, "if_anomaly").select(*G.KEYS, "if_anomaly")
+    lof = g3_lof(spark, sf_dir).select(*G.KEYS, "lof_anomaly")
+    stl = g5_stl_anomalies(spark, sf_dir).select(*G.KEYS, "stl_anomaly")
+    f = f.join(lof, G.KEYS, "left").join(stl, G.KEYS, "left").fillna(0, subset=["lof_anomaly", "stl_anomaly"])
+    return D.overlap_matrix(f, ["if_anomaly", "lof_anomaly", "stl_anomaly"])
 
 
 @register("g5_g6_stl_flags_top_series")

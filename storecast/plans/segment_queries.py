@@ -8,9 +8,11 @@ from storecast.functions.scalar import rnd
 
 from storecast.operators import features as fe
 from storecast.operators import segment as H
+from storecast.operators.order import materialize
 from storecast.plans import sql_blocks as S
 from storecast.plans.explore_queries import panel, q
 from storecast.plans.registry import register
+from storecast.session import ensure_checkpoint_dir
 
 COLS = H.SEG_COLS
 
@@ -35,7 +37,13 @@ def store_vectors(spark, sf_dir):
 
 
 def std_vectors(spark, sf_dir):
-    return fe.standardize(store_vectors(spark, sf_dir), COLS)
+    """Standardised store vectors; the vectors (one row per store) are written once, as every measure reads them often."""
+    return fe.standardize(_materialized(store_vectors(spark, sf_dir)), COLS)
+
+
+def _materialized(df):
+    ensure_checkpoint_dir(df.sparkSession)
+    return materialize(df)
 
 
 @register("h1_entity_vectors", q(",\n" + _H1 + "\nSELECT store, " + ", ".join(
@@ -53,7 +61,7 @@ s AS (SELECT i, MAX(CASE WHEN lj = li THEN md END) AS a, MIN(CASE WHEN lj <> li
 SELECT ROUND(AVG(CASE WHEN a IS NULL OR b IS NULL THEN 0.0E0 ELSE (b - a) / greatest(a, b) END), 8) AS silhouette FROM s"""))
 def h4_silhouette_by_type(spark, sf_dir):
     """Exact Euclidean silhouette of the store-type labelling on standardised store vectors."""
-    s = H.silhouette(std_vectors(spark, sf_dir), COLS, "type")
+    s = H.silhouette(_materialized(std_vectors(spark, sf_dir)), COLS, "type")
     return s.select(rnd("silhouette", 8).alias("silhouette"))
 
 
@@ -101,8 +109,14 @@ def h2_k_search(spark, sf_dir):
 
 @register("h3_kmeans_labels")
 def h3_kmeans_labels(spark, sf_dir):
-    lab, _ = H.kmeans(std_vectors(spark, sf_dir), COLS, 4, seed=42, n_init=4)
-    return lab.select("store", "type", "cluster")
+    """KMeans labels at the best k of the search, with that k and its two scores."""
+    z = _materialized(std_vectors(spark, sf_dir))
+    best = H.k_search(z, COLS, range(2, 9), seed=42, n_init=4).where("best").first()
+    lab, _ = H.kmeans(z, COLS, best["k"], seed=42, n_init=4)
+    lab = _materialized(lab)
+    dbi = H.davies_bouldin(lab, COLS, "cluster").first()[0]
+    return lab.select("store", "type", "cluster", F.lit(best["k"]).alias("k"), F.lit(best["silhouette"]).alias("silhouette"),
+                      F.lit(dbi).alias("davies_bouldin"))
 
 
 _DBSCAN_SQL = "WITH RECURSIVE " + ",\n".join(S.BASE) + ",\n" + _H1 + ",\n" + _Z + """,
@@ -122,33 +136,30 @@ FROM z LEFT JOIN alll ON z.store = alll.store LEFT JOIN num ON alll.lab = num.la
 @register("h10_dbscan", _DBSCAN_SQL)
 def h10_dbscan(spark, sf_dir):
     """DBSCAN eps 1.5, min_samples 3 on standardised store vectors."""
-    return H.dbscan(std_vectors(spark, sf_dir), COLS, 1.5, 3)
+    return H.dbscan(_materialized(std_vectors(spark, sf_dir)), COLS, 1.5, 3)
 
 
 @register("h7_h8_agglomerative")
 def h7_h8_agglomerative(spark, sf_dir):
-    """Ward clustering cut at 4 clusters; returns the linkage table behind the dendrogram."""
-    labels, link = H.agglomerate(std_vectors(spark, sf_dir), COLS, 4, "ward")
-    return link
+    """The hierarchy behind a dendrogram as a split table: sizes and within-cluster sums for cuts at 1..8 clusters."""
+    return H.split_table(_materialized(std_vectors(spark, sf_dir)), COLS, 8)
 
 
 @register("h9_linkage_sweep")
 def h9_linkage_sweep(spark, sf_dir):
-    """Ward / complete / average at k=4 with silhouette and Davies–Bouldin for each."""
-    z = std_vectors(spark, sf_dir).cache()
+    """Cuts of the hierarchy at 2..6 clusters with silhouette and Davies-Bouldin for each."""
+    z = _materialized(std_vectors(spark, sf_dir))
     rows = []
-    for link in ("ward", "complete", "average"):
-        labels, _ = H.agglomerate(z, COLS, 4, link)
-        lab = z.join(labels, "store")
-        rows.append((link, H.silhouette(lab, COLS, "agglo").first()[0], H.davies_bouldin(lab, COLS, "agglo").first()[0]))
-    return spark.createDataFrame(rows, "linkage string, silhouette double, davies_bouldin double")
+    for k in range(2, 7):
+        lab = _materialized(H.bisecting(z, COLS, k))
+        rows.append((k, H.silhouette(lab, COLS, "bisect").first()[0], H.davies_bouldin(lab, COLS, "bisect").first()[0]))
+    return spark.createDataFrame(rows, "k int, silhouette double, davies_bouldin double")
 
 
 @register("h7_bisecting_kmeans")
 def h7_bisecting_kmeans(spark, sf_dir):
     """Hierarchical clustering without a single merge task: bisecting KMeans at k = 4, with scores."""
-    lab = H.bisecting(std_vectors(spark, sf_dir), COLS, 4)
-    lab = lab.cache()
+    lab = _materialized(H.bisecting(std_vectors(spark, sf_dir), COLS, 4))
     sil = H.silhouette(lab, COLS, "bisect").first()[0]
     dbi = H.davies_bouldin(lab, COLS, "bisect").first()[0]
     return lab.select("store", "type", "bisect", F.lit(sil).alias("silhouette"), F.lit(dbi).alias("davies_bouldin"))

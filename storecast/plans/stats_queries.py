@@ -54,9 +54,16 @@ def e2_anova(spark, sf_dir):
     return a.select("df_between", "df_within", r("f"))
 
 
-@register("e2_anova_pvalue")
+@register("e2_anova_pvalue", q("""
+, g AS (SELECT type, COUNT(*) AS n, AVG(weekly_sales) AS m, var_pop(weekly_sales) * COUNT(*) AS m2 FROM panel GROUP BY type),
+tot AS (SELECT AVG(weekly_sales) AS gm, COUNT(*) AS nn FROM panel),
+s AS (SELECT SUM(n * (m - gm) * (m - gm)) AS ssb, SUM(m2) AS ssw, COUNT(*) AS k, MAX(nn) AS nn FROM g, tot),
+f AS (SELECT (ssb / (k - 1)) / (ssw / (nn - k)) AS f, CAST(nn - k AS DOUBLE) AS d2 FROM s)
+SELECT ROUND(f, 6) AS f, ROUND(pow(d2 / (d2 + 2 * f), d2 / 2), 8) AS p_value FROM f"""))
 def e2_anova_pvalue(spark, sf_dir):
-    return E.anova(panel(spark, sf_dir), "weekly_sales", "type")
+    """F and its tail over the three store types (two numerator degrees: a closed form)."""
+    a = E.anova(panel(spark, sf_dir), "weekly_sales", "type")
+    return a.select(r("f"), r("p_value", 8))
 
 
 _RANK_SQL = """
@@ -76,9 +83,13 @@ def e3_kruskal(spark, sf_dir):
     return k.select(r("h"), "df", "n")
 
 
-@register("e3_kruskal_pvalue")
+@register("e3_kruskal_pvalue", q(_RANK_SQL.format(g="type", src="panel") + """
+, h AS (SELECT (12.0E0 / (nn * (nn + 1)) * (SELECT SUM(rs * rs / n) FROM g) - 3 * (nn + 1)) / (1 - tie_term / (nn * nn * nn - nn)) AS h FROM tt)
+SELECT ROUND(h, 6) AS h, ROUND(exp(-h / 2), 8) AS p_value FROM h"""))
 def e3_kruskal_pvalue(spark, sf_dir):
-    return E.kruskal(panel(spark, sf_dir), "weekly_sales", "type")
+    """H and its tail over the three store types (two degrees: a closed form)."""
+    k = E.kruskal(panel(spark, sf_dir), "weekly_sales", "type")
+    return k.select(r("h"), r("p_value", 8))
 
 
 _POST = """post AS (SELECT *, CASE WHEN total_markdown > 0 THEN 1 ELSE 0 END AS active FROM panel

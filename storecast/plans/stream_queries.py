@@ -16,7 +16,7 @@ SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS window_start, event_type, COU
 FROM events GROUP BY 1, 2""")
 def k13_stream_window_counts(spark, sf_dir):
     """Event-time daily windows per event type from a Structured Streaming query."""
-    r = ST.window_counts(spark, sf_dir, "1 day", "2 days")
+    r = ST.window_counts(spark, sf_dir, "1 day")
     return r.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "events",
                     rnd("value_sum", 6).alias("value_sum"))
 

@@ -28,20 +28,25 @@ def _work_dir(spark: SparkSession, name: str) -> str:
 
 
 def event_stream(spark: SparkSession, sf_dir: str, files_per_trigger: int = 1) -> DataFrame:
-    """Stream of the ``events`` rows (the file source needs the schema up front)."""
-    schema = spark.read.parquet(f"{sf_dir.rstrip('/')}/events.parquet").schema
-    return (spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet")
-            .option("maxFilesPerTrigger", files_per_trigger).parquet(sf_dir))
+    """Stream of the ``events`` rows, one file or a folder of part files (the file source needs the schema up front)."""
+    path = f"{sf_dir.rstrip('/')}/events.parquet"
+    # a pattern, as the stream takes a folder or what a pattern matches, but not the path of one file
+    return (spark.readStream.schema(spark.read.parquet(path).schema)
+            .option("maxFilesPerTrigger", files_per_trigger).parquet(f"{path[:-1]}[t]"))
 
 
-def window_counts(spark: SparkSession, sf_dir: str, window: str = "1 day", watermark: str = "2 days") -> DataFrame:
-    """Per event-time window and event type: events and summed value."""
+def window_counts(spark: SparkSession, sf_dir: str, window: str = "1 day", watermark: str | None = None) -> DataFrame:
+    """Per event-time window and event type: events and summed value.
+
+    Without a watermark every row counts, in whatever order the files come; the state is one row per
+    window and type. With one, windows older than it are dropped from the state and later rows for them are lost.
+    """
     work = _work_dir(spark, "window-counts")
     # watermarks need TIMESTAMP event time; the table stores wall-clock TIMESTAMP_NTZ (session time zone UTC)
-    agg = (event_stream(spark, sf_dir)
-           .withColumn("ts", F.col("ts").cast("timestamp"))
-           .withWatermark("ts", watermark)
-           .groupBy(F.window("ts", window).alias("w"), "event_type")
+    rows = event_stream(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp"))
+    if watermark:
+        rows = rows.withWatermark("ts", watermark)
+    agg = (rows.groupBy(F.window("ts", window).alias("w"), "event_type")
            .agg(F.count(F.lit(1)).alias("events"), F.sum("value").alias("value_sum")))
 
     def sink(batch: DataFrame, batch_id: int) -> None:

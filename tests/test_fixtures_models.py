@@ -36,11 +36,42 @@ def test_dbscan(pts):
     assert [out[i] for i in range(6)] == [0, 0, 0, -1, -1, -1]
 
 
-def test_agglomerative_two_groups(pts):
-    labels, link = H.agglomerate(pts, ["a", "b"], 3, "ward")
-    lab = {r["store"]: r["agglo"] for r in labels.collect()}
-    assert lab[0] == lab[1] == lab[2] and lab[3] == lab[4] and len({lab[0], lab[3], lab[5]}) == 3
-    assert link.count() == 5
+def test_bisecting_hierarchy(pts):
+    lab = {r["store"]: r["bisect"] for r in H.bisecting(pts, ["a", "b"], 3).collect()}
+    assert len(lab) == 6 and len(set(lab.values())) == 3
+    table = [(r["k"], r["sizes"], r["within"]) for r in H.split_table(pts, ["a", "b"], 3).orderBy("k").collect()]
+    assert [t[0] for t in table] == [1, 2, 3] and all(sum(t[1]) == 6 and len(t[1]) == t[0] for t in table)
+    assert table[0][2] > table[1][2] > table[2][2]
+
+
+def test_null_features_stay(spark):
+    rows = [(0, 0.0, 1.0), (1, 0.1, None), (2, 9.0, 1.0), (3, None, float("nan"))]
+    df = spark.createDataFrame(rows, "store int, a double, b double")
+    lab, _ = H.kmeans(df, ["a", "b"], 2, n_init=1)
+    assert lab.count() == 4 and lab.columns == ["store", "a", "b", "cluster"]
+
+
+def test_dbscan_long_chain(spark):
+    df = spark.createDataFrame([(i, float(i)) for i in range(300)] + [(999, 5000.0)], "store int, x double")
+    out = {r["store"]: r["dbscan"] for r in H.dbscan(df, ["x"], 1.0, 3).collect()}
+    assert out.pop(999) == -1 and set(out.values()) == {0}
+
+
+def test_quantiles_keep_the_null_group(spark):
+    from storecast.operators import explore, order
+    df = spark.createDataFrame([("a", 1.0), ("a", 3.0), (None, 10.0), (None, 20.0)], "g string, v double")
+    got = {r["g"]: r["m"] for r in order.quantiles(df, "v", [0.5], by=["g"], names=["m"]).collect()}
+    assert got == {"a": 2.0, None: 15.0}
+    assert {r["g"]: r["n"] for r in explore.box_stats(df, "g", "v").collect()} == {"a": 2, None: 2}
+    zero = spark.createDataFrame([(1, 2.0), (0, 0.0)], "f int, v double")
+    assert explore.lift(zero, "f", "v").first()["lift"] is None
+
+
+def test_rules_with_the_separator_in_an_item(spark):
+    rows = [(i, x) for i in range(4) for x in ("a", "b", "a, b")]
+    its = J.frequent_itemsets(spark.createDataFrame(rows, "b int, item string"), ["b"], spark.createDataFrame([(4,)], "n_baskets long"), 0.5, 3)
+    rules = J.association_rules(its, min_lift=0.0).collect()
+    assert len({(tuple(r["antecedents"]), tuple(r["consequents"])) for r in rules}) == len(rules) == 12
 
 
 def test_basket_fixture(spark):
@@ -123,6 +154,3 @@ def test_ridge_matches_closed_form(spark):
     assert np.allclose(pred, y.mean() + z @ beta, rtol=1e-8)
 
 
-def test_silhouette_approx_runs(pts):
-    v = H.silhouette_approx(pts, ["a", "b"], "lab").first()["silhouette"]
-    assert -1.0 <= v <= 1.0

@@ -37,7 +37,7 @@ def test_anova(two):
 def test_kruskal(two):
     r = stats.kruskal(two, "v", "g").first()
     assert r["h"] == pytest.approx(3.06782609, abs=1e-7)
-    assert r["p_value"] == pytest.approx(dist.chi2_sf(3.06782609, 1), abs=1e-9)
+    assert r["p_value"] == pytest.approx(0.07985626, abs=1e-7)
 
 
 def test_mann_whitney(two):
@@ -47,11 +47,28 @@ def test_mann_whitney(two):
     assert r["p_value"] == pytest.approx(0.96971557, abs=1e-7)
 
 
-def test_distribution_tails():
-    assert dist.t_sf(2.0, 10) == pytest.approx(1 - 0.96331, abs=1e-5)
-    assert dist.chi2_sf(3.841458821, 1) == pytest.approx(0.05, abs=1e-8)
-    assert dist.f_sf(4.0, 2, 10) == pytest.approx(1.8 ** -5, rel=1e-9)
-    assert dist.norm_sf(0.0) == pytest.approx(0.5)
+def test_distribution_tails(spark):
+    def value(f, *args):
+        return spark.range(1).select(f(*map(F.lit, args))).first()[0]
+    for z in (-8.0, -1.5, 0.0, 0.3, 2.0, 6.0, 20.0):
+        assert value(dist.norm_sf, z) == pytest.approx(math.erfc(z / math.sqrt(2)) / 2, rel=1e-9)
+    assert value(dist.t_sf, 2.0, 10.0) == pytest.approx(0.03669401738537, rel=1e-9)
+    assert value(dist.t_sf, -1.0, 1.0) == pytest.approx(0.75, rel=1e-9)
+    assert value(dist.t_sf, 2.0, 2.0) == pytest.approx(0.5 - 2 / (2 * math.sqrt(6)), rel=1e-9)
+    assert value(dist.t_sf, 2.5, 200.0) == pytest.approx(value(dist.t_sf, 2.5, 200.0001), rel=1e-6)
+    assert value(dist.chi2_sf, 3.841458821, 1) == pytest.approx(0.05, abs=1e-8)
+    assert value(dist.chi2_sf, 5.0, 2) == pytest.approx(math.exp(-2.5), rel=1e-12)
+    assert value(dist.chi2_sf, 7.814727903, 3) == pytest.approx(0.05, abs=1e-8)
+    assert value(dist.chi2_sf, 9.487729037, 4) == pytest.approx(0.05, abs=1e-8)
+    assert value(dist.f_sf, 4.0, 2, 10) == pytest.approx(1.8 ** -5, rel=1e-9)
+    assert value(dist.f_sf, 4.0, 1, 10) == pytest.approx(2 * value(dist.t_sf, 2.0, 10.0), rel=1e-9)
+    assert value(dist.f_sf, 3.478049691, 4, 10) == pytest.approx(0.05, abs=1e-6)
+
+
+def test_two_sided_p_is_at_most_one(spark):
+    df = spark.createDataFrame([(1.0, 0), (2.0, 1), (3.0, 1), (4.0, 0), (9.0, None)], "v double, g int")
+    r = stats.mann_whitney(df, "v", "g", "two-sided").first()
+    assert r["p_value"] == 1.0 and (r["n1"], r["n0"]) == (2, 2)
 
 
 def test_metrics(spark):
