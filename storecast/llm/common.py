@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from storecast.session import ship_package
+
 #: One run of white space inside a text, as a Java regular expression.
 WHITE = r"[\x20\x09-\x0D]"
 DOCUMENT_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -44,6 +46,7 @@ def map_arrow(df: DataFrame, run, schema) -> DataFrame:
     for key, value in (("spark.sql.execution.arrow.maxRecordsPerBatch", "1000"), ("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))):
         if df.sparkSession.conf.get(key, None) is None:
             df.sparkSession.conf.set(key, value)
+    ship_package(df.sparkSession)  # for workers that don't have the package
     return df.mapInArrow(run, schema)
 
 
