@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from typing import Sequence
 
 from pyspark.sql import DataFrame, Window
@@ -74,15 +75,26 @@ def model_rows(df: DataFrame) -> DataFrame:
 def split_cutoff(df: DataFrame, date_col: str = "week", frac: float = 0.8) -> DataFrame:
     """E6 — one row ``cutoff_day``: the ``frac`` quantile of the date over rows (days since epoch,
     linear interpolation, may fall between weeks)."""
-    d = df.select(F.unix_date(F.col(date_col)).alias("_d"))
-    return order.quantiles(d, "_d", [frac], names=["cutoff_day"])
+    # a date has one count per calendar day or week: the exact quantile needs only those few rows
+    per_date = df.where(F.col(date_col).isNotNull()).groupBy(F.unix_date(F.col(date_col)).alias("d")).agg(F.count(F.lit(1)).alias("n"))
+    counts = sorted((r["d"], r["n"]) for r in per_date.collect())
+    h = (sum(n for _, n in counts) - 1) * frac
+
+    def at(position: int) -> float:
+        for d, n in counts:
+            position -= n
+            if position < 0:
+                return float(d)
+    lo = at(math.floor(h)) if counts else None
+    cut = None if lo is None else lo + (h - math.floor(h)) * (at(math.ceil(h)) - lo)
+    return df.sparkSession.createDataFrame([(cut,)], "cutoff_day double")
 
 
 def temporal_split(df: DataFrame, date_col: str = "week", frac: float = 0.8) -> tuple[DataFrame, DataFrame]:
     """E6 — (train, test) with train <= cutoff < test.
 
     The cutoff is one number computed by a small distributed job; it
-    enters both plans as a literal, so the split is a pushed-down filter.
+    enters both plans as a literal condition on the date.
     """
     cut = split_cutoff(df, date_col, frac).first()["cutoff_day"]
     day = F.unix_date(F.col(date_col)).cast("double")

@@ -17,6 +17,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from storecast.operators.order import materialize
+from storecast.session import ensure_checkpoint_dir
 from storecast.sources.tables import Tables
 from storecast.operators import wrangle
 
@@ -43,10 +45,9 @@ def line_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One pass over ``lineitem``: exact (DECIMAL) partial sums per (store, dept, week).
 
     Both the sales fact and the store-week features are re-aggregations
-    of this table, so the largest table is scanned and shuffled once per
-    query (the two branches share the same exchange). ``dept`` is NULL
-    for lines whose part is unknown: they count for the features but not
-    for the sales panel, as in the recipe's inner join.
+    of this table. ``dept`` is NULL for lines whose part is unknown: they
+    count for the features but not for the sales panel, as in the
+    recipe's inner join.
     """
     t = Tables(spark, sf_dir)
     li = t.lineitem.select("l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice",
@@ -125,7 +126,9 @@ def wrangled_panel(spark: SparkSession, sf_dir: str, validate: bool = False) ->
     filled within store; C4/C5 left many-to-one joins; C8 total
     markdown; C9 year, month, ISO week, day.
     """
-    facts = line_facts(spark, sf_dir)
+    # written once (one row per store, department and week), so both branches share one scan of the line items
+    ensure_checkpoint_dir(spark)
+    facts = materialize(line_facts(spark, sf_dir))
     feats = panel_features(spark, sf_dir, facts)
     feats = wrangle.fill_zero(feats, MARKDOWN_COLS)
     feats = wrangle.ffill_bfill(feats, ["cpi", "unemployment"], by=["store"], order="week")
