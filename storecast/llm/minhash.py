@@ -410,17 +410,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     class of its own, kept, with its own id. A null id is allowed anywhere. Repeated rows are copies
     like any others. Other columns are not read.
     """
-    classed = _classes(docs, id_col, text_col, threshold)
-    best = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "uid")).alias("first")
-    groups = classed.where("class is not null").groupBy("class").agg(best, F.count("*").alias("size"))
-    joined = classed.join(groups, "class", "left")
+    signed, nodes = _classes(docs, id_col, text_col, threshold)
+    groups = nodes.groupBy("class").agg(F.min("first").alias("first"), F.sum("n").alias("size"))
+    by_node = materialize(nodes.select("node", "class").join(groups, "class").select("node", "first", "size"), "by-node")
+    joined = signed.select("id", "uid", "node").join(by_node, "node", "left")  # a node of many copies is a skewed key that Spark splits
     return joined.select(
-        F.col("id").alias(id_col), F.when(F.col("class").isNull(), F.col("id")).otherwise(F.col("first.id")).alias("class_id"),
-        F.coalesce("size", F.lit(1)).alias("class_size"), F.coalesce(F.col("first.uid") == F.col("uid"), F.lit(True)).alias("kept"))
+        F.col("id").alias(id_col), F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("first.id")).alias("class_id"),
+        F.coalesce("size", F.lit(1)).cast("long").alias("class_size"), F.coalesce(F.col("first.uid") == F.col("uid"), F.lit(True)).alias("kept"))
 
 
-def _classes(docs: DataFrame, id_col: str, text_col: str, threshold: float) -> DataFrame:
-    """(id, uid, node, class) of each row; class is the least node of its component, null for rows without words."""
+def _classes(docs: DataFrame, id_col: str, text_col: str, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """The signed rows (node null without words), and per node its class (the least node of its component), its
+    first row (least id, nulls last) and its number of rows."""
     idf = document_frequencies(docs, text_col)
     signed = materialize(signatures(docs, idf, id_col, text_col), "signatures")
     nodes = signed.where("node is not null").groupBy("node").agg(F.first("samples").alias("samples"), F.first("bands").alias("bands"))
@@ -442,8 +443,10 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, threshold: float) -> D
         "band", "value", "node", F.coalesce("component", "node").alias("comp"))
     crossing = materialize(_cross_links(labelled, involved, texts, idf, threshold), "links")
     comps = components(links.unionByName(crossing))
-    return signed.select("id", "uid", "node").join(comps, "node", "left").select(
-        "id", "uid", "node", F.coalesce("component", "node").alias("class"))
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "uid", "node")).alias("first")
+    per_node = signed.where("node is not null").groupBy("node").agg(first, F.count("*").alias("n"))
+    labelled = per_node.join(comps, "node", "left").select("node", F.coalesce("component", "node").alias("class"), "first", "n")
+    return signed, materialize(labelled, "classes")
 
 
 def _texts(docs: DataFrame, needed: DataFrame, text_col: str) -> DataFrame:
@@ -455,9 +458,8 @@ def _texts(docs: DataFrame, needed: DataFrame, text_col: str) -> DataFrame:
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """The kept rows of :func:`near_duplicates`, with all columns of ``docs``: one row of each class."""
-    classed = _classes(docs, id_col, text_col, threshold)
-    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "node")).alias("first")
-    keep = classed.where("class is not null").groupBy("class").agg(first).select(F.col("first.id").alias("__id"), F.col("first.node").alias("__node"))
+    _, nodes = _classes(docs, id_col, text_col, threshold)
+    keep = nodes.groupBy("class").agg(F.min("first").alias("first")).select(F.col("first.id").alias("__id"), F.col("first.node").alias("__node"))
     node = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__doc"), F.col(id_col).alias("__own"), node.alias("__key"), F.col(text_col).alias("__text"))
     blank = rows.where(~F.coalesce(F.col("__text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")).select("__doc")
