@@ -239,6 +239,8 @@ def _judged(d: DataFrame, refs: DataFrame) -> DataFrame:
 def quality_filter(docs: DataFrame, references: DataFrame | None = None, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """The rows of ``docs`` that the rules keep, with the same columns."""
     marked = docs.withColumns({"__doc": F.struct(*[F.col(f"`{c}`") for c in docs.columns])})
-    kept = quality_rules(marked.select("__doc", F.col(text_col).alias("__t"), F.col(lang_col).alias("__l")),
-                         references, "__t", "__l").where("kept")
+    judged = quality_rules(marked.select("__doc", F.col(text_col).alias("__t"), F.col(lang_col).alias("__l")), references, "__t", "__l")
+    # Pushed below the projections, the condition would be spelled out from the text, every count many
+    # times over. A condition with rand() in it stays above them; it is kept or not, whatever rand() gives.
+    kept = judged.where(F.when(F.col("kept"), 1.0).otherwise(-1.0) + F.rand(0) / 2 > 0)
     return kept.select(*[F.col("__doc").getField(c).alias(c) for c in docs.columns])
