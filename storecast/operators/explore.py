@@ -63,7 +63,7 @@ def box_stats(df: DataFrame, by: str, col: str, k: float = 1.5) -> DataFrame:
     fence table is joined back to the rows (one row per group).
     """
     pts = order.materialize(df.select(by, F.col(col).cast("double").alias("_v")).where(F.col("_v").isNotNull()))
-    q = order.quantiles(pts, "_v", [0.25, 0.5, 0.75], by=[by], names=["q1", "median", "q3"])
+    q = order.quantiles(pts, "_v", [0.25, 0.5, 0.75], by=[by], names=["q1", "median", "q3"], written=True)
     iqr = F.col("q3") - F.col("q1")
     fences = q.select(by, "q1", "median", "q3", (F.col("q1") - k * iqr).alias("_lo"),
                       (F.col("q3") + k * iqr).alias("_hi"))

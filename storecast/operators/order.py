@@ -90,17 +90,17 @@ def _value_spans(b: DataFrame, cnt: DataFrame, col: str, by: Sequence[str]) -> D
 
 def quantiles(df: DataFrame, col: str, probs: Sequence[float], by: Sequence[str] = (),
               names: Sequence[str] | None = None, approx: bool = False,
-              accuracy: int = 10000) -> DataFrame:
+              accuracy: int = 10000, written: bool = False) -> DataFrame:
     """Exact quantiles with linear interpolation (pandas / ``quantile_cont``), per ``by`` group.
 
-    Nulls and NaNs are skipped. ``approx=True`` uses ``percentile_approx``
+    Nulls and NaNs are skipped. ``written``: ``df`` is already a materialised narrow table. ``approx=True`` uses ``percentile_approx``
     (one pass, bounded sketch) where an estimate is enough.
     """
     by = list(by)
     names = list(names or [f"q{int(round(p * 100)):02d}" for p in probs])
     v = F.col(col).cast("double")
     d = df.select(*by, v.alias("_v")).where(F.col("_v").isNotNull() & ~F.isnan("_v"))
-    if not approx:
+    if not approx and not written:
         # the (group, value) projection is read by the edge jobs, the counts and the opened
         # buckets: write it once instead of re-deriving the upstream plan for every read
         d = materialize(d)
@@ -164,11 +164,12 @@ def _global_quantiles(b: DataFrame, cnt: DataFrame, probs: Sequence[float], name
     return vals.select(*outs)
 
 
-def average_ranks(df: DataFrame, col: str, by: Sequence[str] = ()) -> DataFrame:
+def average_ranks(df: DataFrame, col: str, by: Sequence[str] = (), written: bool = False) -> DataFrame:
     """W6 — one row per distinct value: (by..., value, ties, rank); tied values share the mean
     of their 1-based positions in ascending order."""
     by = list(by)
-    d = materialize(df.select(*by, F.col(col).cast("double").alias(col)).where(F.col(col).isNotNull()))
+    d = df.select(*by, F.col(col).cast("double").alias(col)).where(F.col(col).isNotNull())
+    d = d if written else materialize(d)
     b = _bucketed(d, col)
     cnt = _bucket_counts(b, by)
     spans = _value_spans(b, cnt, col, by)

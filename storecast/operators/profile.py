@@ -94,7 +94,7 @@ def describe(df: DataFrame, cols: Sequence[str], approx: bool = False) -> DataFr
         F.count("value").alias("count"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"),
         F.min("value").alias("min"), F.max("value").alias("max"))
     q = order.quantiles(long, "value", [0.25, 0.5, 0.75], by=["column"], names=["p25", "p50", "p75"],
-                        approx=approx)
+                        approx=approx, written=not approx)
     return base.join(q, "column", "left").select("column", "count", "mean", "std", "min", "p25", "p50", "p75", "max")
 
 

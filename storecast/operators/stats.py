@@ -68,7 +68,7 @@ def anova(df: DataFrame, col: str, by: str, p_value: bool = True) -> DataFrame:
 def _ranked(df: DataFrame, col: str, by: str):
     """Rank-sum per group and the tie term sum(t^3 - t), from the distributed average ranks."""
     x = order.materialize(df.select(by, F.col(col).cast("double").alias("_v")).where(F.col("_v").isNotNull()))
-    ranks = order.average_ranks(x, "_v")
+    ranks = order.average_ranks(x, "_v", written=True)
     per = x.groupBy(by, "_v").agg(F.count(F.lit(1)).alias("_c"))
     sums = (per.join(ranks, "_v").groupBy(by)
             .agg(F.sum(F.col("_c")).alias("n"), F.sum(F.col("_c") * F.col("rank")).alias("rank_sum")))

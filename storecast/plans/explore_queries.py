@@ -86,23 +86,46 @@ def b13_null_total(spark, sf_dir):
 
 
 @register("b6_missingness_by_week", q("""
-SELECT week, AVG(CASE WHEN cpi IS NULL THEN 1 ELSE 0 END) AS cpi,
-       AVG(CASE WHEN unemployment IS NULL THEN 1 ELSE 0 END) AS unemployment,
-       AVG(CASE WHEN markdown1 IS NULL THEN 1 ELSE 0 END) AS markdown1
+SELECT week, """ + ", ".join(f"AVG(CASE WHEN {c} IS NULL THEN 1 ELSE 0 END) AS {c}" for c in FEATURE_COLS[2:]) + """
 FROM panel_features GROUP BY week"""))
 def b6_missingness_by_week(spark, sf_dir):
-    return B.missingness_by(P.panel_features(spark, sf_dir), "week", ["cpi", "unemployment", "markdown1"])
+    return B.missingness_by(P.panel_features(spark, sf_dir), "week", FEATURE_COLS[2:])
 
 
-@register("b8_describe", q(" UNION ALL ".join(f"""
+def _describe_sql(table: str, cols: list[str]) -> str:
+    return q(" UNION ALL ".join(f"""
 SELECT '{c}' AS "column", COUNT({c}) AS count, ROUND(AVG({c}), 6) AS mean, ROUND(stddev_samp({c}), 6) AS std,
        CAST(MIN({c}) AS DOUBLE) AS min, ROUND(quantile_cont({c}, 0.25), 6) AS p25, ROUND(quantile_cont({c}, 0.5), 6) AS p50,
-       ROUND(quantile_cont({c}, 0.75), 6) AS p75, CAST(MAX({c}) AS DOUBLE) AS max FROM panel""" for c in NUMERIC)))
-def b8_describe(spark, sf_dir):
-    d = B.describe(panel(spark, sf_dir), NUMERIC)
+       ROUND(quantile_cont({c}, 0.75), 6) AS p75, CAST(MAX({c}) AS DOUBLE) AS max FROM {table}""" for c in cols))
+
+
+def _described(df, cols):
+    d = B.describe(df, cols)
     return d.select("column", "count", r("mean"), r("std"), "min", r("p25"), r("p50"), r("p75"), "max")
 
 
+@register("b8_describe", _describe_sql("panel", NUMERIC + P.MARKDOWN_COLS))
+def b8_describe(spark, sf_dir):
+    return _described(panel(spark, sf_dir), NUMERIC + P.MARKDOWN_COLS)
+
+
+@register("b8_describe_features", _describe_sql("panel_features", FEATURE_COLS[2:]))
+def b8_describe_features(spark, sf_dir):
+    return _described(P.panel_features(spark, sf_dir), FEATURE_COLS[2:])
+
+
+@register("b8_describe_stores", _describe_sql("panel_stores", ["store", "size"]))
+def b8_describe_stores(spark, sf_dir):
+    return _described(P.panel_stores(spark, sf_dir), ["store", "size"])
+
+
+@register("c5_validated_joins", q("SELECT type, COUNT(*) AS rows, COUNT(DISTINCT store) AS stores FROM panel GROUP BY type"))
+def c5_validated_joins(spark, sf_dir):
+    """The panel with both many-to-one joins checked: a repeated right key raises."""
+    df = P.wrangled_panel(spark, sf_dir, validate=True)
+    return df.groupBy("type").agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("store").alias("stores"))
+
+
 @register("b9_cardinality", q("""
 SELECT 'store' AS "column", COUNT(DISTINCT store) AS "distinct" FROM panel
 UNION ALL SELECT 'dept', COUNT(DISTINCT dept) FROM panel

@@ -54,11 +54,14 @@ def test_kmeans_inertia_decreases_with_k(spark):
     assert costs[0] > costs[1] > costs[2]
 
 
-def test_panel_scan_prunes_columns(spark):
-    df = P.wrangled_panel(spark, SF001)
+def test_panel_scans_the_line_items_once_and_prunes_columns(spark):
+    df = P.line_facts(spark, SF001)
     plan = df._jdf.queryExecution().executedPlan().toString()
-    scans = [ln for ln in plan.splitlines() if "lineitem" in ln]
-    assert scans and all("l_orderkey" not in ln and "l_linestatus" not in ln for ln in scans)
+    scans = [ln for ln in plan.splitlines() if "FileScan" in ln and "lineitem" in ln]
+    assert len(scans) == 1 and all("l_orderkey" not in ln and "l_linestatus" not in ln for ln in scans)
+    # the panel itself reads the written facts, not the line items again
+    panel = P.wrangled_panel(spark, SF001)._jdf.queryExecution().executedPlan().toString()
+    assert "lineitem" not in panel
 
 
 def test_split_filter_is_a_literal(spark):
@@ -75,3 +78,13 @@ def test_stl_write_back_keeps_every_row(spark):
     flagged = out.where("stl_anomaly = 1").select("store", "dept").distinct()
     top = G.top_series(df, n=5).select("store", "dept")
     assert flagged.join(top, ["store", "dept"], "left_anti").count() == 0
+
+
+def test_many_to_one_validation_raises_on_a_repeated_key(spark):
+    import pytest
+    from storecast.operators import wrangle
+    left = spark.createDataFrame([(1, "x"), (2, "y")], "k int, v string")
+    right = spark.createDataFrame([(1, "a"), (1, "b")], "k int, w string")
+    assert wrangle.left_join_many_to_one(left, right.limit(1), ["k"], validate=True).count() == 2
+    with pytest.raises(ValueError, match="not unique"):
+        wrangle.left_join_many_to_one(left, right, ["k"], validate=True)
