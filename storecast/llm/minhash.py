@@ -424,11 +424,13 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, threshold: float) -> t
     first row (least id, nulls last) and its number of rows."""
     idf = document_frequencies(docs, text_col)
     signed = materialize(signatures(docs, idf, id_col, text_col), "signatures")
-    nodes = signed.where("node is not null").groupBy("node").agg(F.first("samples").alias("samples"), F.first("bands").alias("bands"))
+    least = F.min(F.struct(F.col("id").isNull().alias("none"), "id")).alias("least")
+    nodes = signed.where("node is not null").groupBy("node").agg(F.first("samples").alias("samples"), F.first("bands").alias("bands"), least)
     exploded = nodes.select("node", F.posexplode("bands").alias("band", "value"))
     hubs = exploded.groupBy("band", "value").agg(F.min("node").alias("hub"), F.count("*").alias("n")).where("n > 1")
     members = materialize(exploded.join(hubs, ["band", "value"]).select("band", "value", "node", "hub"), "members")
-    involved = materialize(members.select("node").distinct().join(nodes.select("node", "samples"), "node"), "involved")
+    needed = materialize(members.select("node").distinct().join(nodes.select("node", "samples", F.col("least.id").alias("id")), "node"), "involved")
+    involved = needed.select("node", "samples")
 
     star = members.where("node <> hub").select("node", "hub").distinct()
     star = star.join(involved, "node").withColumnRenamed("samples", "s").join(involved.withColumnRenamed("node", "hub"), "hub")
@@ -436,7 +438,7 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, threshold: float) -> t
     star = star.groupBy("node").agg(F.max_by("hub", F.struct("agreement", "hub")).alias("a"))
     pairs = materialize(star.select("a", F.col("node").alias("b")), "pairs")
 
-    texts = _texts(docs, involved.select("node"), text_col)
+    texts = _texts(docs, needed.select("node", "id"), id_col, text_col)
     links = materialize(verify(pairs, texts, idf, threshold).where("similar").select("a", "b"), "links")
     comps = materialize(components(links), "components")
     labelled = members.select("band", "value", "node").join(comps, "node", "left").select(
@@ -449,11 +451,11 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, threshold: float) -> t
     return signed, materialize(labelled, "classes")
 
 
-def _texts(docs: DataFrame, needed: DataFrame, text_col: str) -> DataFrame:
-    """(node, text): one text for each node of ``needed``."""
-    node = F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("node")
-    texts = docs.select(node, F.col(text_col).alias("text")).join(needed, "node", "left_semi")
-    return materialize(texts.groupBy("node").agg(F.first("text").alias("text")), "texts")
+def _texts(docs: DataFrame, needed: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(node, text): one text for each of ``needed`` (node, id), from the row of that id, so that copies of a text don't move."""
+    own = docs.select(F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("__node"), F.col(id_col).alias("__id"), F.col(text_col).alias("text"))
+    rows = own.join(needed, (F.col("__node") == F.col("node")) & F.col("__id").eqNullSafe(F.col("id")), "left_semi")
+    return materialize(rows.groupBy(F.col("__node").alias("node")).agg(F.first("text").alias("text")), "texts")
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
