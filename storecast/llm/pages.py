@@ -29,8 +29,11 @@ from storecast.llm.common import map_arrow, materialize, shuffle_partitions
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6"
     " header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead title tr ul head option select".split())
-DROPPED = frozenset("nav footer aside form head noscript template iframe object svg canvas button select dialog menu video audio map math title".split())
-RAW = frozenset("script style textarea xmp noembed noframes".split())
+#: Never part of the article, whatever they hold.
+DROPPED = frozenset("noscript template iframe object svg canvas button select dialog video audio map math".split())
+#: Left out as well, unless they hold the article (see ``_wanted``); a header only outside articles.
+ASIDES = frozenset("nav footer aside menu".split())
+RAW = frozenset("title script style textarea xmp noembed noframes".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BREAKS = frozenset(("br", "wbr"))
 #: A block whose class, id or role has one of these words is not part of the article.
@@ -40,48 +43,160 @@ NAMED = frozenset(
     " signup popup modal overlay menu menus navbar nav navigation breadcrumb breadcrumbs footer masthead topbar toolbar social share sharing related recommended"
     " widget widgets pagination pager skip login search contentinfo complementary".split())
 
+#: Of these, words for readers' texts, which may well be longer than the article.
+REMARKS = frozenset("comment comments commentlist reply replies respond disqus discussion".split())
+#: A class or id of a wrapper that says what its page has: "has-sidebar", "no-sidebar", "comment-open".
+_STATE = re.compile(r"(?:has|no|not|with|without|is)[^a-z0-9].*|.*[^a-z0-9](?:open|opened|closed|on|off|enabled|disabled|none)")
+#: Characters from which on the text of a named block can be a whole page's text.
+LEAST = 200
+
+# Where HTML implies the end of an open element.
+_ENDS_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section summary table ul li dd dt".split())
+_CELLS = frozenset("td th".split())
+_ROWS = _CELLS | {"tr"}
+_SECTIONS = _ROWS | frozenset("thead tbody tfoot caption colgroup".split())
+#: Opening tag: the open elements that it ends, and the elements beyond which it doesn't look.
+_IMPLIED = {"li": ({"li"}, {"ul", "ol", "menu", "dir", "table"}), "dt": ({"dt", "dd"}, {"dl", "table"}), "dd": ({"dt", "dd"}, {"dl", "table"}),
+            "option": ({"option"}, {"select", "datalist"}), "optgroup": ({"option", "optgroup"}, {"select"}),
+            "td": (_CELLS, {"table"}), "th": (_CELLS, {"table"}), "tr": (_ROWS, {"table"}),
+            **{x: (_SECTIONS, {"table"}) for x in ("thead", "tbody", "tfoot")}, "body": ({"head"}, frozenset())}
+_IN_HEAD = RAW | frozenset("head base basefont bgsound link meta noscript template".split())
+_SCOPES = frozenset("td th caption table button object template html".split())
+
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)""", re.S)
 _ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))|(?<![\w-])(hidden)(?![\w-])""")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
 
 
-def _unwanted(attributes: str) -> bool:
+def _named(attributes: str) -> str:
+    """What the attributes say of an element: "dropped" if it is hidden, "remark" or "named" by its names, else "" ."""
+    found = ""
     if "=" not in attributes and "hidden" not in attributes:
-        return False
+        return found
     for m in _ATTRIBUTE.finditer(attributes):
         name, value = (m[1] or m[5]).lower(), (m[2] or m[3] or m[4] or "").lower()
-        if name in ("class", "id", "role") and not NAMED.isdisjoint(re.split(r"[^a-z0-9]+", value)):
-            return True
+        if name in ("class", "id", "role"):
+            words = {w for x in value.split() if not _STATE.fullmatch(x) for w in re.split(r"[^a-z0-9]+", x)}
+            if not REMARKS.isdisjoint(words):
+                found = "remark"
+            elif not found and not NAMED.isdisjoint(words):
+                found = "named"
         if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and _HIDDEN.search(value)):
-            return True
-    return False
+            return "dropped"
+    return found
+
+
+def _implied_end(stack: list[tuple[str, int]], opened: dict[str, int], name: str) -> int:
+    """Number of elements that stay open before a tag that opens ``name``; ``opened`` counts the open ones by name."""
+    keep = len(stack)
+    if name not in _IN_HEAD and stack and stack[-1][0] == "head":
+        keep -= 1
+    if name in _ENDS_P and opened.get("p"):
+        for i in range(keep - 1, -1, -1):
+            if stack[i][0] == "p":
+                keep = i
+                break
+            if stack[i][0] in _SCOPES:
+                break
+    ended, beyond = _IMPLIED.get(name, ((), ()))
+    for i in range(keep - 1, -1, -1) if any(opened.get(x) for x in ended) else ():
+        if stack[i][0] in beyond:
+            break
+        if stack[i][0] in ended:
+            keep = i
+    return keep
+
+
+def _end(stack: list[tuple[str, int]], opened: dict[str, int], name: str) -> int:
+    """Number of elements that stay open after the end tag of ``name``; one without an open element ends nothing."""
+    for i in range(len(stack) - 1, -1, -1) if opened.get(name) else ():
+        if stack[i][0] == name:
+            return i
+        if name not in BLOCKS and stack[i][0] in BLOCKS:
+            break
+        if stack[i][0] == "table" or (stack[i][0] in _SCOPES and name not in _SECTIONS and name != "table"):
+            break
+        if name == "li" and stack[i][0] in ("ul", "ol", "menu", "dir"):
+            break
+    return len(stack)
+
+
+def _wanted(regions: list[list], lines: list[tuple]) -> list[bool]:
+    """Which regions (kind, outer region, number of articles and of mains in it) stay, as they hold the article.
+
+    A region stays if the page's <main> or only <article> is in it, or, being a form or a block with a
+    telling name, if it holds most of the text: that in articles where the page has some outside of regions.
+    """
+    stays = [True] + [False] * (len(regions) - 1)
+    if len(regions) == 1:
+        return stays
+    in_article = any(line[1] and line[3] == 0 for line in lines)
+    chars = [0] * len(regions)
+    for text, article, _, region in lines:
+        if article or not in_article:
+            chars[region] += len(text)
+    for i in range(len(regions) - 1, 0, -1):  # an inner region counts for the one around it as well
+        kind, outer = regions[i][:2]
+        if kind in ("form", "named"):
+            chars[outer] += chars[i]
+    for i, (kind, outer, articles, mains) in enumerate(regions):
+        if i and stays[outer] and kind != "dropped":
+            most = 2 * chars[i] > chars[0]
+            stays[i] = mains > 0 or (kind in ("form", "named") and (
+                (articles == 1 == regions[0][2] and not in_article) or (most and (kind == "form" or articles > 0 or chars[i] >= LEAST))))
+    return stays
 
 
 def page_lines(source: str) -> list[tuple[str, bool]]:
     """(line, protected) of the article's lines: all lines in articles if the page has any, else all in the body.
 
-    Protected lines stand in an article and aren't mostly links.
+    Protected lines stand in an article and aren't mostly links. Elements end by their end tag, with the
+    element around them, or where HTML lets the end tag be left out.
     """
-    lines: list[tuple[str, bool, float]] = []
+    lines: list[tuple[str, bool, float, int]] = []
     parts: list[str] = []
     linked = 0  # characters of the open block inside links
-    dropped: list[str] = []  # open element that drops what is in it, and same-named ones inside
-    article = links = 0
+    stack: list[tuple[str, int]] = []  # open elements, and the region around each
+    regions: list[list] = [["", 0, 0, 0]]  # elements that may be left out: kind, outer region, articles and mains inside
+    opened: dict[str, int] = {}
+    region = article = links = 0
 
     def flush() -> None:
         nonlocal linked
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
-                lines.append((text, article > 0, linked / len(text)))
+                lines.append((text, article > 0, linked / len(text), region))
             parts.clear()
         linked = 0
 
+    def close(keep: int) -> None:
+        nonlocal region, article, links
+        if keep < len(stack) and stack[keep][1] != region:
+            flush()
+        while len(stack) > keep:
+            name, region = stack.pop()
+            opened[name] -= 1
+            article -= name in ("article", "main")
+            links -= name == "a"
+
+    def close_link() -> None:
+        """An open link ends alone, without the blocks in it."""
+        nonlocal links
+        i = max(i for i, x in enumerate(stack) if x[0] == "a")
+        if (stack[i + 1][1] if i + 1 < len(stack) else region) != stack[i][1] or not any(x in BLOCKS for x, _ in stack[i + 1:]):
+            close(i)
+        else:
+            stack[i] = ("", stack[i][1])
+            opened["a"] -= 1
+            opened[""] = opened.get("", 0) + 1
+            links -= 1
+
     at, n = 0, len(source)
     while at < n:
         m = _TAG.search(source, at)
         end = m.start() if m else n
-        if end > at and not dropped:
+        if end > at and regions[region][0] != "dropped":
             parts.append(source[at:end])
             if links:
                 linked += end - at
@@ -92,15 +207,6 @@ def page_lines(source: str) -> list[tuple[str, bool]]:
         if not name:
             continue
         closing, attributes = (m[1] or m[4]) == "/", m[3] or m[6] or ""
-        if dropped:
-            if name == dropped[0]:
-                if closing:
-                    dropped.pop()
-                elif name not in VOID:
-                    dropped.append(name)
-            elif not closing and name in RAW:
-                at = _raw_end(source, name, at)
-            continue
         if name in RAW:
             if not closing:
                 at = _raw_end(source, name, at)
@@ -109,23 +215,47 @@ def page_lines(source: str) -> list[tuple[str, bool]]:
             flush()
         elif name in BREAKS:
             parts.append(" ")
+        if name == "a" and links:
+            close_link()
         if closing:
-            if name in ("article", "main"):
-                article = max(0, article - 1)
-            elif name == "a":
-                links = max(0, links - 1)
+            close(_end(stack, opened, name))
+            continue
+        close(_implied_end(stack, opened, name))
+        if name in VOID:
             continue
-        if name not in VOID and (name in DROPPED or (name == "header" and not article) or _unwanted(attributes)) and name not in ("body", "html"):
+        kind = ""
+        if regions[region][0] != "dropped" and name not in ("body", "html", "head"):
+            kind = "dropped" if name in DROPPED else _named(attributes)
+            if kind != "dropped":
+                if name == "main":
+                    kind = ""
+                elif name in ASIDES or (name == "header" and not article):
+                    kind = "aside"
+                elif name == "form" and kind != "remark":
+                    kind = "form"
+        stack.append((name, region))
+        opened[name] = opened.get(name, 0) + 1
+        if kind:
             flush()
-            dropped.append(name)
-        elif name in ("article", "main"):
+            regions.append([kind, region, 0, 0])
+            region = len(regions) - 1
+        if name in ("article", "main"):
             article += 1
+            if kind != "remark":
+                i = region
+                while True:
+                    regions[i][2 if name == "article" else 3] += 1
+                    if i == 0:
+                        break
+                    i = regions[i][1]
         elif name == "a":
             links += 1
     flush()
-    if any(inside for _, inside, _ in lines):
+    stays = _wanted(regions, lines)
+    lines = [x for x in lines if stays[x[3]]]
+    if any(inside for _, inside, _, _ in lines):
         lines = [x for x in lines if x[1]]
-    return [(text, inside and share <= 0.5) for text, inside, share in lines]
+    return [(text, inside and share <= 0.5) for text, inside, share, _ in lines]
 
 
 def _raw_end(source: str, name: str, at: int) -> int:

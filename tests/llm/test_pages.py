@@ -60,3 +60,28 @@ def test_shared_lines_go_within_a_host(spark, monkeypatch):
         assert got[102].text == "" and got[None].text == ""
         assert got[103].text == got[104].text == "quoted"
     assert pages.extract_text(df.limit(0)).collect() == []
+
+
+def test_elements_end_where_html_implies_it():
+    assert text("<html><head><meta charset=utf-8><title>T</title><body><p>kept") == "kept"
+    assert text("<head><title>T</title><p>kept") == "kept"
+    assert text("<p class=notice>Buy<p>kept<div>too</div>") == "kept\n\ntoo"
+    assert text("<ul><li class=ad>Buy<li>kept</ul><p>too") == "kept\n\ntoo"
+    assert text("<div><p class=notice>Buy</div>kept") == "kept" and text("<div><span class=ad>Buy</div>kept") == "kept"
+    assert text("<table><tr><td class=menu>Home<td>kept<tr><td>too</table><p>last") == "kept\n\ntoo\n\nlast"
+    assert text("<dl><dt class=ad>Buy<dd>kept</dl>") == "kept"
+    assert pages.page_lines("<article><a href=x><p>One</a><p>two</article>") == [("One", False), ("two", True)]
+    assert text("<b>" * 50_000 + "<div>x</div>" * 50_000).startswith("x")
+    assert text("<ul class=menu><li>a<table><tr><td>b</ul></table></ul><p>kept") == "kept"
+
+
+def test_wrappers_of_the_article_stay():
+    for wrapper in ("form", "div class='content widget'", "div class='post has-sidebar'", "div id=no-sidebar", "div class='content comment-open'"):
+        assert text(f"<body><{wrapper}><article><h1>Head</h1><p>Body</article></{wrapper.split()[0]}>") == "Head\n\nBody", wrapper
+    for wrapper in ("article class='post has-sidebar'", "main class='no-sidebar'", "article class='content comment-open'"):
+        assert text(f"<{wrapper}><p>Body</p></{wrapper.split()[0]}>") == "Body", wrapper
+    assert text("<body><form action=x><p>Body</p><select><option>a</select><div class=ad>buy</div></form><nav>n</nav>") == "Body"
+    long = "word " * 60
+    assert text(f"<div class='content social'><p>{long}</p><div class=comments>{long * 9}</div></div><div>About</div>") == f"{long.strip()}\n\nAbout"
+    assert text(f"<article><p>Body</p></article><div class=comments><article>{long}</article></div><aside><article>{long}</article></aside>") == "Body"
+    assert text(f"<div><p>{long}{long}</p></div><div class=related><article>a</article><article>b</article></div>") == (long + long).strip()
