@@ -1,13 +1,13 @@
 """Main text of web pages by nearest-URL page differencing.
 
 A page is cut into lines, one for each block element. Each page is paired with the page of the same
-host whose URL path is nearest in path order, the two pages' lines are aligned by longest common
-subsequence, and shared lines are deleted as the site's template.
+host whose URL path is nearest in the order of path segments and whose content is another, the two
+pages' lines are aligned by longest common subsequence, and shared lines are deleted as the site's
+template. Copies (equal or nearly equal pages) tell nothing of the template and are passed over.
 
-Sharing alone can't tell a template from an article that a site shows twice, or from a passage that
-two articles quote. So what markup says outright goes first: lines of navigation, headers, footers,
-asides, forms, scripts, hidden parts and of blocks named as adverts, notices or comments are dropped,
-and shared lines inside an <article> or <main> are deleted only where they are mostly links.
+What markup says outright goes first: lines of navigation, headers, footers, asides, forms, scripts,
+hidden parts and of blocks named as adverts, notices or comments. Inside an <article> or <main> shared
+lines go only if they are mostly links.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ import html
 import re
 from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import groupby
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -148,9 +149,15 @@ def _wanted(regions: list[list], lines: list[tuple]) -> list[bool]:
 
 
 def page_lines(source: str) -> list[tuple[str, bool]]:
-    """(line, protected) of the article's lines: all lines in articles if the page has any, else all in the body.
+    """(line, protected) of the article's lines; protected lines stand in an article and aren't mostly links."""
+    lines, inside = body_lines(source)
+    return [(text, inside and not link) for text, link in lines]
 
-    Protected lines stand in an article and aren't mostly links. Elements end by their end tag, with the
+
+def body_lines(source: str) -> tuple[list[tuple[str, bool]], bool]:
+    """(line, whether it is mostly links) of all lines in articles if the page has any, else in the body; and if it has any.
+
+    Elements end by their end tag, with the
     element around them, or where HTML lets the end tag be left out.
     """
     lines: list[tuple[str, bool, float, int]] = []
@@ -253,9 +260,8 @@ def page_lines(source: str) -> list[tuple[str, bool]]:
     flush()
     stays = _wanted(regions, lines)
     lines = [x for x in lines if stays[x[3]]]
-    if any(inside for _, inside, _, _ in lines):
-        lines = [x for x in lines if x[1]]
-    return [(text, inside and share <= 0.5) for text, inside, share, _ in lines]
+    inside = any(x[1] for x in lines)
+    return [(text, share > 0.5) for text, article, share, _ in lines if article or not inside], inside
 
 
 def _raw_end(source: str, name: str, at: int) -> int:
@@ -309,72 +315,151 @@ def _prefix(a: str, b: str) -> int:
 def _parsed(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFrame:
     schema = T.StructType([T.StructField("id", pages.schema[id_col].dataType), T.StructField("url", pages.schema[url_col].dataType), T.StructField("uid", T.LongType()),
                            T.StructField("host", T.StringType()), T.StructField("path", T.StringType()), T.StructField("lines", T.ArrayType(T.StringType())),
-                           T.StructField("protected", T.ArrayType(T.BooleanType()))])
+                           T.StructField("weights", T.ArrayType(T.IntegerType())), T.StructField("inside", T.BooleanType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         uid = TaskContext.get().partitionId() << 33
         for whole in batches:
             for first in range(0, whole.num_rows, 500):
                 batch = whole.slice(first, 500)
-                found = [page_lines(x.as_py() or "") for x in batch.column(2)]
+                found = [body_lines(x.as_py() or "") for x in batch.column(2)]
                 keys = [url_key(u) for u in batch.column(1).to_pylist()]
                 n = batch.num_rows
                 yield pa.RecordBatch.from_arrays([
                     batch.column(0), batch.column(1), pa.array(range(uid, uid + n), pa.int64()), pa.array([k[0] for k in keys], pa.string()),
-                    pa.array([k[1] for k in keys], pa.string()), pa.array([[x for x, _ in p] for p in found], pa.list_(pa.string())),
-                    pa.array([[x for _, x in p] for p in found], pa.list_(pa.bool_()))], names=schema.fieldNames())
+                    pa.array([k[1] for k in keys], pa.string()), pa.array([[x for x, _ in p] for p, _ in found], pa.list_(pa.string())),
+                    pa.array([[0 if link else len(x) for x, link in p] for p, _ in found], pa.list_(pa.int32())),
+                    pa.array([x for _, x in found], pa.bool_())], names=schema.fieldNames())
                 uid += n
 
     return map_arrow(pages.select(id_col, url_col, html_col), run, schema)
 
 
+def _alike(a: dict, b: dict) -> bool:
+    """Whether two pages are copies: they share at least 9/10 of the characters of their lines that aren't mostly links."""
+    left: dict = {}
+    for h, w in zip(a["hashes"], a["weights"]):
+        left[h] = left.get(h, 0) + w
+    shared = 0
+    for h, w in zip(b["hashes"], b["weights"]):
+        common = min(w, left.get(h, 0))
+        left[h] = left.get(h, 0) - common
+        shared += common
+    return 20 * shared >= 9 * (sum(a["weights"]) + sum(b["weights"]))
+
+
 def _shared_lines(parsed: DataFrame) -> DataFrame:
-    """(uid, deleted): places of the unprotected lines that a page shares with its nearest page, for pages that have any.
+    """(uid, deleted): places of the lines that a page shares with its nearest page of other content, for pages that lose any.
 
-    Pages are ranged by host and path, so that a large host is spread over many tasks; each task also
-    gets the last page before and the first page after its range. Only hashes of lines move.
+    Pages are ranged by host and path segments, so that a large host is spread over many tasks. Pages in
+    a row that are copies form a run; each page is compared with the last page before its run and
+    the first after it. A run may go over several ranges: the driver carries the two pages at each edge
+    of a range from range to range, four pages for each task. Only hashes and lengths of lines move.
     """
     parts = shuffle_partitions(parsed.sparkSession)
-    keys = parsed.where("host is not null").select("host", "path", "uid", F.transform("lines", lambda x: F.xxhash64(x)).alias("hashes"), "protected")
-    order = ["host", "path", "uid"]
-    ranged = materialize(keys.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("range", F.spark_partition_id()), "ranged")
-    ranges = sorted(r["range"] for r in ranged.select("range").distinct().collect())  # one number for each task
-    if not ranges:
-        return parsed.limit(0).select("uid", F.array().cast("array<int>").alias("deleted"))
-    number = F.create_map(*[F.lit(x) for i, r in enumerate(ranges) for x in (r, i)])[F.col("range")]
+    order = ["host", "sort", "uid"]
+    keys = parsed.where("host is not null and size(lines) > 0").select(
+        "host", F.translate("path", "/", "\x01").alias("sort"), "path", "uid", F.transform("lines", lambda x: F.xxhash64(x)).alias("hashes"), "weights", "inside")
+    schema = T.StructType([*keys.schema, T.StructField("range", T.IntegerType()), T.StructField("starts", T.BooleanType()), T.StructField("previous", T.LongType())])
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, last = TaskContext.get().partitionId(), None
+        for batch in batches:
+            starts, previous = [], []
+            for page in batch.to_pylist():
+                same = last is not None and last["host"] == page["host"]
+                starts.append(last is not None and not (same and _alike(last, page)))
+                previous.append(last["uid"] if same else None)
+                last = page
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([number] * len(starts), pa.int32()), pa.array(starts, pa.bool_()), pa.array(previous, pa.int64())],
+                                             names=schema.fieldNames())
+
+    ranged = materialize(map_arrow(keys.repartitionByRange(parts, *order).sortWithinPartitions(*order), mark, schema), "ranged")
     place = F.struct(*order)
-    edges = ranged.groupBy("range").agg(F.min(place).alias("first"), F.max(place).alias("last"))
-    at_edge = ranged.join(F.broadcast(edges), "range")
-    numbered = ranged.withColumn("target", number).withColumn("halo", F.lit(False))
-    before = at_edge.where(place == F.col("last")).withColumn("target", number + 1).withColumn("halo", F.lit(True))
-    after = at_edge.where(place == F.col("first")).withColumn("target", number - 1).withColumn("halo", F.lit(True))
-    columns = ["target", *order, "hashes", "protected", "halo"]
-    rows = numbered.select(columns).unionByName(before.select(columns)).unionByName(after.select(columns))
+    breaks = F.when(F.col("starts"), F.struct(*order, "previous"))
+    edges = ranged.groupBy("range").agg(F.min(place)["uid"].alias("first"), F.max(place)["uid"].alias("last"), F.min(breaks).alias("early"), F.max(breaks).alias("late"))
+    found = sorted(edges.collect(), key=lambda r: r["range"])  # one row for each task
+    wanted = {u for r in found for u in (r["first"], r["last"], r["early"] and r["early"]["uid"], r["late"] and r["late"]["previous"]) if u is not None}
+    at_edge = {r["uid"]: r.asDict() for r in ranged.where(F.col("uid").isin(list(wanted))).select("host", "path", "uid", "hashes", "weights", "inside").collect()} if wanted else {}
+
+    def carried(rows: list, near: str, far: str, beyond: list) -> dict:
+        """For each range the nearest page before it and the last one before that page's run, going through ``rows`` in order."""
+        out, last, other = {}, None, None
+        for r, own in zip(rows, beyond):
+            out[r["range"]] = (last, other)
+            if r["early"] is None:  # the range is within one run
+                other = _outside(at_edge[r[near]], last, other)
+            else:
+                other = at_edge.get(own)
+            last = at_edge[r[far]]
+        return out
+
+    before = carried(found, "first", "last", [r["late"] and r["late"]["previous"] for r in found])
+    behind = found[::-1]
+    after = carried(behind, "last", "first", [r["early"] and r["early"]["uid"] if r["early"] and r["early"]["previous"] is not None else None for r in behind])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        previous = current = None
-        for batch in batches:
-            out = []
-            for following in batch.to_pylist():
-                out += _deleted(previous, current, following)
-                previous, current = current, following
-            yield _deletions(out)
-        yield _deletions(_deleted(previous, current, None))
-
-    placed = rows.repartition(parts, "target").sortWithinPartitions("target", *order)
+        out: list[tuple[int, list[int]]] = []
+        rows = (page for batch in batches for page in batch.to_pylist())
+        for number, pages in groupby(rows, key=lambda page: page["range"]):
+            for page in _range_deletions(pages, *before[number], *after[number]):
+                out.append(page)
+                if len(out) == 500:
+                    yield _deletions(out)
+                    out = []
+        yield _deletions(out)
+
+    placed = ranged.repartition(parts, "range").sortWithinPartitions("range", *order)
     return map_arrow(placed, run, "uid long, deleted array<int>")
 
 
-def _deleted(previous: dict | None, page: dict | None, following: dict | None) -> list[tuple[int, list[int]]]:
-    """The unprotected lines that ``page`` shares with the neighbour of its host that has more leading path segments in common."""
-    if page is None or page["halo"]:
-        return []
-    near = [x for x in (previous, following) if x and (x["target"], x["host"]) == (page["target"], page["host"])]
+def _outside(page: dict, neighbour: dict | None, other: dict | None) -> dict | None:
+    """The first page beyond the run of ``page``, if ``neighbour`` stands next to it and ``other`` beyond the neighbour's run."""
+    if neighbour is None or neighbour["host"] != page["host"]:
+        return None
+    return other if _alike(neighbour, page) else neighbour
+
+
+def _range_deletions(pages: Iterator[dict], last: dict | None, other: dict | None, following: dict | None, beyond: dict | None) -> Iterator[tuple[int, list[int]]]:
+    """Deletions of a range's pages, given the pages before it (``last``, ``other``) and after it."""
+
+    def ended(run: list[dict], before: dict | None, after: dict | None, copies: list[dict]) -> Iterator[tuple[int, list[int]]]:
+        for i, page in enumerate(run):
+            copy = run[i - 1] if i else run[i + 1] if i + 1 < len(run) else copies[0] if copies else None
+            places = _deleted(page, before, after, copy)
+            if places:
+                yield page["uid"], places
+
+    run: list[dict] = []
+    before, copies = None, []
+    for page in pages:
+        if run and page["starts"]:
+            same = page["host"] == run[-1]["host"]
+            yield from ended(run, before, page if same else None, copies)
+            before, copies, run = run[-1] if same else None, [], [page]
+        else:
+            if not run:
+                before = _outside(page, last, other)
+                copies = [last] if last and last["host"] == page["host"] and before is not last else []
+            run.append(page)
+    if run:
+        after = _outside(run[-1], following, beyond)
+        copies += [following] if following and following["host"] == run[-1]["host"] and after is not following else []
+        yield from ended(run, before, after, copies)
+
+
+def _deleted(page: dict, before: dict | None, after: dict | None, copy: dict | None) -> list[int]:
+    """The lines that ``page`` shares with the one of its neighbours that has more leading path segments in common.
+
+    In an article only lines that are mostly links go. A copy shows nothing but which lines of links in an article come again.
+    """
+    near = [x for x in (before, after) if x is not None and not _alike(page, x)]
     if not near:
-        return []
-    nearest = max(near, key=lambda x: _prefix(x["path"], page["path"]))
-    places = [i for i in common_lines(page["hashes"], nearest["hashes"]) if not page["protected"][i]]
-    return [(page["uid"], places)] if places else []
+        return [i for i in common_lines(page["hashes"], copy["hashes"]) if not page["weights"][i]] if copy and page["inside"] else []
+    places = common_lines(page["hashes"], max(near, key=lambda x: _prefix(x["path"], page["path"]))["hashes"])
+    if page["inside"]:
+        return [i for i in places if not page["weights"][i]]
+    return places
 
 
 def _deletions(rows: list[tuple[int, list[int]]]) -> pa.RecordBatch:

@@ -85,3 +85,28 @@ def test_wrappers_of_the_article_stay():
     assert text(f"<div class='content social'><p>{long}</p><div class=comments>{long * 9}</div></div><div>About</div>") == f"{long.strip()}\n\nAbout"
     assert text(f"<article><p>Body</p></article><div class=comments><article>{long}</article></div><aside><article>{long}</article></aside>") == "Body"
     assert text(f"<div><p>{long}{long}</p></div><div class=related><article>a</article><article>b</article></div>") == (long + long).strip()
+
+
+def extracted(spark, rows):
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    return {r.page_id: r.text for r in pages.extract_text(df).collect()}
+
+
+def test_copies_are_no_template(spark, monkeypatch):
+    body = {i: [f"line {i} {k} of a text" for k in range(4)] for i in range(6)}
+    rows = [(10 * i + c, f"http://c.x/a/{i}?v={c}", page(body[i], i)) for i in range(6) for c in range(1 + 7 * (i % 2))]
+    rows += [(1000 + c, f"http://same.x/p?v={c}", page(["only page"], 0)) for c in range(3)]
+    for shuffles in (1, 4, 30):  # runs of copies within a range and over several
+        monkeypatch.setattr(pages, "shuffle_partitions", lambda _, n=shuffles: n)
+        got = extracted(spark, rows)
+        for i in range(6):
+            for c in range(1 + 7 * (i % 2)):
+                assert got[10 * i + c] == "\n\n".join([*body[i], f"page {i}"]), (i, c)
+        assert all(got[1000 + c] == "Site name\n\nonly page\n\nAbout us\n\npage 0" for c in range(3))
+
+
+def test_nearest_path_by_segments(spark):
+    def plain(top, line):
+        return f"<div>{top}</div><p>{line}</p>"
+    got = extracted(spark, [(1, "http://s.x/a", plain("Top A", "first text")), (2, "http://s.x/a-b", plain("Top B", "second text")), (3, "http://s.x/a/x", plain("Top A", "third text"))])
+    assert got == {1: "first text", 2: "Top B\n\nsecond text", 3: "third text"}
