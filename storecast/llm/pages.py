@@ -7,7 +7,7 @@ template. Copies (equal or nearly equal pages) tell nothing of the template and
 
 What markup says outright goes first: lines of navigation, headers, footers, asides, forms, scripts,
 hidden parts and of blocks named as adverts, notices or comments. Inside an <article> or <main> shared
-lines go only if they are mostly links.
+lines go if they are mostly links, or if the rest of the article, at least half of it, differs.
 """
 
 from __future__ import annotations
@@ -451,13 +451,14 @@ def _range_deletions(pages: Iterator[dict], last: dict | None, other: dict | Non
 def _deleted(page: dict, before: dict | None, after: dict | None, copy: dict | None) -> list[int]:
     """The lines that ``page`` shares with the one of its neighbours that has more leading path segments in common.
 
-    In an article only lines that are mostly links go. A copy shows nothing but which lines of links in an article come again.
+    In an article, lines that aren't mostly links are the template's only if they are at most half of
+    the article. A copy shows nothing but which lines of links in an article come again.
     """
     near = [x for x in (before, after) if x is not None and not _alike(page, x)]
     if not near:
         return [i for i in common_lines(page["hashes"], copy["hashes"]) if not page["weights"][i]] if copy and page["inside"] else []
     places = common_lines(page["hashes"], max(near, key=lambda x: _prefix(x["path"], page["path"]))["hashes"])
-    if page["inside"]:
+    if page["inside"] and 2 * sum(page["weights"][i] for i in places) > sum(page["weights"]):
         return [i for i in places if not page["weights"][i]]
     return places
 

@@ -92,6 +92,18 @@ def extracted(spark, rows):
     return {r.page_id: r.text for r in pages.extract_text(df).collect()}
 
 
+def test_the_difference_decides_inside_articles(spark):
+    def article(*lines):
+        return "<article>" + "".join(f"<p>{x}</p>" for x in lines) + "</article>"
+    body = {i: [f"story {i} tells of things number {k} at length" for k in range(3)] for i in range(4)}
+    got = extracted(spark, [*((i, f"http://n.x/{i}", article("Sign up now", *body[i], "Share this story")) for i in range(4)),
+                            (10, "http://q.x/1", article("one", "a long passage that both articles show, nearly whole")),
+                            (11, "http://q.x/2", article("two", "a long passage that both articles show, nearly whole"))])
+    assert {i: got[i] for i in range(4)} == {i: "\n\n".join(body[i]) for i in range(4)}
+    assert got[10].startswith("one\n\na long") or got[10].startswith("a long")
+    assert "a long passage" in got[11]
+
+
 def test_copies_are_no_template(spark, monkeypatch):
     body = {i: [f"line {i} {k} of a text" for k in range(4)] for i in range(6)}
     rows = [(10 * i + c, f"http://c.x/a/{i}?v={c}", page(body[i], i)) for i in range(6) for c in range(1 + 7 * (i % 2))]
