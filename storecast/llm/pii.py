@@ -30,7 +30,13 @@ _NUMBERS = re.compile(r"[0-9]")
 _DOTTED = re.compile(r"[0-9]\.[0-9]")
 _LONG = re.compile(r"[0-9][\x20-]?[0-9][\x20-]?[0-9][\x20-]?[0-9][\x20-]?[0-9]")
 
-_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
+_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?=(?:\x20?[A-Z0-9]{4}){2})")
+# Characters of an IBAN by country (ISO 13616 registry).
+IBAN_LENGTHS = {country: n for n, countries in {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM",
+    28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU"}.items() for country in countries.split()}
+_REST = {n: re.compile(r"(?:\x20?[A-Z0-9]{4}){%d}%s(?![A-Za-z0-9])" % ((n - 4) // 4, r"\x20?[A-Z0-9]{%d}" % (n % 4) if n % 4 else "")) for n in range(12, 36)}
 _GROUPED_CARD = re.compile(r"(?<![0-9])[0-9]{4}(?P<s>[\x20-])[0-9]{4}(?P=s)[0-9]{4}(?P=s)[0-9]{4}(?![0-9])")
 _LOCAL_PHONE = re.compile(r"(?<![\w+.,/-])\(?0[0-9][\x20()/0-9-]{6,16}[0-9](?![\w-])")
 _SSN = re.compile(r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])")
@@ -100,6 +106,21 @@ def base_spans(text: str) -> list[Span]:
     return sorted(out, key=lambda s: (s[1], ORDER[s[0]]))
 
 
+def _ibans(text: str) -> Iterator[Span]:
+    """Confirmed IBANs of their country's length, or of the longest that is confirmed if the country isn't listed."""
+    upto = 0
+    for head in _IBAN.finditer(text):
+        if head.start() < upto:
+            continue
+        known = IBAN_LENGTHS.get(head[0][:2])
+        for n in (known,) if known else sorted(_REST, reverse=True):
+            m = _REST[n].match(text, head.end())
+            if m and mod97(text[head.start():m.end()]):
+                upto = m.end()
+                yield "iban", head.start(), upto
+                break
+
+
 def _context(text: str, kind: str, start: int, end: int) -> float:
     near = text[max(0, start - CONTEXT):start].lower() + " " + text[end:end + CONTEXT].lower()
     return CONTEXT_BONUS if kind in _WORDS and _WORDS[kind].search(near) else 0.0
@@ -110,7 +131,7 @@ def scored_spans(text: str) -> tuple[list[Span], list[tuple[Span, float]]]:
     base = base_spans(text)
     scored = [(s, min(1.0, BASE_SCORES[s[0]] + _context(text, *s))) for s in base]
     if _LONG.search(text):
-        proposed = [("iban", *m.span()) for m in _IBAN.finditer(text) if mod97(m[0])]
+        proposed = list(_ibans(text))
         proposed += [("card", *m.span()) for m in _GROUPED_CARD.finditer(text) if luhn(_digits(m[0]))]
         proposed += [("phone", *m.span()) for m in _LOCAL_PHONE.finditer(text) if 9 <= len(_digits(m[0])) <= 13]
         proposed += [("ssn", *m.span()) for m in _SSN.finditer(text)]

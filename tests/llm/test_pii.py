@@ -53,3 +53,13 @@ def test_frame_edge_cases(spark):
     assert pii.find_pii(docs.limit(0)).collect() == []
     out = pii.redact_documents(spark.createDataFrame([(1, "to a@b.cd", 9), (2, None, None)], "doc_id long, text string, n_chars long"))
     assert sorted(map(tuple, out.collect())) == [(1, "to <EMAIL>", 10), (2, None, None)]
+
+
+def test_ibans_end_before_the_next_word():
+    for iban in ("ES9121000418450200051332", "ES91 2100 0418 4502 0005 1332", "AT61 1904 3002 3457 3201", "BE68539007547034", "NO9386011117947",
+                 "DE89 3704 0044 0532 0130 00", "FR1420041010050500013M02606", "MT84MALT011000012345MTLCAST001S"):
+        for after in ("", " BIC", " BIC CAIXESBB", " EUR 50", " 50", " 2024 was", "."):
+            assert ("iban", 5, 5 + len(iban)) in [s for s, _ in pii.scored_spans(f"iban {iban}{after}")[1]], (iban, after)
+    assert pii.redact("to AB12 3456 7890 ES91 2100 0418 4502 0005 1332 EUR") == "to AB12 3456 7890 <IBAN> EUR"
+    assert pii.redact("DE88 3704 0044 0532 0130 00 EUR") == "DE88 3704 0044 0532 0130 00 EUR"
+    assert pii.redact("AB12 3456 " * 20_000).startswith("AB12 3456 AB12")
