@@ -12,7 +12,7 @@ import random
 from typing import Sequence
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.feature import SQLTransformer, VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -56,6 +56,12 @@ class RidgeModel:
     def transform(self, df: DataFrame) -> DataFrame:
         return df.withColumn("prediction", self.prediction())
 
+    def pipeline(self) -> PipelineModel:
+        """The same model as a pipeline that can be saved."""
+        terms = [f"{float(b)!r}D * (CAST(`{f}` AS DOUBLE) - {float(m)!r}D) / {float(s)!r}D"
+                 for f, m, s, b in zip(self.feats, self.mean, self.std, self.beta)]
+        return PipelineModel([SQLTransformer(statement=f"SELECT *, {' + '.join([f'{float(self.y_mean)!r}D', *terms])} AS prediction FROM __THIS__")])
+
 
 def gram_blocks(df: DataFrame, feats: Sequence[str], block: str | None = None) -> list[dict]:
     """Shifted first and second moments of (features, label) per block, in two aggregates.
@@ -109,10 +115,10 @@ def fit_ridge(train: DataFrame, feats: Sequence[str], alpha: float) -> RidgeMode
 
 
 def fit_forest(train: DataFrame, feats: Sequence[str], trees: int = 200, depth: int = 18,
-               min_instances: int = 1, seed: int = 42, max_bins: int = 64) -> PipelineModel:
+               min_instances: int = 1, max_features: str = "all", seed: int = 42, max_bins: int = 64) -> PipelineModel:
     """I3 — random forest using all features per split (the reference library's default)."""
     rf = RandomForestRegressor(featuresCol="features", labelCol=LABEL, numTrees=trees, maxDepth=depth,
-                               featureSubsetStrategy="all", minInstancesPerNode=min_instances, seed=seed,
+                               featureSubsetStrategy=max_features, minInstancesPerNode=min_instances, seed=seed,
                                maxBins=max_bins)
     return Pipeline(stages=[_assembler(feats), rf]).fit(train)
 

@@ -147,7 +147,7 @@ def k11_cluster_stability(spark, sf_dir):
     for name, cond in (("early", F.unix_date("week") <= mid), ("late", F.unix_date("week") > mid)):
         part = p.where(cond)
         v = fe.standardize(H.entity_vectors(part), COLS).fillna(0.0, subset=COLS)
-        lab, _ = H.kmeans(v, COLS, 3, seed=42, n_init=2)
+        lab, _ = H.kmeans(v, COLS, 3, seed=42, n_init=30)
         halves.append(lab.select("store", F.col("cluster").alias(name)))
     return halves[0].join(halves[1], "store").groupBy("early", "late").agg(F.count(F.lit(1)).alias("stores"))
 

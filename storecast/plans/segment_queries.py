@@ -103,16 +103,16 @@ def h12_cluster_summary_by_size_band(spark, sf_dir):
 
 @register("h2_k_search")
 def h2_k_search(spark, sf_dir):
-    """Inertia + silhouette for k = 2..8 over standardised store vectors (KMeans, 4 restarts)."""
-    return H.k_search(std_vectors(spark, sf_dir), COLS, range(2, 9), seed=42, n_init=4)
+    """Inertia + silhouette for k = 2..8 over standardised store vectors (KMeans, 20 restarts)."""
+    return H.k_search(std_vectors(spark, sf_dir), COLS, range(2, 9), seed=42, n_init=20)
 
 
 @register("h3_kmeans_labels")
 def h3_kmeans_labels(spark, sf_dir):
     """KMeans labels at the best k of the search, with that k and its two scores."""
     z = _materialized(std_vectors(spark, sf_dir))
-    best = H.k_search(z, COLS, range(2, 9), seed=42, n_init=4).where("best").first()
-    lab, _ = H.kmeans(z, COLS, best["k"], seed=42, n_init=4)
+    best = H.k_search(z, COLS, range(2, 9), seed=42, n_init=20).where("best").first()
+    lab, _ = H.kmeans(z, COLS, best["k"], seed=42, n_init=30)
     lab = _materialized(lab)
     dbi = H.davies_bouldin(lab, COLS, "cluster").first()[0]
     return lab.select("store", "type", "cluster", F.lit(best["k"]).alias("k"), F.lit(best["silhouette"]).alias("silhouette"),
