@@ -11,9 +11,10 @@ from storecast.operators import forecast as fc
 from storecast.operators import models as M
 from storecast.operators import planning as K
 from storecast.operators import segment as H
+from storecast.plans.anomaly_queries import g5_stl_anomalies
 from storecast.plans.explore_queries import panel, q
 from storecast.plans.registry import register
-from storecast.plans.segment_queries import _H1, COLS, store_vectors
+from storecast.plans.segment_queries import _H1, COLS, h3_kmeans_labels, store_vectors
 from storecast.sources import panel as P
 
 
@@ -154,22 +155,24 @@ def k11_cluster_stability(spark, sf_dir):
 
 @register("k15_per_cluster_models")
 def k15_per_cluster_models(spark, sf_dir):
-    """One linear model per store type, scored per type on the test split."""
-    df = M.model_frame(panel(spark, sf_dir)).cache()
+    """One linear model per KMeans cluster of stores (H3), scored per cluster on the test split."""
+    labels = h3_kmeans_labels(spark, sf_dir).select("store", "cluster")
+    df = M.model_frame(panel(spark, sf_dir)).join(labels, "store").cache()
     train, test = fe.temporal_split(df)
     preds = []
-    for t in ("A", "B", "C"):
-        tr, te = train.where(F.col("type") == t), test.where(F.col("type") == t)
-        preds.append(M.predict(M.fit_linear(tr, fe.FORECAST_FEATURES), te, f"linear_type_{t}"))
+    for c in sorted(r["cluster"] for r in train.select("cluster").distinct().collect()):  # one row per cluster
+        tr, te = train.where(F.col("cluster") == c), test.where(F.col("cluster") == c)
+        preds.append(M.predict(M.fit_linear(tr, fe.FORECAST_FEATURES), te, f"linear_cluster_{c}"))
     return fc.leaderboard(preds)
 
 
 @register("k16_k17_fallback_and_weights")
 def k16_k17_fallback_and_weights(spark, sf_dir):
-    """Lag-only fallback when exogenous inputs are missing, and a fit with flagged weeks down-weighted."""
+    """Lag-only fallback when exogenous inputs are missing, and a fit with the weeks that STL flags (G5) down-weighted."""
     from pyspark.ml.regression import LinearRegression
-    df = M.model_frame(panel(spark, sf_dir))
-    df = fe.iqr_flags(df)
+    keys = ["store", "dept", "week"]
+    flags = g5_stl_anomalies(spark, sf_dir).select(*keys, "stl_anomaly")
+    df = M.model_frame(panel(spark, sf_dir)).join(flags, keys, "left").fillna(0, subset=["stl_anomaly"])
     train, test = fe.temporal_split(df.cache())
     lag_feats = ["lag_1", "lag_4", "lag_52", "roll_4", "roll_12"]
     full = M.fit_linear(train, fe.FORECAST_FEATURES)
@@ -181,7 +184,7 @@ def k16_k17_fallback_and_weights(spark, sf_dir):
     a = a.withColumn("prediction", F.when(F.isnan("prediction"), F.lit(None)).otherwise(F.col("prediction")))
     b = lag_only.transform(late).select("store", "dept", "week", F.col("prediction").alias("lag_pred"))
     comb = a.join(b, ["store", "dept", "week"]).withColumn("yhat", K.fallback_prediction(F.col("prediction"), F.col("lag_pred")))
-    weighted_train = K.sample_weights(train, "is_outlier_iqr", 0.2)
+    weighted_train = K.sample_weights(train, "stl_anomaly", 0.2)
     va = M._assembler(fe.FORECAST_FEATURES)
     wm = LinearRegression(featuresCol="features", labelCol="weekly_sales", weightCol="w").fit(va.transform(weighted_train))
     wp = wm.transform(va.transform(test))

@@ -5,8 +5,13 @@ import inspect
 import pytest
 
 import __spark_entry__  # noqa: F401  (registers every query)
+from pyspark.sql import functions as F
+
 from storecast.operators import models as M
+from storecast.operators import planning as K
 from storecast.operators import segment as H
+from storecast.plans import forecast_queries as FQ
+from storecast.plans import planning_queries as PQ
 from storecast.plans.registry import QUERIES
 from tests.conftest import SF001
 
@@ -60,3 +65,26 @@ def test_restarts(spark, fits):
     fits.clear()
     QUERIES["k11_cluster_stability"](spark, SF001)
     assert of(fits, "kmeans", "n_init") == [(30,)] * 2
+
+
+def test_a_model_for_each_cluster(spark, monkeypatch):
+    labels = PQ.store_vectors(spark, SF001).select("store", (F.col("store") % 4).alias("cluster"))
+    monkeypatch.setattr(PQ, "h3_kmeans_labels", lambda *_: labels)
+    _, test = FQ.frames(spark, SF001)
+    want = {f"linear_cluster_{r.c}": r.n for r in test.groupBy((F.col("store") % 4).alias("c")).agg(F.count("*").alias("n")).collect()}
+    assert {r.model: r.n for r in QUERIES["k15_per_cluster_models"](spark, SF001).collect()} == want and len(want) > 1
+
+
+def test_weights_come_from_the_stl_flag(spark, monkeypatch):
+    flags = FQ.panel(spark, SF001).select("store", "dept", "week", F.when(F.month("week") == 3, 1).otherwise(0).alias("stl_anomaly"))
+    monkeypatch.setattr(PQ, "g5_stl_anomalies", lambda *_: flags.where("store > 1"))
+    weights, real = [], K.sample_weights
+    monkeypatch.setattr(PQ.K, "sample_weights", lambda *a: weights.append(real(*a)) or weights[0])
+    assert QUERIES["k16_k17_fallback_and_weights"](spark, SF001).count() == 2
+    assert weights[0].where((F.col("w") < 1) != ((F.month("week") == 3) & (F.col("store") > 1))).count() == 0
+
+
+def test_the_report_holds_the_whole_leaderboard(spark, monkeypatch):
+    monkeypatch.setattr(FQ, "fitted_models", lambda train: {"linear": M.fit_linear(train, FQ.FEATS), "other": M.fit_linear(train, ["lag_52"])})
+    report = QUERIES["a5_a6_report_csv"](spark, SF001).where("report = 'leaderboard'").collect()
+    assert {r.key for r in report} == {"linear", "other", "seasonal_naive"}
