@@ -38,18 +38,29 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _bounded_batches(spark: SparkSession) -> None:
+    for key, value in (("spark.sql.execution.arrow.maxRecordsPerBatch", "1000"), ("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))):
+        if spark.conf.get(key, None) is None:
+            spark.conf.set(key, value)
+
+
 def map_arrow(df: DataFrame, run, schema) -> DataFrame:
     """``df.mapInArrow`` with batches of bounded size: some hundred rows, and 16 MB of long texts.
 
     The limits are session settings and are left alone where the user has set them.
     """
-    for key, value in (("spark.sql.execution.arrow.maxRecordsPerBatch", "1000"), ("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))):
-        if df.sparkSession.conf.get(key, None) is None:
-            df.sparkSession.conf.set(key, value)
+    _bounded_batches(df.sparkSession)
     ship_package(df.sparkSession)  # for workers that don't have the package
     return df.mapInArrow(run, schema)
 
 
+def map_pandas(df: DataFrame, run, schema) -> DataFrame:
+    """``df.mapInPandas`` with batches bounded as in ``map_arrow``."""
+    _bounded_batches(df.sparkSession)
+    ship_package(df.sparkSession)
+    return df.mapInPandas(run, schema)
+
+
 def fold(doc_id: Column, buckets: int) -> Column:
     """crc32 of the id as text, modulo ``buckets`` (null id: 0, so such rows are never learnt from)."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % F.lit(buckets), F.lit(0))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storecast.llm import chat, embeddings, lm, minhash, packing, pages, pieces, pii, quality, toxicity
+from storecast.llm import chat, decontaminate, embeddings, lm, minhash, packing, pages, pieces, pii, quality, repair, toxicity
 from storecast.llm.common import fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -100,3 +100,14 @@ def op6_snapshot_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_sentencepiece_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
     return pieces.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query("op11_conversation_repair")
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = repair.damaged(table(spark, sf_dir, "conversations"))
+    return repair.repair_conversations(turns, present=F.col("present"))
+
+
+@query("op12_positional_decontamination")
+def op12_positional_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), near=decontaminate.NEAR)
