@@ -93,7 +93,7 @@ def word_hashes(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.nda
         yield first, n, Hasher(data)(s, e), rows
 
 
-def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Index:
+def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> Index:
     """The positional index of all texts (null: no words), written to the shared folder.
 
     Every row is a text of its own, whatever its id; other columns are not read.
@@ -134,7 +134,7 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                      *[pa.nulls(n, pa.int64())] * 3, *[pa.nulls(n, pa.binary())] * 4], names=names)
                 n_rows, n_places = n_rows + n, n_places + len(found)
                 size += 9 * len(found) + n
-                if size >= BLOCK_BYTES:
+                if size >= block_bytes:
                     yield closed()
                     block, size, words, places, counts, n_rows, n_places = block + 1, 0, [], [], [], 0, 0
         if n_rows:
@@ -277,14 +277,14 @@ def _tightest(row: np.ndarray, item: np.ndarray, start: np.ndarray, words: np.nd
     return row[first], item[first], start[first], words[first]
 
 
-def item_pieces(items: DataFrame, size: int, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
+def item_pieces(items: DataFrame, size: int, id_col: str = "item_id", text_col: str = "text", most: int = PIECE_WORDS) -> DataFrame:
     """Word hashes of each item (id as a string, null: empty) in pieces that overlap by a window less a word."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, n, words, rows in word_hashes(batch.column(1)):
                 bounds = np.searchsorted(rows, np.arange(n + 1))
-                own = [(first + r, words[a:min(b, a + PIECE_WORDS + size - 1)]) for r in range(n) for b in (bounds[r + 1],)
-                       for a in range(bounds[r], max(bounds[r] + 1, b - size + 1), PIECE_WORDS) if b > bounds[r]]
+                own = [(first + r, words[a:min(b, a + most + size - 1)]) for r in range(n) for b in (bounds[r + 1],)
+                       for a in range(bounds[r], max(bounds[r] + 1, b - size + 1), most) if b > bounds[r]]
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([r for r, _ in own], pa.int64())), pa.array([w.tobytes() for _, w in own], pa.binary())],
                                                  names=["item", "words"])
 

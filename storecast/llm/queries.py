@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storecast.llm import chat, decontaminate, embeddings, lm, minhash, packing, pages, pieces, pii, quality, repair, toxicity
+from storecast.llm import alignment, chat, decontaminate, embeddings, lm, minhash, packing, pages, pieces, pii, quality, repair, toxicity
 from storecast.llm.common import fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -111,3 +111,9 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op12_positional_decontamination")
 def op12_positional_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), near=decontaminate.NEAR)
+
+
+@query("op13_asof_alignment")
+def op13_asof_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+    return alignment.align_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))

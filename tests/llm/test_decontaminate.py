@@ -69,13 +69,26 @@ def test_equals_a_plain_scan(spark, near):
     assert sum(r[5] for r in got) > 20
 
 
-def test_blocks_chunks_and_batches_do_not_matter(spark, monkeypatch):
+def test_blocks_and_chunks_do_not_matter(spark, monkeypatch):
     docs, items = made_up(8, n_docs=40, vocabulary=8)
-    for name, value in (("CHUNK_WORDS", 30), ("PIECE_WORDS", 7), ("BATCH", 16)):
-        monkeypatch.setattr(d, name, value)
+    build, pieces = d.build_index, d.item_pieces
+    monkeypatch.setattr(d, "build_index", lambda *a: build(*a, block_bytes=100))
+    monkeypatch.setattr(d, "item_pieces", lambda *a: pieces(*a, most=7))
+    monkeypatch.setattr(d, "CHUNK_WORDS", 60)
     assert found(spark, docs, items, near=11) == plain(docs, items, 11)
 
 
+def test_batches_do_not_matter(monkeypatch):
+    rng = np.random.default_rng(5)
+    code = rng.integers(0, 6, 400)
+    lists = d.Lists(np.arange(6, dtype=np.uint64), np.bincount(code, minlength=6).astype(np.uint32), np.argsort(code, kind="stable").astype(np.uint32), np.array([0, 150, 280], np.uint32))
+    windows = d.Windows(rng.integers(0, 7, (60, 3)).astype(np.uint64), np.arange(60))
+    whole = [d.exact(lists, windows), d.close(lists, windows, 6)]
+    monkeypatch.setattr(d, "BATCH", 16)
+    assert [[x.tolist() for x in found] for found in (d.exact(lists, windows), d.close(lists, windows, 6))] == [[x.tolist() for x in found] for found in whole]
+    assert len(whole[0][0]) and len(whole[1][0])
+
+
 def test_lists_of_a_block():
     hashes = np.array([5, 7, 5, 9], np.uint64)
     lists = d.Lists(np.array([5, 7, 9], np.uint64), np.array([2, 1, 1], np.uint32), np.array([0, 2, 1, 4], np.uint32), np.array([0, 4], np.uint32))
