@@ -1,24 +1,27 @@
-"""I1-I6, I10, I13, A7, A8 — forecasting models on Spark ML.
+"""I1-I6, I10, I13, A7, A8 — forecasting models.
 
-Training runs on Spark ML's distributed estimators; a model search is a
-driver loop over parameter draws (not over data), each draw fitted and
-scored by distributed jobs on expanding time folds (I11).
+Linear models are distributed aggregates; tree ensembles are grown in parallel
+tasks over a bounded sample (``trees``). All (draw, fold) pairs of a model
+search are fitted at once, on expanding time folds (I11).
 """
 
 from __future__ import annotations
 
 import json
 import random
+import uuid
 from typing import Sequence
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import SQLTransformer, VectorAssembler
-from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from storecast.operators import features as fe
 from storecast.operators import forecast as fc
+from storecast.operators import trees as tr
+from storecast.session import ensure_checkpoint_dir
 
 LABEL = "weekly_sales"
 
@@ -114,58 +117,51 @@ def fit_ridge(train: DataFrame, feats: Sequence[str], alpha: float) -> RidgeMode
     return ridge_from_moments(gram_blocks(train, feats), feats, alpha)
 
 
-def fit_forest(train: DataFrame, feats: Sequence[str], trees: int = 200, depth: int = 18,
-               min_instances: int = 1, max_features: str = "all", seed: int = 42, max_bins: int = 64) -> PipelineModel:
-    """I3 — random forest using all features per split (the reference library's default)."""
-    rf = RandomForestRegressor(featuresCol="features", labelCol=LABEL, numTrees=trees, maxDepth=depth,
-                               featureSubsetStrategy=max_features, minInstancesPerNode=min_instances, seed=seed,
-                               maxBins=max_bins)
-    return Pipeline(stages=[_assembler(feats), rf]).fit(train)
+def _folder(spark, name: str) -> str:
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/models/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def fit_boosted(train: DataFrame, feats: Sequence[str], rounds: int = 600, depth: int = 8, lr: float = 0.05,
-                subsample: float = 0.9, colsample: float = 0.9, seed: int = 42, max_bins: int = 64) -> PipelineModel:
-    """I5 — gradient-boosted trees (row sample per round, feature sample per node)."""
-    gbt = GBTRegressor(featuresCol="features", labelCol=LABEL, maxIter=rounds, maxDepth=depth, stepSize=lr,
-                       subsamplingRate=subsample, featureSubsetStrategy=str(colsample), seed=seed,
-                       maxBins=max_bins)
-    return Pipeline(stages=[_assembler(feats), gbt]).fit(train)
+def fit_forest(train: DataFrame, feats: Sequence[str], trees: int = 200, depth: int = 18, min_instances: int = 1, max_features: str = "all",
+               seed: int = 42, max_bins: int = 64, rows: int = tr.SAMPLE_ROWS) -> tr.TreeEnsemble:
+    """I3 — random forest using all features per split (the reference library's default), on about ``rows`` rows at most."""
+    params = {"trees": trees, "depth": depth, "min_instances": min_instances, "max_features": max_features}
+    return tr.fit(train, feats, LABEL, "forest", _folder(train.sparkSession, "forest"), params, seed, rows, max_bins)
 
 
-def predict(model: PipelineModel, df: DataFrame, name: str, keep: Sequence[str] = ()) -> DataFrame:
+def fit_boosted(train: DataFrame, feats: Sequence[str], rounds: int = 600, depth: int = 8, lr: float = 0.05, subsample: float = 0.9,
+                colsample: float = 0.9, seed: int = 42, max_bins: int = 64, rows: int = tr.SAMPLE_ROWS) -> tr.TreeEnsemble:
+    """I5 — gradient-boosted trees (rows and features sampled per round), on about ``rows`` rows at most."""
+    params = {"rounds": rounds, "depth": depth, "lr": lr, "subsample": subsample, "colsample": colsample}
+    return tr.fit(train, feats, LABEL, "boosted", _folder(train.sparkSession, "boosted"), params, seed, rows, max_bins)
+
+
+def predict(model: PipelineModel | tr.TreeEnsemble, df: DataFrame, name: str, keep: Sequence[str] = ()) -> DataFrame:
     """I13 — score rows and return the long prediction form for metrics."""
     return fc.predictions(model.transform(df), name, "prediction", keep=keep)
 
 
-def random_search(train: DataFrame, feats: Sequence[str], kind: str, grid: dict, n_iter: int = 6,
-                  k: int = 3, seed: int = 42, fixed: dict | None = None) -> tuple[dict, DataFrame]:
-    """I4/I6 — seeded draws from ``grid``, scored by RMSE on ``k`` expanding time folds.
+#: Rows of a search's sample, as the reference draws them.
+SEARCH_ROWS = {"forest": 60_000, "boosted": 80_000}
+
 
-    Returns (best params, per-draw scores DataFrame). The caller refits
-    the best draw on the whole training set.
+def random_search(train: DataFrame, feats: Sequence[str], kind: str, grid: dict, n_iter: int = 6, k: int = 3, seed: int = 42,
+                  rows: int | None = None) -> tuple[dict, DataFrame]:
+    """I4/I6 — seeded draws from ``grid``, scored by RMSE on ``k`` expanding time folds of a sample of about ``rows`` rows.
+
+    All (draw, fold) pairs are fitted at once, in tasks of their own. Returns (best params, per-draw
+    scores DataFrame). The caller refits the best draw on the whole training set.
     """
     spark = train.sparkSession
-    fixed = fixed or {}
     rng = random.Random(seed)
     combos = [{}]
     for key, values in grid.items():
         combos = [dict(c, **{key: v}) for c in combos for v in values]
     draws = rng.sample(combos, min(n_iter, len(combos)))
     folds = fc.time_folds(train, k)
-    # one row per date in the fold table; cached because every draw re-reads it
-    tagged = train.join(F.broadcast(folds.select("week", "fold_test")), "week").cache()
-    fit = {"forest": fit_forest, "boosted": fit_boosted}[kind]
-    scores = []
-    for i, params in enumerate(draws):
-        rmses = []
-        for f in range(1, k + 1):
-            tr = tagged.where((F.col("fold_test") < f))
-            te = tagged.where(F.col("fold_test") == f)
-            m = fit(tr, feats, **fixed, **params)
-            r = fc.metrics(predict(m, te, kind)).first()["rmse"]
-            rmses.append(r)
-        scores.append((i, json.dumps(params, sort_keys=True), float(sum(rmses) / len(rmses))))
-    tagged.unpersist()
+    # one row per date in the fold table
+    tagged = train.join(F.broadcast(folds.select("week", "fold_test")), "week")
+    found = tr.search_scores(tagged, feats, LABEL, kind, draws, k, rows or SEARCH_ROWS[kind], seed).collect()  # one row per draw
+    scores = [(r["draw"], json.dumps(draws[r["draw"]], sort_keys=True), r["cv_rmse"]) for r in found]
     best = min(scores, key=lambda s: (s[2], s[0]))
     table = spark.createDataFrame(scores, "draw int, params string, cv_rmse double")
     return json.loads(best[1]), table
@@ -197,26 +193,30 @@ def ridge_search(train: DataFrame, feats: Sequence[str], alphas=(0.1, 1.0, 10.0,
     return best, spark.createDataFrame(scores, "alpha double, cv_rmse double")
 
 
-def importances(model: PipelineModel, feats: Sequence[str]) -> DataFrame:
+def importances(model: tr.TreeEnsemble, feats: Sequence[str]) -> DataFrame:
     """I10 — tree feature importances (sum to 1) as a sorted DataFrame."""
-    from pyspark.sql import SparkSession
-    imp = model.stages[-1].featureImportances.toArray().tolist()
-    spark = SparkSession.getActiveSession()
-    df = spark.createDataFrame([(f, float(v)) for f, v in zip(feats, imp)], "feature string, importance double")
+    df = model.spark.createDataFrame([(f, float(v)) for f, v in zip(feats, model.importances)], "feature string, importance double")
     return df.orderBy(F.col("importance").desc(), "feature")
 
 
-def save_model(model: PipelineModel, meta: dict, path: str) -> None:
-    """A7 — persist the fitted pipeline and a one-row metadata table (name, features, test WMAE)."""
+def save_model(model: PipelineModel | tr.TreeEnsemble, meta: dict, path: str) -> None:
+    """A7 — persist the fitted model and a one-row metadata table (name, features, test WMAE)."""
     from pyspark.sql import SparkSession
     spark = SparkSession.getActiveSession()
-    model.write().overwrite().save(f"{path}/model")
+    is_trees = isinstance(model, tr.TreeEnsemble)
+    if is_trees:
+        model.save(f"{path}/model")
+    else:
+        model.write().overwrite().save(f"{path}/model")
+    meta = {**meta, "kind": "trees" if is_trees else "pipeline"}
     spark.createDataFrame([(json.dumps(meta, sort_keys=True),)], "meta string").write.mode("overwrite").json(f"{path}/meta")
 
 
 def load_and_score(path: str, df: DataFrame, n: int = 5) -> DataFrame:
-    """A8 — reload the pipeline and score the last ``n`` rows by date (store, dept tie keys)."""
-    model = PipelineModel.load(f"{path}/model")
+    """A8 — reload the model and score the last ``n`` rows by date (store, dept tie keys)."""
+    spark = df.sparkSession
+    meta = json.loads(spark.read.json(f"{path}/meta").first()["meta"])
+    model = tr.TreeEnsemble.load(spark, f"{path}/model") if meta["kind"] == "trees" else PipelineModel.load(f"{path}/model")
     last = df.orderBy(F.col("week").desc(), F.col("store").desc(), F.col("dept").desc()).limit(n)
     return model.transform(last).select(F.col("week").alias("date"), "store", "dept",
                                         F.col(LABEL).alias("actual"), F.round("prediction", 2).alias("predicted"))
