@@ -110,9 +110,40 @@ def coverage(df: DataFrame, date_col: str = "week", col: str = "total_markdown")
 
 
 def corr_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """D13 — Pearson correlation for every pair in one aggregate, long form (a, b, r) both orders + diagonal."""
+    """D13 — Pearson correlation for every pair, long form (a, b, r) both orders + diagonal.
+
+    Columns without nulls share their sums: one aggregate of sums and products about the columns'
+    means, instead of six buffers for each pair. Only pairs with nulls have sums of their own
+    (pairwise-complete rows). A column that doesn't vary over a pair's rows has no correlation (null).
+    """
+    d = order.materialize(df.select(*[F.col(c).cast("double").alias(c) for c in cols]))
+    first = d.agg(F.count(F.lit(1)).alias("n"), *[F.struct(F.count(c).alias("n"), F.avg(c).alias("mean"), (F.min(c) < F.max(c)).alias("varies")).alias(c) for c in cols]).first()
+    used = [c for c in cols if first[c]["varies"]]
+    whole = [c for c in used if first[c]["n"] == first["n"]]
     pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1:]]
-    row = df.agg(*[F.corr(a, b).alias(f"{a}__{b}") for a, b in pairs])
+    x = {c: F.col(c) - F.lit(first[c]["mean"]) for c in used}
+    aggs = [F.count(F.lit(1)).alias("n"), *[F.sum(x[c]).alias(f"s {c}") for c in whole], *[F.sum(x[c] * x[c]).alias(f"q {c}") for c in whole]]
+    result = {}
+    for a, b in pairs:
+        if a not in used or b not in used:
+            result[a, b] = F.lit(None).cast("double")
+            continue
+        p = f"{a} {b}"
+        aggs.append(F.sum(x[a] * x[b]).alias(f"q {p}"))
+        if a in whole and b in whole:
+            n, sums, squares = F.col("n"), [F.col(f"s {c}") for c in (a, b)], [F.col(f"q {c}") for c in (a, b)]
+        else:
+            both = F.col(a).isNotNull() & F.col(b).isNotNull()
+            aggs += [F.count_if(both).alias(f"n {p}")]
+            for k, c in ((1, a), (2, b)):
+                own = F.when(both, x[c])
+                aggs += [F.sum(own).alias(f"s{k} {p}"), F.sum(own * own).alias(f"q{k} {p}")]
+            n, sums, squares = F.col(f"n {p}"), [F.col(f"s{k} {p}") for k in (1, 2)], [F.col(f"q{k} {p}") for k in (1, 2)]
+        # what rounding leaves of a constant column's sum of squares is no variation
+        about = [F.try_divide(s * s, n) for s in sums]
+        spread = [F.when(q - m > 1e-13 * q, q - m) for q, m in zip(squares, about)]
+        result[a, b] = (F.col(f"q {p}") - F.try_divide(sums[0] * sums[1], n)) / F.sqrt(spread[0] * spread[1])
+    row = d.agg(*aggs).select(*[result[a, b].alias(f"{a}__{b}") for a, b in pairs])
     parts = ", ".join(f"'{a}', '{b}', `{a}__{b}`, '{b}', '{a}', `{a}__{b}`" for a, b in pairs)
     long = row.selectExpr(f"stack({2 * len(pairs)}, {parts}) AS (a, b, r)")
     diag = df.sparkSession.createDataFrame([(c, c, 1.0) for c in cols], "a string, b string, r double")

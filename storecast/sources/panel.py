@@ -14,6 +14,8 @@ number of calendar weeks.
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,8 +35,19 @@ PANEL_COLUMNS = ["store", "dept", "week", "weekly_sales", "is_holiday", "tempera
                  "year", "month", "week_of_year", "day"]
 
 
-def _money(c: str, precision: str = "decimal(12,2)"):
-    return F.col(c).cast(precision)
+def _cents(c: str):
+    """The unscaled number of ``CAST(c AS DECIMAL(12,2))`` as a long, so that sums stay primitive.
+
+    Next to a whole number of cents rounding needs no decimal; any other value takes the cast.
+    """
+    cents = F.col(c) * 100
+    whole = F.rint(cents)
+    return F.when(F.abs(cents - whole) < 1e-6, whole.cast("long")).otherwise((F.col(c).cast("decimal(12,2)") * 100).cast("long"))
+
+
+def _amount(total, digits: int):
+    """A sum of whole units as a double: units / 10^digits, rounded once."""
+    return (total.cast("decimal(20,0)") * F.lit(Decimal(1).scaleb(-digits))).cast("double")
 
 
 def _week(c: str):
@@ -42,7 +55,7 @@ def _week(c: str):
 
 
 def line_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One pass over ``lineitem``: exact (DECIMAL) partial sums per (store, dept, week).
+    """One pass over ``lineitem``: exact partial sums (whole cents) per (store, dept, week).
 
     Both the sales fact and the store-week features are re-aggregations
     of this table. ``dept`` is NULL for lines whose part is unknown: they
@@ -56,15 +69,15 @@ def line_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = t.part.select("p_partkey", F.col("p_type").alias("dept"))
     sign = F.when((F.col("l_returnflag") == "R") & (F.col("l_discount") >= 0.09), F.lit(-1)).otherwise(F.lit(1))
     hol = F.when(F.weekofyear("l_shipdate").isin(*HOLIDAY_WEEKS), F.lit(1)).otherwise(F.lit(0))
-    disc = _money("l_extendedprice") * F.col("l_discount").cast("decimal(4,2)")
+    disc = _cents("l_extendedprice") * _cents("l_discount")  # in units of 10^-4
     md = [F.sum(F.when(F.col("l_linenumber") == i, disc)).alias(f"md{i}") for i in range(1, 6)]
     return (
         li.join(sup, li.l_suppkey == sup.s_suppkey)
         .join(part, li.l_partkey == part.p_partkey, "left")
         .groupBy("store", "dept", _week("l_shipdate").alias("week"))
-        .agg(F.sum(sign * _money("l_extendedprice")).alias("sales"), F.max(hol).alias("hol"),
-             F.count(F.lit(1)).alias("n"), F.sum(_money("l_quantity")).alias("q"),
-             F.sum(_money("l_tax")).alias("tx"), *md)
+        .agg(F.sum(sign * _cents("l_extendedprice")).alias("sales"), F.max(hol).alias("hol"),
+             F.count(F.lit(1)).alias("n"), F.sum(_cents("l_quantity")).alias("q"),
+             F.sum(_cents("l_tax")).alias("tx"), *md)
     )
 
 
@@ -72,7 +85,7 @@ def panel_sales(spark: SparkSession, sf_dir: str, facts: DataFrame | None = None
     """Fact table: (store, dept, week, weekly_sales, is_holiday)."""
     f = facts if facts is not None else line_facts(spark, sf_dir)
     return f.where(F.col("dept").isNotNull()).select(
-        "store", "dept", "week", F.col("sales").cast("double").alias("weekly_sales"), F.col("hol").alias("is_holiday"))
+        "store", "dept", "week", _amount(F.col("sales"), 2).alias("weekly_sales"), F.col("hol").alias("is_holiday"))
 
 
 def panel_features(spark: SparkSession, sf_dir: str, facts: DataFrame | None = None) -> DataFrame:
@@ -80,15 +93,15 @@ def panel_features(spark: SparkSession, sf_dir: str, facts: DataFrame | None = N
     t = Tables(spark, sf_dir)
     f = facts if facts is not None else line_facts(spark, sf_dir)
     lagg = f.groupBy("store", "week").agg(
-        F.sum("n").alias("n"), F.sum("q").cast("double").alias("q"), F.sum("tx").cast("double").alias("tx"),
-        *[F.sum(f"md{i}").cast("double").alias(f"md{i}") for i in range(1, 6)])
+        F.sum("n").alias("n"), _amount(F.sum("q"), 2).alias("q"), _amount(F.sum("tx"), 2).alias("tx"),
+        *[_amount(F.sum(f"md{i}"), 4).alias(f"md{i}") for i in range(1, 6)])
     o = t.orders.select("o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate")
     c = t.customer.select("c_custkey", F.col("c_nationkey").alias("store"))
     oagg = (
         o.join(c, o.o_custkey == c.c_custkey)
         .groupBy("store", _week("o_orderdate").alias("week"))
         .agg(F.count(F.lit(1)).alias("on"),
-             F.sum(_money("o_totalprice")).cast("double").alias("tp"),
+             _amount(F.sum(_cents("o_totalprice")), 2).alias("tp"),
              F.sum(F.when(F.col("o_orderstatus") == "F", 1).otherwise(0)).alias("nf"))
     )
     launched = F.col("week") >= F.lit(MARKDOWN_LAUNCH).cast("date")

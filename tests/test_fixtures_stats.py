@@ -152,3 +152,25 @@ def test_sample_n_is_exact_and_stable(spark):
     b = wrangle.sample_n(df.repartition(13), 50, 7, ["k"])
     assert a.count() == 50
     assert sorted(r["k"] for r in a.collect()) == sorted(r["k"] for r in b.collect())
+
+
+def test_correlations_with_nulls_and_constants(spark):
+    from storecast.operators import explore as D
+    rows = [(1e6 + i, float(i % 7), float(i * i) if i % 3 else None, 5.0) for i in range(60)]
+    df = spark.createDataFrame(rows, "a double, b double, c double, k double")
+    got = {(r.a, r.b): r.r for r in D.corr_matrix(df, ["a", "b", "c", "k"]).collect()}
+    want = df.agg(*[F.corr(x, y).alias(x + y) for x, y in (("a", "b"), ("a", "c"), ("b", "c"))]).first()
+    assert len(got) == 16 and got["a", "a"] == 1.0
+    for x, y in (("a", "b"), ("a", "c"), ("b", "c")):
+        assert got[x, y] == got[y, x] == pytest.approx(want[x + y], abs=1e-12)
+    assert got["a", "k"] is None and got["k", "c"] is None
+    flat = df.withColumn("b", F.when(F.col("c").isNotNull(), 0.1).otherwise(F.col("b")))  # constant where c is known
+    assert {r.r for r in D.corr_matrix(flat, ["b", "c"]).collect() if r.a != r.b} == {None}
+
+
+def test_cents_round_as_decimals_do(spark):
+    from storecast.sources.panel import _amount, _cents
+    values = [0.0, 0.01, 0.29, 1.005, 2.675, 33.335, 99999.99, 901.00, 0.004999, -1.25, -0.015, 1e7 + 0.07]
+    df = spark.createDataFrame([(v,) for v in values], "v double").select(_cents("v").alias("got"), (F.col("v").cast("decimal(12,2)") * 100).cast("long").alias("want"))
+    assert all(r.got == r.want for r in df.collect())
+    assert spark.range(1).select(_amount(F.lit(123456789), 4).alias("x")).first().x == 12345.6789
