@@ -153,7 +153,7 @@ def j7_rules_bubble(spark, sf_dir):
 SELECT store, week, COALESCE(COLUMNS(* EXCLUDE (store, week)), 0) FROM (
   PIVOT (SELECT p.store, p.week, p.dept, CASE WHEN p.weekly_sales >= thr.threshold THEN 1 ELSE 0 END AS active
          FROM panel p JOIN thr ON p.dept = thr.dept)
-  ON dept USING max(active) GROUP BY store, week)"""))
+  ON dept IN ('ECONOMY', 'LARGE', 'MEDIUM', 'PROMO', 'SMALL', 'STANDARD') USING max(active) GROUP BY store, week)"""))
 def d18_basket_matrix(spark, sf_dir):
     """Wide 0/1 basket matrix over the departments (small item lists only)."""
     from storecast.functions.scalar import distinct_levels, flag
