@@ -449,6 +449,9 @@ def _score_blocks(parts: int, names: list[str]):
 def _row_sums(keys: np.ndarray, rows: np.ndarray, n: int, table: np.ndarray, values: np.ndarray) -> np.ndarray:
     """Sum over each row of its keys' values. Rows are sorted with the keys, so that lookups go through the table in order."""
     out = np.zeros(n)
+    if 8 * (DEPTH + 1) + 16 > 64:  # no room for the row beside the key
+        order = np.argsort(keys)
+        return np.bincount(rows[order], values[np.searchsorted(table, keys[order])], n)
     for a in range(0, n, 1 << 16):
         here = (rows >= a) & (rows < a + (1 << 16)) if n > 1 << 16 else slice(None)
         both = np.sort(keys[here] << np.uint64(16) | (rows[here] - a).astype(np.uint64))
