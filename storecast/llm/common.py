@@ -71,3 +71,25 @@ def shuffle_partitions(spark: SparkSession) -> int:
         return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     except (TypeError, ValueError):
         return 200
+
+
+#: A key is split in a join if it has more rows than both this and a quarter of a partition's share.
+LEAST_SPLIT = 64
+
+
+def join_counted(rows: DataFrame, counted: DataFrame, keys: list[str], spread: str, total: int | None = None) -> DataFrame:
+    """``rows`` joined with ``counted``, a written table of one row for each key with its number ``n`` of rows.
+
+    A key of more than a quarter of a partition's share of rows is split, by the hash of the column ``spread``, over
+    as many places as such quarters. There are fewer than four such keys for each partition, so their list may be
+    broadcast, whatever the size of the tables. ``total``: the number of rows, if known.
+    """
+    if total is None:
+        total = counted.agg(F.sum("n")).head()[0] or 0
+    most = max(LEAST_SPLIT, total // (4 * shuffle_partitions(rows.sparkSession)))
+    places = F.ceil(F.col("n") / F.lit(most)).cast("int")
+    hot = counted.where(F.col("n") > most).select(*keys, places.alias("__places"))
+    own = F.pmod(F.xxhash64(spread), F.coalesce("__places", F.lit(1))).cast("int")
+    left = rows.join(F.broadcast(hot), keys, "left").withColumn("__place", own).drop("__places")
+    right = counted.withColumn("__place", F.explode(F.sequence(F.lit(0), places - 1)))
+    return left.join(right, [*keys, "__place"]).drop("__place")

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from storecast.llm import counting
-from storecast.llm.common import map_arrow, materialize, shuffle_partitions
+from storecast.llm.common import join_counted, map_arrow, materialize, shuffle_partitions
 from storecast.llm.components import components
 from storecast.llm.tokens import Hasher, lower, mix, shingles, slices, word_bounds
 
@@ -249,8 +249,9 @@ def verify(pairs: DataFrame, texts: DataFrame, idf: Idf, threshold: float) -> Da
     The texts of b go to a's text; a hub's pairs are split over chunks, each of which gets the hub's text.
     """
     parts = shuffle_partitions(pairs.sparkSession)
-    chunks = pairs.groupBy("a").agg(F.ceil(F.count("*") / HUB_CHUNK).cast("int").alias("chunks"))
-    sides = pairs.join(chunks, "a").withColumn("chunk", F.pmod(F.xxhash64("b"), F.col("chunks")).cast("int"))
+    hub_sizes = materialize(pairs.groupBy("a").agg(F.count("*").alias("n")), "hubs")
+    chunks = hub_sizes.withColumn("chunks", F.ceil(F.col("n") / HUB_CHUNK).cast("int"))
+    sides = join_counted(pairs, chunks, ["a"], "b").withColumn("chunk", F.pmod(F.xxhash64("b"), F.col("chunks")).cast("int"))
     sides = sides.join(texts.withColumnRenamed("node", "b"), "b").select("a", "chunk", "b", "text")
     hubs = (chunks.select("a", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"))
             .join(texts.withColumnRenamed("node", "a"), "a").select("a", "chunk", F.lit(None).cast("long").alias("b"), "text"))
@@ -280,12 +281,13 @@ def verify(pairs: DataFrame, texts: DataFrame, idf: Idf, threshold: float) -> Da
 def _open_buckets(members: DataFrame) -> DataFrame:
     """Of bucket members (band, value, node, comp) those in buckets of several components, with ``minor`` (not of the
     bucket's largest component) and the bucket's numbers of chunks."""
-    by_comp = members.groupBy("band", "value", "comp").agg(F.count("*").alias("n"))
-    buckets = by_comp.groupBy("band", "value").agg(F.count("*").alias("comps"), F.sum("n").alias("size"), F.max_by("comp", F.struct("n", "comp")).alias("main"),
-                                                  F.max("n").alias("most")).where("comps > 1")
+    by_comp = members.groupBy("band", "value", "comp").agg(F.count("*").alias("own"))
+    buckets = by_comp.groupBy("band", "value").agg(F.count("*").alias("comps"), F.sum("own").alias("n"), F.max_by("comp", F.struct("own", "comp")).alias("main"),
+                                                  F.max("own").alias("most"))
+    found = join_counted(members, materialize(buckets, "buckets"), ["band", "value"], "node").where("comps > 1")
     size = lambda n: F.ceil(n / F.lit(BLOCK)).cast("int")
-    return members.join(buckets.select("band", "value", "main", size(F.col("size")).alias("all_chunks"), size(F.col("size") - F.col("most")).alias("minor_chunks")),
-                        ["band", "value"]).withColumn("minor", F.col("comp") != F.col("main"))
+    return found.select("band", "value", "node", "comp", size(F.col("n")).alias("all_chunks"), size(F.col("n") - F.col("most")).alias("minor_chunks"),
+                        (F.col("comp") != F.col("main")).alias("minor"))
 
 
 def _blocks(members: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -426,9 +428,11 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, threshold: float) -> t
     signed = materialize(signatures(docs, idf, id_col, text_col), "signatures")
     least = F.min(F.struct(F.col("id").isNull().alias("none"), "id")).alias("least")
     nodes = signed.where("node is not null").groupBy("node").agg(F.first("samples").alias("samples"), F.first("bands").alias("bands"), least)
+    nodes = materialize(nodes, "nodes")
     exploded = nodes.select("node", F.posexplode("bands").alias("band", "value"))
     hubs = exploded.groupBy("band", "value").agg(F.min("node").alias("hub"), F.count("*").alias("n")).where("n > 1")
-    members = materialize(exploded.join(hubs, ["band", "value"]).select("band", "value", "node", "hub"), "members")
+    members = join_counted(exploded, materialize(hubs, "buckets"), ["band", "value"], "node")
+    members = materialize(members.select("band", "value", "node", "hub"), "members")
     needed = materialize(members.select("node").distinct().join(nodes.select("node", "samples", F.col("least.id").alias("id")), "node"), "involved")
     involved = needed.select("node", "samples")
 

@@ -5,7 +5,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from storecast.llm import minhash
+from storecast.llm import common, minhash
 from storecast.llm.components import components
 
 
@@ -151,6 +151,7 @@ def test_classes_equal_brute_force(spark, monkeypatch):
 def test_a_hot_bucket_is_split_into_blocks(spark, monkeypatch):
     monkeypatch.setattr(minhash, "HUB_CHUNK", 7)
     monkeypatch.setattr(minhash, "BLOCK", 8)
+    monkeypatch.setattr(common, "LEAST_SPLIT", 2)
     rng = random.Random(2)
     base = words(rng, 300)
     rows = [(i, " ".join(edited(rng, base, rng.choice([0, 3, 6, 8])))) for i in range(60)]
@@ -164,3 +165,15 @@ def test_a_hot_bucket_is_split_into_blocks(spark, monkeypatch):
                 a, b = label[i], label[j]
                 label = [min(a, b) if x in (a, b) else x for x in label]
     assert {r.doc_id: r.class_id for r in minhash.near_duplicates(docs).collect()} == dict(enumerate(label))
+
+
+@pytest.mark.parametrize("least", [1, 5, 64])
+def test_join_counted_equals_the_plain_join(spark, monkeypatch, least):
+    monkeypatch.setattr(common, "LEAST_SPLIT", least)
+    rows = spark.createDataFrame([(1 if i % 3 else i, i) for i in range(300)] + [(0, 7)] * 4, "k long, v long")
+    counted = rows.groupBy("k").count().withColumnRenamed("count", "n").where("k <> 6")
+    for total in (None, 304):
+        got = sorted(map(tuple, common.join_counted(rows, counted, ["k"], "v", total).select("k", "v", "n").collect()))
+        assert got == sorted(map(tuple, rows.join(counted, "k").select("k", "v", "n").collect()))
+    nothing = rows.limit(0)
+    assert common.join_counted(nothing, counted.limit(0), ["k"], "v").collect() == []
