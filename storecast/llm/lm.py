@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from storecast.llm.common import fold, map_arrow, materialize, shuffle_partitions
-from storecast.llm.tokens import Hasher, lower, mix, slices, word_bounds
+from storecast.llm.tokens import SPACES, Hasher, lower, mix, slices, word_bounds
 
 DEPTH = 5
 #: Levels of the tree that are shared out by context; those above pass through the driver.
@@ -44,32 +44,31 @@ def stream(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     """
     n = len(offsets) - 1
     s, e, word_rows = word_bounds(data, offsets)
-    words = np.bincount(word_rows, minlength=n)
-    letters = np.bincount(word_rows, weights=e - s, minlength=n).astype(np.int64)
-    size = DEPTH + letters + words + 1
+    inside = ~SPACES[data]
+    kept = inside.copy()  # the words' bytes and one byte after each
+    after = e[e < len(data)]
+    kept[after[~np.isin(after, offsets)]] = True
+    before = np.r_[0, np.cumsum(kept, dtype=np.int64)]
+    letters = before[offsets[1:]] - before[offsets[:-1]]
+    open_end = np.zeros(n, np.int64)  # a text that ends in a word lacks its space
+    some = offsets[1:] > offsets[:-1]
+    open_end[some] = inside[offsets[1:][some] - 1]
+    size = DEPTH + letters + open_end + 1
     begin = np.cumsum(size) - size
-    out = np.full(int(size.sum()), SPACE, np.uint8)
-    for j in range(DEPTH):
-        out[begin + j] = END
-    out[begin + size - 1] = END
-    inside = np.zeros(len(data) + 1, np.int8)
-    np.add.at(inside, s, 1)
-    np.add.at(inside, e, -1)
-    source = np.flatnonzero(np.cumsum(inside[:-1]))
-    length = e - s
-    word_of = np.repeat(np.arange(len(s)), length)
-    firsts = np.cumsum(words) - words
-    letters_before = np.cumsum(letters) - letters
-    rank = np.arange(len(source)) - letters_before[word_rows[word_of]]
-    out[begin[word_rows[word_of]] + DEPTH + rank + word_of - firsts[word_rows[word_of]]] = data[source]
-    wide = out.astype(np.uint64)
-    key = wide.copy()
-    for j in range(1, DEPTH + 1):
-        key[j:] |= wide[:-j] << np.uint64(8 * (DEPTH + 1 - j))
-    real = np.ones(len(out), bool)
+    total = int(size.sum())
+    real = np.ones(total, bool)
     for j in range(DEPTH):
         real[begin + j] = False
-    return key[real], np.repeat(np.arange(n), size - DEPTH), word_rows
+    own = real.copy()
+    own[begin + size - 1] = False
+    own[(begin + size - 2)[open_end > 0]] = False
+    out = np.full(total + 8, END, np.uint8)
+    out[(begin + size - 2)[open_end > 0]] = SPACE
+    out[:total][own] = np.where(inside, data, SPACE)[kept]
+    at = np.flatnonzero(real)
+    eight = np.ndarray((total,), "<u8", out, strides=(1,))  # the eight bytes from each place on
+    key = eight[at - DEPTH] << np.uint64(64 - 8 * DEPTH) >> np.uint64(56 - 8 * DEPTH) | out[at].astype(np.uint64)
+    return key, np.repeat(np.arange(n), size - DEPTH), word_rows
 
 
 def _tallied(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -422,10 +421,10 @@ def _score_blocks(parts: int, names: list[str]):
         for batch in pending:
             for _, data, offsets in slices(batch.column(6), SLICE_BYTES):
                 for table, keys in zip(found, _slice_keys(data, offsets)[0]):
-                    table.append(np.unique(keys))
+                    table.append(_tallied(keys)[0])
         tables = []
         for kind, own in enumerate(found):
-            keys = np.unique(np.concatenate(own))
+            keys = _tallied(np.concatenate(own))[0]
             part = part_of(keys, kind, parts)
             values = np.zeros(len(keys), np.float64)
             for p in range(parts):
@@ -449,14 +448,16 @@ def _score_blocks(parts: int, names: list[str]):
 def _row_sums(keys: np.ndarray, rows: np.ndarray, n: int, table: np.ndarray, values: np.ndarray) -> np.ndarray:
     """Sum over each row of its keys' values. Rows are sorted with the keys, so that lookups go through the table in order."""
     out = np.zeros(n)
-    if 8 * (DEPTH + 1) + 16 > 64:  # no room for the row beside the key
+    room = 64 - 8 * (DEPTH + 1)
+    if not room:  # no room for the row beside the key
         order = np.argsort(keys)
         return np.bincount(rows[order], values[np.searchsorted(table, keys[order])], n)
-    for a in range(0, n, 1 << 16):
-        here = (rows >= a) & (rows < a + (1 << 16)) if n > 1 << 16 else slice(None)
-        both = np.sort(keys[here] << np.uint64(16) | (rows[here] - a).astype(np.uint64))
-        k = both >> np.uint64(16)
+    shift, most = np.uint64(room), 1 << room
+    for a in range(0, n, most):
+        x, y = np.searchsorted(rows, [a, a + most])
+        both = np.sort(keys[x:y] << shift | (rows[x:y] - a).astype(np.uint64))
+        k = both >> shift
         first = np.flatnonzero(np.r_[True, k[1:] != k[:-1]]) if len(k) else np.zeros(0, np.int64)
         each = np.repeat(values[np.searchsorted(table, k[first])], np.diff(np.r_[first, len(k)]))
-        out[a:a + (1 << 16)] += np.bincount((both & np.uint64(0xFFFF)).astype(np.int64), each, min(n - a, 1 << 16))
+        out[a:a + most] += np.bincount((both & np.uint64(most - 1)).astype(np.int64), each, min(n - a, most))
     return out
