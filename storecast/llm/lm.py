@@ -7,9 +7,10 @@ children is the posterior of the training counts (half each before any). The mix
 gives a probability for every byte, and so the code length of a text.
 
 The counts of all training texts are gathered: tasks count (context, byte) pairs and words of blocks
-of texts and send them, packed, by ranges of the context. A range's subtrees are weighted where they
-meet; only the two top levels (at most 256 nodes of 255 decisions) pass through the driver. The
-probabilities of a block's pairs then go back to the block, where its texts are summed up.
+of texts and send them, packed, by ranges of the context. A range's tables are merged in rounds of
+bounded groups, and its subtrees are weighted in one task, whose load grows with the different
+contexts alone; only the two top levels (at most 256 nodes of 255 decisions) pass through the driver.
+The probabilities of a block's pairs then go back to the block, where its texts are summed up.
 """
 
 from __future__ import annotations
@@ -32,6 +33,8 @@ TOP = 2
 SPACE, END = 0x20, 0x0A
 BLOCK_BYTES = 16 << 20
 SLICE_BYTES, SLICE_ROWS = 1 << 20, 1 << 15
+#: Keys that a task merges or looks up at once (more where a range has more different ones), and tables merged at once where they are large.
+GROUP_KEYS, FAN = 4 << 20, 8
 GRAMS, WORDS = 0, 1
 _CODEC = "zstd"
 
@@ -229,9 +232,6 @@ def log_probabilities(keys: np.ndarray, levels: dict[int, Level], top: TopTree)
     return out
 
 
-_PARTS_SCHEMA = "block long, kind int, part int, n long, keys binary, counts binary"
-
-
 def _gather(docs: DataFrame, parts: int) -> DataFrame:
     """One pass over the texts, written by row_kind: 'text' rows (block, id, held, text) and 'count' rows (block, kind,
     part, n, keys, counts) with the block's sorted keys and their counts in training texts."""
@@ -306,24 +306,53 @@ def _part_table(table: pa.Table) -> tuple[list[np.ndarray], list[np.ndarray]]:
             [_unpack(b, k, np.int64) for b, k in zip(table.column("counts").to_pylist(), n)])
 
 
-def _top_tree(counts: DataFrame) -> TopTree:
-    """Sums of the subtrees under each nearest byte: 65,280 rows at most."""
-    def sums(table: pa.Table) -> pa.Table:
+def _by_range(tables: DataFrame, run, schema: str) -> DataFrame:
+    """A map over tables that are one for each range, dealt by range."""
+    return map_arrow(tables.repartition(shuffle_partitions(tables.sparkSession), "kind", "part"), run, schema)
+
+
+def _merged(counts: DataFrame) -> DataFrame:
+    """(kind, part, n, keys, counts, moved): one table for each range, with the keys its blocks hold in all.
+
+    Blocks are merged in groups of at most GROUP_KEYS keys, or of about FAN tables where these are large, and
+    the groups again, until each range has one table: a task's load doesn't grow with the number of blocks.
+    """
+    def merge(table: pa.Table) -> pa.Table:
         keys, n = _summed(list(zip(*_part_table(table))))
-        level = _levels(keys, n, TOP)[TOP]
-        near, prefix, values = [], [], [[], [], []]
-        for i in range(8):
-            node = level.nodes[i]
-            near.append((node >> np.uint64(8 + i)).astype(np.int64) & 0xFF)
-            prefix.append((1 << i) | (node & np.uint64((1 << i) - 1)).astype(np.int64))
-            for v, x in zip(values, (*level.n[i], level.weight[i])):
-                v.append(x)
-        at = np.concatenate(near) << 8 | np.concatenate(prefix)
-        out = [np.bincount(at, np.concatenate(v), 1 << 16) for v in values]
-        some = np.flatnonzero(np.bincount(at, minlength=1 << 16))
-        return pa.table({"at": some, "n0": out[0][some], "n1": out[1][some], "rest": out[2][some]})
-
-    rows = (counts.where(F.col("kind") == GRAMS).groupBy("part").applyInArrow(sums, "at long, n0 double, n1 double, rest double")
+        return pa.table({"kind": table.column("kind")[:1], "part": table.column("part")[:1], "place": table.column("place")[:1], "n": pa.array([len(keys)], pa.int64()),
+                         "keys": pa.array([_pack_keys(keys)], pa.binary()), "counts": pa.array([_pack(n)], pa.binary()), "moved": pa.array([sum(table.column("moved").to_pylist())], pa.int64())})
+
+    spark = counts.sparkSession
+    current = counts.select("kind", "part", F.xxhash64("block").alias("place"), "n", "keys", "counts", F.col("n").alias("moved"))
+    while True:
+        groups = F.least(F.ceil(F.sum("n") / GROUP_KEYS), F.ceil(F.count("*") / FAN)).cast("long")
+        sizes = current.groupBy("kind", "part").agg(F.greatest(groups, F.lit(1)).alias("groups")).toArrow()  # a row for each range
+        rounds = spark.createDataFrame(sizes, "kind int, part int, groups long")
+        dealt = current.join(F.broadcast(rounds), ["kind", "part"]).withColumn("place", F.pmod("place", "groups"))
+        dealt = dealt.select(*current.columns).repartition(shuffle_partitions(spark), "kind", "part", "place")
+        current = materialize(dealt.groupBy("kind", "part", "place").applyInArrow(merge, "kind int, part int, place long, n long, keys binary, counts binary, moved long"), "lm-merged")
+        if not sizes.num_rows or max(sizes.column("groups").to_pylist()) == 1:
+            return current.drop("place")
+
+
+def _top_tree(merged: DataFrame) -> TopTree:
+    """Sums of the subtrees under each nearest byte: 65,280 rows at most."""
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for keys, n in _tables(batches):
+            level = _levels(keys, n, TOP)[TOP]
+            near, prefix, values = [], [], [[], [], []]
+            for i in range(8):
+                node = level.nodes[i]
+                near.append((node >> np.uint64(8 + i)).astype(np.int64) & 0xFF)
+                prefix.append((1 << i) | (node & np.uint64((1 << i) - 1)).astype(np.int64))
+                for v, x in zip(values, (*level.n[i], level.weight[i])):
+                    v.append(x)
+            at = np.concatenate(near) << 8 | np.concatenate(prefix)
+            out = [np.bincount(at, np.concatenate(v), 1 << 16) for v in values]
+            some = np.flatnonzero(np.bincount(at, minlength=1 << 16))
+            yield pa.RecordBatch.from_arrays([pa.array(some), *[pa.array(x[some]) for x in out]], names=["at", "n0", "n1", "rest"])
+
+    rows = (_by_range(merged.where(F.col("kind") == GRAMS).select("kind", "part", "n", "keys", "counts"), sums, "at long, n0 double, n1 double, rest double")
             .groupBy("at").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.sum("rest").alias("rest")).toArrow())
     dense = [np.zeros(1 << 16) for _ in range(3)]
     for d, c in zip(dense, ("n0", "n1", "rest")):
@@ -331,25 +360,58 @@ def _top_tree(counts: DataFrame) -> TopTree:
     return TopTree(*[d.reshape(256, 256) for d in dense])
 
 
-def _valued(counts: DataFrame, top: TopTree) -> DataFrame:
-    """(block, kind, part, values, types, tokens): for a block's pairs their log probabilities, for its words their
-    counts, in the order of their keys; types and tokens: of the part's training words, on one of its rows."""
-    shared = counts.sparkSession.sparkContext.broadcast(top)
+def _tables(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    for batch in batches:
+        for i in range(batch.num_rows):
+            keys, n = _part_table(pa.Table.from_batches([batch.slice(i, 1)]))
+            yield keys[0], n[0]
+
 
-    def value(table: pa.Table) -> pa.Table:
-        kind = table.column("kind")[0].as_py()
-        blocks, n = _part_table(table)
-        keys, total = _summed(list(zip(blocks, n)))
-        if kind == GRAMS:
-            values = log_probabilities(keys, _levels(keys, total, TOP), shared.value).astype(np.float32)
-        else:
-            values = total
-        first = [0] * (table.num_rows - 1)
-        return pa.table({"block": table.column("block"), "kind": table.column("kind"), "part": table.column("part"),
-                         "values": pa.array([_pack(values[np.searchsorted(keys, b)]) for b in blocks], pa.binary()),
-                         "types": pa.array([int((total > 0).sum()), *first], pa.int64()), "tokens": pa.array([int(total.sum()), *first], pa.int64())})
+def _model(merged: DataFrame, top: TopTree) -> DataFrame:
+    """(kind, part, n, keys, values, moved, types, tokens): the log probability of every pair, the count of every word."""
+    shared = merged.sparkSession.sparkContext.broadcast(top)
+
+    def value(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1)
+                keys, n = next(_tables([row]))
+                values = log_probabilities(keys, _levels(keys, n, TOP), shared.value).astype(np.float32) if row.column("kind")[0].as_py() == GRAMS else n
+                yield pa.RecordBatch.from_arrays([*[row.column(c) for c in ("kind", "part", "n", "keys")], pa.array([_pack(values)], pa.binary()), row.column("moved"),
+                                                  pa.array([int((n > 0).sum())], pa.int64()), pa.array([int(n.sum())], pa.int64())],
+                                                 names=["kind", "part", "n", "keys", "values", "moved", "types", "tokens"])
+
+    return _by_range(merged, value, "kind int, part int, n long, keys binary, values binary, moved long, types long, tokens long")
+
+
+def _valued(counts: DataFrame, model: DataFrame) -> DataFrame:
+    """(block, kind, part, values): the model's values of a block's keys, in the order of the keys.
+
+    A range's table goes to as many places as its blocks hold so many keys as the table (GROUP_KEYS at
+    least), so that no place looks up for all blocks and the tables sent stay below the keys of the blocks.
+    """
+    spark = counts.sparkSession
+    places = F.greatest(F.ceil(F.col("moved") / F.greatest(F.col("n"), F.lit(GROUP_KEYS))), F.lit(1)).cast("int")
+    sizes = spark.createDataFrame(model.select("kind", "part", places.alias("places")).toArrow(), "kind int, part int, places int")  # a row for each range
+    tables = (model.join(F.broadcast(sizes), ["kind", "part"]).withColumn("place", F.explode(F.sequence(F.lit(0), F.col("places") - 1)))
+              .select("kind", "part", "place", F.lit(None).cast("long").alias("block"), "n", "keys", "values"))
+    blocks = (counts.join(F.broadcast(sizes), ["kind", "part"]).withColumn("place", F.pmod(F.xxhash64("block"), F.col("places")).cast("int"))
+              .select("kind", "part", "place", "block", "n", "keys", F.lit(None).cast("binary").alias("values")))
+    both = tables.unionByName(blocks).repartition(shuffle_partitions(spark), "kind", "part", "place").sortWithinPartitions("kind", "part", "place", F.col("block").asc_nulls_first())
+
+    def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys = values = None
+        for batch in batches:
+            for i in range(batch.num_rows):
+                kind, n = batch.column(0)[i].as_py(), batch.column(4)[i].as_py()
+                own = _unpack_keys(batch.column(5)[i].as_py(), n)
+                if not batch.column(3)[i].is_valid:
+                    keys, values = own, _unpack(batch.column(6)[i].as_py(), n, np.float32 if kind == GRAMS else np.int64)
+                    continue
+                found = _pack(values[np.searchsorted(keys, own)])
+                yield pa.RecordBatch.from_arrays([batch.column(c).slice(i, 1) for c in (3, 0, 1)] + [pa.array([found], pa.binary())], names=["block", "kind", "part", "values"])
 
-    return counts.groupBy("kind", "part").applyInArrow(value, "block long, kind int, part int, values binary, types long, tokens long")
+    return map_arrow(both, look_up, "block long, kind int, part int, values binary")
 
 
 def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_out=None) -> DataFrame:
@@ -369,8 +431,10 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     gathered = materialize(_gather(source, parts), "lm")
     texts = gathered.where("row_kind = 'text'").select("block", "id", "held", "text")
     counts = gathered.where("row_kind = 'count'").select("block", "kind", "part", "n", "keys", "counts")
-    valued = materialize(_valued(counts, _top_tree(counts)), "lm-values")
-    found = valued.where(F.col("kind") == WORDS).agg(F.coalesce(F.sum("types"), F.lit(0)), F.coalesce(F.sum("tokens"), F.lit(0))).head()
+    merged = _merged(counts)
+    model = materialize(_model(merged, _top_tree(merged)), "lm-model")
+    valued = materialize(_valued(counts, model), "lm-values")
+    found = model.where(F.col("kind") == WORDS).agg(F.coalesce(F.sum("types"), F.lit(0)), F.coalesce(F.sum("tokens"), F.lit(0))).head()
     ends = texts.where("not held").count()
     n_types, n_train = int(found[0]) + (ends > 0), int(found[1]) + ends
 
@@ -438,7 +502,7 @@ def _score_blocks(parts: int, names: list[str]):
                 (grams, words), (gram_rows, word_rows) = _slice_keys(data, offsets)
                 counts = tables[WORDS][1][np.searchsorted(tables[WORDS][0], words)]
                 numbers = [np.bincount(word_rows, minlength=n), np.bincount(word_rows, counts > 0, n).astype(np.int64), np.bincount(gram_rows, minlength=n),
-                           np.bincount(word_rows, np.log10(counts + 0.1), n), _row_sums(grams, gram_rows, n, *tables[GRAMS])]
+                           np.bincount(word_rows, np.log10(counts + 0.1), n).astype(np.float64), _row_sums(grams, gram_rows, n, *tables[GRAMS])]
                 own = batch.slice(first, n)
                 yield pa.RecordBatch.from_arrays([own.column(4), own.column(5), *map(pa.array, numbers)], names=names)
 

@@ -105,9 +105,26 @@ def test_scores_equal_plain_context_tree_weighting(spark, monkeypatch):
         assert abs(a[5] - b[5]) < 1e-8 and abs(a[6] - b[6]) < 1e-4 * max(1, abs(b[6])), (a, b)
 
 
+def test_merging_in_rounds_and_many_places_change_nothing(spark, monkeypatch):
+    monkeypatch.setattr(lm, "BLOCK_BYTES", 60)
+    monkeypatch.setattr(lm, "SLICE_BYTES", 30)
+    docs = spark.createDataFrame(rows(), "doc_id long, text string").repartition(3)
+    columns = ["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
+
+    def scores():
+        return sorted((str(r[0]), *r[1:4], round(r[4], 6), round(r[5], 4)) for r in lm.score_documents(docs).select(columns).collect())
+
+    whole = scores()
+    monkeypatch.setattr(lm, "GROUP_KEYS", 16)
+    monkeypatch.setattr(lm, "FAN", 2)
+    assert scores() == whole
+
+
 def test_empty_and_untrained(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert lm.score_documents(empty).collect() == []
+    wordless = spark.createDataFrame([(1, None), (2, "")], "doc_id long, text string")
+    assert {(r.n_tokens, r.n_known, r.train_tokens) for r in lm.score_documents(wordless).collect()} == {(1, 1, 2)}
     held = spark.createDataFrame([(None, "ab")], "doc_id long, text string")
     r = lm.score_documents(held).head()
     assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (True, 2, 0, 0)
