@@ -126,6 +126,10 @@ def davies_bouldin(df: DataFrame, cols: Sequence[str], label: str) -> DataFrame:
 
 # ---------------------------------------------------------------- KMeans
 
+#: Rows of one task of a KMeans fit, at least (no more tasks than the input has partitions).
+KMEANS_ROWS = 20_000
+
+
 def assemble(df: DataFrame, cols: Sequence[str], out: str = "features") -> DataFrame:
     """Feature vector of ``cols``; a null or NaN counts as the column's mean, so every row stays
     (0 when a column has no value at all)."""
@@ -141,10 +145,13 @@ def kmeans(df: DataFrame, cols: Sequence[str], k: int, seed: int = 42, n_init: i
            label: str = "cluster", max_iter: int = 50):
     """H3 — KMeans with ``n_init`` restarts (different seeds), keeping the lowest training cost.
 
+    Every restart is some 15 jobs over all partitions, so these follow the number of rows: a cached
+    aggregate keeps all its shuffle partitions, nearly all of them empty when entities are few.
     Returns (labelled DataFrame, cost).
     """
     from pyspark.ml.clustering import KMeans
-    x = assemble(df, cols).cache()
+    tasks = max(1, math.ceil(df.count() / KMEANS_ROWS))
+    x = assemble(df, cols).coalesce(tasks).cache()
     best, best_cost = None, float("inf")
     for i in range(n_init):
         m = KMeans(k=k, seed=seed + i, featuresCol="features", predictionCol=label, maxIter=max_iter).fit(x)

@@ -14,7 +14,7 @@ from storecast.operators import segment as H
 from storecast.plans.anomaly_queries import g5_stl_anomalies
 from storecast.plans.explore_queries import panel, q
 from storecast.plans.registry import register
-from storecast.plans.segment_queries import _H1, COLS, h3_kmeans_labels, store_vectors
+from storecast.plans.segment_queries import _H1, COLS, _materialized, h3_kmeans_labels, store_vectors
 from storecast.sources import panel as P
 
 
@@ -147,7 +147,7 @@ def k11_cluster_stability(spark, sf_dir):
     halves = []
     for name, cond in (("early", F.unix_date("week") <= mid), ("late", F.unix_date("week") > mid)):
         part = p.where(cond)
-        v = fe.standardize(H.entity_vectors(part), COLS).fillna(0.0, subset=COLS)
+        v = fe.standardize(_materialized(H.entity_vectors(part)), COLS).fillna(0.0, subset=COLS)
         lab, _ = H.kmeans(v, COLS, 3, seed=42, n_init=30)
         halves.append(lab.select("store", F.col("cluster").alias(name)))
     return halves[0].join(halves[1], "store").groupBy("early", "late").agg(F.count(F.lit(1)).alias("stores"))

@@ -88,3 +88,17 @@ def test_the_report_holds_the_whole_leaderboard(spark, monkeypatch):
     monkeypatch.setattr(FQ, "fitted_models", lambda train: {"linear": M.fit_linear(train, FQ.FEATS), "other": M.fit_linear(train, ["lag_52"])})
     report = QUERIES["a5_a6_report_csv"](spark, SF001).where("report = 'leaderboard'").collect()
     assert {r.key for r in report} == {"linear", "other", "seasonal_naive"}
+
+
+def test_restarts_run_on_as_many_tasks_as_the_rows_need(spark, monkeypatch):
+    from pyspark.ml.clustering import KMeans
+    tasks, real = [], KMeans.fit
+    monkeypatch.setattr(KMeans, "fit", lambda self, x: tasks.append(x.rdd.getNumPartitions()) or real(self, x))
+    rows = spark.range(30, numPartitions=16).select(F.col("id").alias("store"), (F.col("id") % 3).cast("double").alias("a"), (F.col("id") * 0.01).alias("b"))
+    labels = H.kmeans(rows, ["a", "b"], 3, n_init=2)[0].collect()
+    assert tasks == [1, 1]
+    assert len(labels) == 30 and len({(r.a, r.cluster) for r in labels}) == 3
+    tasks.clear()
+    monkeypatch.setattr(H, "KMEANS_ROWS", 10)
+    H.kmeans(rows, ["a", "b"], 3, n_init=1)
+    assert tasks == [3]
