@@ -102,6 +102,9 @@ def ridge_from_moments(parts: list[dict], feats: Sequence[str], alpha: float) ->
     mean_d = s / n
     cov = q / n - np.outer(mean_d, mean_d)  # population covariance of (x, y)
     k = len(feats)
+    # a column that is constant in these blocks has the rounding of its sums as variance: it counts as 0
+    flat = np.flatnonzero(np.diag(cov)[:k] <= 1e-11 * mean_d[:k] ** 2)
+    cov[flat, :] = cov[:, flat] = 0.0
     var = np.clip(np.diag(cov)[:k], 0, None)
     std = np.sqrt(var)
     std[std == 0] = 1.0

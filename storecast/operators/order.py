@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 ROWS_PER_BUCKET = 1_000_000
 MIN_BUCKETS = 64
 MAX_BUCKETS = 65_536
+#: Rows of one task of a table kept in memory: at most, and at least while cores are free.
+ROWS_PER_TASK, LEAST_PER_TASK = 50_000, 2_000
 
 
 def materialize(df: DataFrame) -> DataFrame:
@@ -34,6 +36,15 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.cache()
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """``df`` written once and kept in memory, on as many tasks as its rows need. A plan that is only cached keeps
+    all its shuffle partitions, which many passes over few rows pay for each time."""
+    df = materialize(df)
+    n, cores = df.count(), df.sparkSession.sparkContext.defaultParallelism
+    tasks = max(1, math.ceil(n / ROWS_PER_TASK), min(math.ceil(n / LEAST_PER_TASK), cores))
+    return df.repartition(tasks).cache()
+
+
 def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
     """Equi-join in which a null key matches a null key; the result has the left side's keys."""
     other = right.withColumnsRenamed({k: f"__r_{k}" for k in keys})

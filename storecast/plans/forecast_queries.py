@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from storecast.operators import features as fe
 from storecast.operators import forecast as fc
 from storecast.operators import models as M
+from storecast.operators import order
 from storecast.plans import sql_blocks as S
 from storecast.plans.explore_queries import panel
 from storecast.plans.registry import register
@@ -23,8 +24,7 @@ BOOSTED_GRID = {"rounds": [400, 700, 1000], "depth": [6, 8, 10], "lr": [0.03, 0.
 
 
 def frames(spark, sf_dir):
-    df = M.model_frame(panel(spark, sf_dir)).cache()
-    return fe.temporal_split(df)
+    return fe.temporal_split(order.kept(M.model_frame(panel(spark, sf_dir))))
 
 
 @register("i1_linear_one_feature", S.with_ctes(S.MODEL + [

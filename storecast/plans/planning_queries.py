@@ -9,6 +9,7 @@ from storecast.functions.scalar import rnd
 from storecast.operators import features as fe
 from storecast.operators import forecast as fc
 from storecast.operators import models as M
+from storecast.operators import order
 from storecast.operators import planning as K
 from storecast.operators import segment as H
 from storecast.plans.anomaly_queries import g5_stl_anomalies
@@ -157,7 +158,7 @@ def k11_cluster_stability(spark, sf_dir):
 def k15_per_cluster_models(spark, sf_dir):
     """One linear model per KMeans cluster of stores (H3), scored per cluster on the test split."""
     labels = h3_kmeans_labels(spark, sf_dir).select("store", "cluster")
-    df = M.model_frame(panel(spark, sf_dir)).join(labels, "store").cache()
+    df = order.kept(M.model_frame(panel(spark, sf_dir)).join(labels, "store"))
     train, test = fe.temporal_split(df)
     preds = []
     for c in sorted(r["cluster"] for r in train.select("cluster").distinct().collect()):  # one row per cluster
@@ -173,7 +174,7 @@ def k16_k17_fallback_and_weights(spark, sf_dir):
     keys = ["store", "dept", "week"]
     flags = g5_stl_anomalies(spark, sf_dir).select(*keys, "stl_anomaly")
     df = M.model_frame(panel(spark, sf_dir)).join(flags, keys, "left").fillna(0, subset=["stl_anomaly"])
-    train, test = fe.temporal_split(df.cache())
+    train, test = fe.temporal_split(order.kept(df))
     lag_feats = ["lag_1", "lag_4", "lag_52", "roll_4", "roll_12"]
     full = M.fit_linear(train, fe.FORECAST_FEATURES)
     lag_only = M.fit_linear(train, lag_feats)

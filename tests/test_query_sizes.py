@@ -102,3 +102,24 @@ def test_restarts_run_on_as_many_tasks_as_the_rows_need(spark, monkeypatch):
     monkeypatch.setattr(H, "KMEANS_ROWS", 10)
     H.kmeans(rows, ["a", "b"], 3, n_init=1)
     assert tasks == [3]
+
+
+def test_the_model_frame_is_kept_on_few_tasks(spark, monkeypatch):
+    rows = spark.range(5000, numPartitions=64).select("id", F.date_add(F.lit("2020-01-06").cast("date"), (F.col("id") % 100 * 7).cast("int")).alias("week"))
+    monkeypatch.setattr(FQ, "panel", lambda *_: None)
+    monkeypatch.setattr(FQ.M, "model_frame", lambda _: rows)
+    train, test = FQ.frames(spark, "")
+    assert (train.rdd.getNumPartitions(), test.rdd.getNumPartitions()) == (3, 3)
+    assert sorted(r.id for part in (train, test) for r in part.collect()) == list(range(5000))
+
+
+def test_ridge_ignores_a_column_that_is_constant_in_the_fold(spark):
+    rows = spark.range(4000, numPartitions=5).select(
+        F.sin("id").alias("a"), F.when(F.col("id") < 2000, 0.0).otherwise(F.col("id") * 37.7).alias("m"), (3 * F.sin("id") + F.col("id") % 7).alias("weekly_sales"),
+        (F.col("id") >= 2000).cast("int").alias("block"))
+    parts = M.gram_blocks(rows, ["a", "m"], "block")
+    early = M.ridge_from_moments([p for p in parts if p["block"] == 0], ["a", "m"], 0.1)
+    assert early.beta[1] == 0.0 and early.std[1] == 1.0 and early.beta[0] != 0.0
+    alone = M.ridge_from_moments(M.gram_blocks(rows.where("block = 0"), ["a"]), ["a"], 0.1)
+    assert early.beta[0] == pytest.approx(alone.beta[0])
+    assert all(M.ridge_from_moments(parts, ["a", "m"], 0.1).beta)
