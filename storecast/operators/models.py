@@ -1,7 +1,7 @@
 """I1-I6, I10, I13, A7, A8 — forecasting models.
 
 Linear models are distributed aggregates; tree ensembles are grown in parallel
-tasks over a bounded sample (``trees``). All (draw, fold) pairs of a model
+tasks over all training rows (``trees``). All (draw, fold) pairs of a model
 search are fitted at once, on expanding time folds (I11).
 """
 
@@ -125,17 +125,17 @@ def _folder(spark, name: str) -> str:
 
 
 def fit_forest(train: DataFrame, feats: Sequence[str], trees: int = 200, depth: int = 18, min_instances: int = 1, max_features: str = "all",
-               seed: int = 42, max_bins: int = 64, rows: int = tr.SAMPLE_ROWS) -> tr.TreeEnsemble:
-    """I3 — random forest using all features per split (the reference library's default), on about ``rows`` rows at most."""
+               seed: int = 42, max_bins: int = 64) -> tr.TreeEnsemble:
+    """I3 — random forest using all features per split (the reference library's default)."""
     params = {"trees": trees, "depth": depth, "min_instances": min_instances, "max_features": max_features}
-    return tr.fit(train, feats, LABEL, "forest", _folder(train.sparkSession, "forest"), params, seed, rows, max_bins)
+    return tr.fit(train, feats, LABEL, "forest", _folder(train.sparkSession, "forest"), params, seed, max_bins)
 
 
 def fit_boosted(train: DataFrame, feats: Sequence[str], rounds: int = 600, depth: int = 8, lr: float = 0.05, subsample: float = 0.9,
-                colsample: float = 0.9, seed: int = 42, max_bins: int = 64, rows: int = tr.SAMPLE_ROWS) -> tr.TreeEnsemble:
-    """I5 — gradient-boosted trees (rows and features sampled per round), on about ``rows`` rows at most."""
+                colsample: float = 0.9, seed: int = 42, max_bins: int = 64) -> tr.TreeEnsemble:
+    """I5 — gradient-boosted trees (rows and features sampled per round)."""
     params = {"rounds": rounds, "depth": depth, "lr": lr, "subsample": subsample, "colsample": colsample}
-    return tr.fit(train, feats, LABEL, "boosted", _folder(train.sparkSession, "boosted"), params, seed, rows, max_bins)
+    return tr.fit(train, feats, LABEL, "boosted", _folder(train.sparkSession, "boosted"), params, seed, max_bins)
 
 
 def predict(model: PipelineModel | tr.TreeEnsemble, df: DataFrame, name: str, keep: Sequence[str] = ()) -> DataFrame:
@@ -143,13 +143,8 @@ def predict(model: PipelineModel | tr.TreeEnsemble, df: DataFrame, name: str, ke
     return fc.predictions(model.transform(df), name, "prediction", keep=keep)
 
 
-#: Rows of a search's sample, as the reference draws them.
-SEARCH_ROWS = {"forest": 60_000, "boosted": 80_000}
-
-
-def random_search(train: DataFrame, feats: Sequence[str], kind: str, grid: dict, n_iter: int = 6, k: int = 3, seed: int = 42,
-                  rows: int | None = None) -> tuple[dict, DataFrame]:
-    """I4/I6 — seeded draws from ``grid``, scored by RMSE on ``k`` expanding time folds of a sample of about ``rows`` rows.
+def random_search(train: DataFrame, feats: Sequence[str], kind: str, grid: dict, n_iter: int = 6, k: int = 3, seed: int = 42) -> tuple[dict, DataFrame]:
+    """I4/I6 — seeded draws from ``grid``, scored by RMSE on ``k`` expanding time folds of all rows.
 
     All (draw, fold) pairs are fitted at once, in tasks of their own. Returns (best params, per-draw
     scores DataFrame). The caller refits the best draw on the whole training set.
@@ -163,7 +158,7 @@ def random_search(train: DataFrame, feats: Sequence[str], kind: str, grid: dict,
     folds = fc.time_folds(train, k)
     # one row per date in the fold table
     tagged = train.join(F.broadcast(folds.select("week", "fold_test")), "week")
-    found = tr.search_scores(tagged, feats, LABEL, kind, draws, k, rows or SEARCH_ROWS[kind], seed).collect()  # one row per draw
+    found = tr.search_scores(tagged, feats, LABEL, kind, draws, k, seed).collect()  # one row per draw
     scores = [(r["draw"], json.dumps(draws[r["draw"]], sort_keys=True), r["cv_rmse"]) for r in found]
     best = min(scores, key=lambda s: (s[2], s[0]))
     table = spark.createDataFrame(scores, "draw int, params string, cv_rmse double")

@@ -93,3 +93,68 @@ def test_missing_values_and_empty_rows(spark, rows):
     assert model.transform(holes).where("prediction is null or isnan(prediction)").count() == 0
     empty = M.fit_boosted(rows.limit(0), ["a", "b"], rounds=2)
     assert {r.prediction for r in empty.transform(rows).collect()} == {0.0}
+
+
+def _plain(spark, n):
+    """Rows with a heavy tail, so that few of them decide a mean."""
+    df = spark.range(0, n, 1, 4).select(F.col("id").alias("store"), F.expr("date_add(DATE'2020-01-06', CAST(id % 40 AS INT) * 7)").alias("week"), (F.col("id") % 9).cast("double").alias("a"))
+    return df.withColumn("weekly_sales", F.when(F.col("store") % 10_007 == 0, 1e6 + F.col("store")).otherwise(F.col("a")))
+
+
+def test_models_are_fitted_on_all_rows(spark):
+    rows = _plain(spark, 230_000)
+    y = np.array([r[0] for r in rows.select("weekly_sales").collect()])
+    assert M.fit_boosted(rows, ["a"], rounds=1, depth=1).start == pytest.approx(y.mean(), rel=1e-9)
+    assert T.binned(rows, ["a"], "weekly_sales").rows == len(y)
+
+
+@pytest.mark.parametrize("kind, params", [("boosted", {"rounds": [1], "depth": [0], "lr": [0.0]}), ("forest", {"trees": [1], "depth": [0]})])
+def test_searches_score_all_rows(spark, kind, params):
+    rows = _plain(spark, 90_000)
+    _, table = M.random_search(rows, ["a"], kind, params, n_iter=1)
+    day, y = (np.array(x) for x in zip(*[(r.week.toordinal(), r.weekly_sales) for r in rows.select("week", "weekly_sales").collect()]))
+    folds = {r.week.toordinal(): r.fold_test for r in M.fc.time_folds(rows, 3).collect()}
+    fold = np.array([folds[d] for d in day])
+    want = np.mean([np.sqrt(((y[fold == k] - y[fold < k].mean()) ** 2).mean()) for k in (1, 2, 3)])
+    # a forest's tree is grown on a bootstrap draw of the rows, which moves its mean a little
+    assert table.first().cv_rmse == pytest.approx(want, rel=1e-9 if kind == "boosted" else 1e-3)
+
+
+def test_edges_are_the_exact_quantiles_of_all_rows(spark):
+    rng = np.random.default_rng(5)
+    values = np.stack([rng.normal(size=3000), rng.integers(0, 5, 3000), np.full(3000, np.nan), np.where(rng.random(3000) < 0.3, np.nan, rng.random(3000) ** 9)], 1)
+    df = spark.createDataFrame([tuple(None if np.isnan(v) and i % 2 else float(v) for v in r) for i, r in enumerate(values)], "a double, b double, c double, d double").repartition(7)
+    for max_bins in (64, 7):
+        for column, found in zip(values.T, T.bin_edges(df, max_bins)):
+            own = column[~np.isnan(column)]
+            want = np.unique(np.quantile(own, np.arange(1, max_bins) / max_bins, method="inverted_cdf")) if len(own) else np.zeros(0)
+            assert np.array_equal(found, want)
+
+
+@pytest.mark.parametrize("limit", [40, 150, 299])
+def test_trees_by_slices_equal_trees_in_memory(monkeypatch, limit):
+    x, t, w, _ = _data(6, n=700, p=5, n_bins=20)
+    t = np.round(t * 100)
+    for depth, least, penalty, features in ((0, 1, 0.0, None), (3, 5, 1.0, np.array([1, 3, 4])), (12, 1, 0.0, None)):
+        whole = T.grow(x, t, w, depth, 20, least, penalty, features)
+        with monkeypatch.context() as m:
+            m.setattr(T, "ROWS_IN_MEMORY", limit)
+            m.setattr(T, "BYTES_IN_MEMORY", 0)
+            parts = T.grow(x, t, w, depth, 20, least, penalty, features)
+        assert len(parts.feature) == len(whole.feature) and np.allclose(np.sort(parts.gain), np.sort(whole.gain))
+        assert np.array_equal(parts.value[parts.leaves(x)], whole.value[whole.leaves(x)])
+
+
+def test_forests_and_boosting_by_slices(monkeypatch):
+    x, _, _, _ = _data(7, n=1000, p=3, n_bins=12)
+    y = np.where(x[0] > 5, 50.0, 0.0) + x[1]
+
+    def errors():
+        start, trees = T.grow_boosted(x, y, 12, 1, rounds=80, depth=4, lr=0.2)
+        forest = list(T.grow_forest(x, y, 12, range(8), depth=8, max_features="0.7"))
+        return np.array([np.abs(start + sum(t.value[t.leaves(x)] for t in trees) - y).mean(), np.abs(sum(t.value[t.leaves(x)] for t in forest) / 8 - y).mean()])
+
+    whole = errors()
+    monkeypatch.setattr(T, "ROWS_IN_MEMORY", 150)
+    monkeypatch.setattr(T, "BYTES_IN_MEMORY", 0)
+    assert whole.max() < 1.0 and (errors() < 1.3 * whole + 0.1).all()
